@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
+from .pii import KINDS, listed, personal_data
 from .token_counts import count_tokens
 
 
@@ -48,8 +49,14 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    counts = [(F.size("base") - F.size(F.array_remove("base.kind", i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op4_media_columns, op7_token_counts, op8_line_dedup, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op4_media_columns, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
 
 
 #: DuckDB strings for the characters that count as blanks.
