@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
 from .pii import KINDS, listed, personal_data
+from .quality import rate_documents
 from .token_counts import count_tokens
 
 
@@ -20,6 +21,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rate_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return read_png(store_as_png(docs)).select("doc_id", "n_bytes", "read.*")
@@ -56,7 +62,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op4_media_columns, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
 
 
 #: DuckDB strings for the characters that count as blanks.
