@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
+from .pieces import Vocabulary, decode_pieces, encode_pieces
 from .pii import KINDS, listed, personal_data
 from .quality import rate_documents
 from .token_counts import count_tokens
@@ -31,6 +32,20 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_png(store_as_png(docs)).select("doc_id", "n_bytes", "read.*")
 
 
+@functools.cache
+def piece_vocabulary(name: str = "piece_bpe_32k.model") -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary.read(public_tokenizers.path(name))
+
+
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = piece_vocabulary()
+    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), decoded.alias("decoded_sha256"), (F.col("decoded") == text_or_empty()).alias("round_trip"))
+
+
 @functools.cache
 def vocabulary(name: str) -> str:
     """The content of one of the public tokenizer files; the driver reads it, and tasks get it as a broadcast."""
@@ -62,7 +77,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
 
 
 #: DuckDB strings for the characters that count as blanks.
