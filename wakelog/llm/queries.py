@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .pieces import Vocabulary, decode_pieces, encode_pieces
 from .pii import KINDS, listed, personal_data
 from .quality import rate_documents
@@ -32,6 +33,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_png(store_as_png(docs)).select("doc_id", "n_bytes", "read.*")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
+
+
 @functools.cache
 def piece_vocabulary(name: str = "piece_bpe_32k.model") -> Vocabulary:
     import public_tokenizers
@@ -77,7 +82,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op5_minhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
 
 
 #: DuckDB strings for the characters that count as blanks.
