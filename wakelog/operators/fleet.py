@@ -109,7 +109,7 @@ def exposure(episodes: DataFrame, recordings: DataFrame) -> DataFrame:
 
 def ops_per_sortie(phases: DataFrame, gaps: DataFrame, names: list[str]) -> DataFrame:
     """A column for each phase with how often a sortie had it, and its gaps (AGG-16)."""
-    p = phases.groupBy("sortie").pivot("phase", names).agg(F.count("*")).fillna(0, names)
+    p = phases.groupBy("sortie").pivot("phase", names).agg(F.count(F.lit(1))).fillna(0, names)
     return p.join(gaps.groupBy("sortie").agg(F.count("*").alias("gaps")), "sortie", "full").fillna(0, [*names, "gaps"])
 
 
