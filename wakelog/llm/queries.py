@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .pieces import Vocabulary, decode_pieces, encode_pieces
 from .pii import KINDS, listed, personal_data
 from .quality import rate_documents
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
@@ -28,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return read_png(store_as_png(docs)).select("doc_id", "n_bytes", "read.*")
@@ -82,7 +87,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_media_columns, op5_minhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_suffix_dedup, op4_media_columns, op5_minhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
 
 
 #: DuckDB strings for the characters that count as blanks.
