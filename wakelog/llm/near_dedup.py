@@ -40,18 +40,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mixed(np.arange(1, 1 + max(BANDS * SAMPLES, SKETCH_BITS), dtype=np.uint64) * _GOLD) | np.uint64(1)
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
+class WordNumbers(dict):
+    """A 64-bit number for each word met; forgets all when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return n
+
+
+def word_hashes(text: str, known: WordNumbers) -> np.ndarray:
     """A 64-bit number for each word, lower-cased."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        h = known.get(w)
-        if h is None:
-            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            if len(known) > 500_000:
-                known.clear()
-            known[w] = h
-        out.append(h)
-    return np.array(out, np.uint64)
+    words = _WORD.findall(text.lower())
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -80,25 +82,22 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
 def order_sketch(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a key for each bucket, the 128-bit sketch as two longs) of labelled shingles."""
     n, functions = len(marks), BANDS * SAMPLES
-    keys = np.zeros(BANDS, np.uint64)
-    bits = np.empty(SKETCH_BITS, np.uint64)
-    for f in range(max(functions, SKETCH_BITS)):
-        ranks = (marks ^ (_SEEDS[f] >> np.uint64(7))) * _SEEDS[f]
-        if f >= functions:
-            bits[f] = marks[int(ranks.argmin())]
-            continue
-        first = int(ranks.argmin())
-        bits[f] = marks[first]
-        pair = [first]
-        if n > 1:
-            low = ranks[first]
-            ranks[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            pair.append(int(ranks.argmin()))
-            ranks[first] = low
-        for i in sorted(pair):
-            keys[f // SAMPLES] = _mixed((keys[f // SAMPLES : f // SAMPLES + 1] + marks[i]) * _GOLD)[0]
-    keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64) * _M1)
-    one = (_mixed(bits * _SEEDS[:SKETCH_BITS]) & np.uint64(1)).astype(np.uint8)
+    firsts, seconds = np.empty(len(_SEEDS), np.int64), np.zeros(functions, np.int64)
+    at_once = max(1, (1 << 18) // n)
+    for f in range(0, len(_SEEDS), at_once):
+        seeds = _SEEDS[f : f + at_once, None]
+        ranks = (marks[None, :] ^ (seeds >> np.uint64(7))) * seeds
+        firsts[f : f + at_once] = low = ranks.argmin(1)
+        for_keys = max(0, min(len(low), functions - f))
+        if for_keys:
+            ranks[np.arange(for_keys), low[:for_keys]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            seconds[f : f + for_keys] = ranks[:for_keys].argmin(1)
+    # The two smallest of each function in the order of the text, mixed into the key of its bucket one after the other.
+    pairs = np.sort(np.stack([firsts[:functions], seconds if n > 1 else firsts[:functions]], 1), axis=1).reshape(BANDS, SAMPLES * SMALLEST)
+    keys = np.arange(BANDS, dtype=np.uint64) * _M1
+    for c in range(SAMPLES * SMALLEST):
+        keys = _mixed((keys + marks[pairs[:, c]]) * _GOLD)
+    one = (_mixed(marks[firsts[:SKETCH_BITS]] * _SEEDS[:SKETCH_BITS]) & np.uint64(1)).astype(np.uint8)
     return keys.view(np.int64), np.packbits(one).view(np.int64)
 
 
@@ -112,7 +111,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     @F.pandas_udf("keys array<long>, s1 long, s2 long")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordNumbers()
         for texts in batches:
             out = []
             for t in texts:
@@ -213,7 +212,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordNumbers()
         for pdf in batches:
             yes = [similar(word_hashes(x, known), word_hashes(y, known), least) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
             yield pdf.loc[yes, ["a", "b"]]
