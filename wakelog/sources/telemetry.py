@@ -131,7 +131,9 @@ ANALYSIS = f"filename string, total_rows bigint, time_col string, duration_s dou
 
 def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables in analysis documents: documents, corrupt, gaps, episodes, episode_transitions (SRC-5, UPS-7)."""
-    docs = spark.read.schema(ANALYSIS).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("path", F.col("_metadata.file_path"))
+    # Parsed as a column, so that asking for the corrupt ones alone is allowed.
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", ANALYSIS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    docs = whole.select("path", "d.*")
     good = docs.where("_corrupt_record is null")
     eps = good.select("path", F.explode("episodes").alias("e"))
     moves = eps.select("path", F.col("e.episode").alias("episode"), time_seconds(F.col("e.start_time")).alias("start_t"), F.posexplode("e.transitions").alias("ord", "x"))
