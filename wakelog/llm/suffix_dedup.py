@@ -186,32 +186,32 @@ _PLACE = "h long, doc long, own long, lo int, hi int, done boolean"
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (h, c, doc): done for contexts that a smaller document has; the first of each context of an anchor
     that has several. Only the firsts of the open anchor are held."""
-    held, open_h, last_c, first_doc, names = [], None, None, None, ["h", "doc", "own", "lo", "hi"]
+    names = ["h", "doc", "own", "lo", "hi"]
+    held, last_h, last_c, first_doc = pd.DataFrame(columns=names), None, None, 0
     for pdf in batches:
         if not len(pdf):
             continue
         h, c, doc = (pdf[x].to_numpy() for x in ("h", "c", "doc"))
-        new_c = np.ones(len(pdf), bool)
-        new_c[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        new_c[0] = (h[0] != open_h) or (c[0] != last_c)
-        firsts = np.maximum.accumulate(np.where(new_c, np.arange(len(pdf)), -1))
-        least = np.where(firsts >= 0, doc[np.maximum(firsts, 0)], first_doc if first_doc is not None else 0)
-        out = [pdf.loc[doc > least, names].assign(done=True)]
-        starts = pdf.loc[new_c, names]
-        hs = starts["h"].to_numpy()
-        cut = np.flatnonzero(np.diff(hs)) + 1
-        for part in np.split(np.arange(len(hs)), cut):
-            if not len(part):
-                continue
-            if hs[part[0]] != open_h:
-                if sum(map(len, held)) > 1:
-                    out += [x.assign(done=False) for x in held]
-                held, open_h = [], hs[part[0]]
-            held.append(starts.iloc[part])
-        last_c, first_doc = c[-1], least[-1]
-        yield pd.concat(out)
-    if sum(map(len, held)) > 1:
-        yield pd.concat(held).assign(done=False)
+        new = np.ones(len(pdf), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        new[0] = (h[0] != last_h) or (c[0] != last_c)
+        firsts = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), -1))
+        least = np.where(firsts >= 0, doc[np.maximum(firsts, 0)], first_doc)
+        # The anchor that may go on in the next batch is held back, all others are complete.
+        starts = pd.concat([held, pdf.loc[new, names]]) if len(held) else pdf.loc[new, names]
+        last_h, last_c, first_doc = h[-1], c[-1], least[-1]
+        at = starts["h"].to_numpy()
+        still = at == last_h
+        held = starts[still]
+        yield pd.concat([pdf.loc[doc > least, names].assign(done=True), _several(starts[~still]).assign(done=False)])
+    yield _several(held).assign(done=False)
+
+
+def _several(starts: pd.DataFrame) -> pd.DataFrame:
+    """The rows whose anchor, in sorted order, has more than one."""
+    h = starts["h"].to_numpy()
+    change = np.concatenate([[True], h[1:] != h[:-1], [True]]) if len(h) else np.ones(1, bool)
+    return starts[~(change[:-1] & change[1:])] if len(h) else starts
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
