@@ -3,8 +3,8 @@
 Every window of ``width`` bytes has an anchor: the k bytes with the smallest hash in it. Equal windows have equal anchors,
 so windows can only repeat where anchors do. Anchors are brought together by hash, each with a hash of its context (all
 bytes that a window with that anchor may have). Equal contexts repeat as a whole. Where one anchor has different
-contexts, the contexts themselves are sharded by anchor; each shard is one string whose suffix array and permuted common
-prefixes tell which windows are equal, and the smallest document with each.
+contexts, the contexts themselves are sharded by anchor; in a shard those of an anchor are one string, whose suffix array and permuted
+common prefixes tell which windows are equal, and the smallest document with each.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .fingerprints import _mixed, _power, span_hashes
 
 WIDTH, ANCHOR = 50, 16
 #: Bytes of contexts that make a shard: more anchors are added until it is full.
-SHARD = 400_000
+SHARD = 1_000_000
 
 
 def suffix_array(s: list[int], top: int) -> list[int]:
@@ -85,44 +85,146 @@ def suffix_array(s: list[int], top: int) -> list[int]:
     return induce(order)
 
 
-def permuted_prefixes(s: list[int], sa: list[int], most: int, stop: int) -> list[int]:
-    """For each place, how many values its suffix shares with the one before it in the array, up to most; none past stop."""
+def suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The suffix arrays of many strings by induced sorting, one after the other, as places in s; all advance together.
+
+    String m is s[edges[m] : edges[m + 1]] and ends in its only 0. No string is empty. Each has buckets of its own, so in
+    one step every string places one suffix. Linear in len(s).
+    """
+    n, m = len(s), len(edges) - 1
+    starts, ends, sizes = edges[:-1], edges[1:] - 1, np.diff(edges)
+    top = int(s.max()) + 1
+    bucket = np.repeat(np.arange(m) * top, sizes) + s
+    tails = np.cumsum(np.bincount(bucket, minlength=m * top))
+    heads = np.concatenate([[0], tails[:-1]])
+    # Types: a suffix is smaller than the next one or larger; of equal characters the next one decides.
+    rise = np.ones(n, np.int64)
+    rise[:-1] = s[1:] - s[:-1]
+    rise[ends] = 1
+    small = rise[np.minimum.accumulate(np.where(rise != 0, np.arange(n), n)[::-1])[::-1]] > 0
+    before_small = np.zeros(n + 1, bool)
+    before_small[1:n] = small[:-1]
+    before_large = np.zeros(n + 1, bool)
+    before_large[1:n] = ~small[:-1]
+    # No suffix stands before a string's first one. Place n, reached as -1, is for room not filled yet.
+    before_small[starts] = before_large[starts] = False
+    leftmost = small & before_large[:n]
+    leftmost[ends] = True
+    by_size = np.argsort(-sizes, kind="stable")
+    first, longest = starts[by_size], int(sizes.max())
+    alive = m - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
+
+    def induce(order: np.ndarray) -> np.ndarray:
+        sa = np.full(n, -1, np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        of = bucket[order]
+        sa[tails[of] - np.searchsorted(of, of, "right") + np.arange(len(of))] = order
+        at = heads.copy()
+        for p in range(longest):
+            x = sa[first[: alive[p]] + p]
+            x = x[before_large[x]] - 1
+            c = bucket[x]
+            to = at[c]
+            sa[to] = x
+            at[c] = to + 1
+        at = tails.copy()
+        for p in range(longest - 1, -1, -1):
+            x = sa[first[: alive[p]] + p]
+            x = x[before_small[x]] - 1
+            c = bucket[x]
+            to = at[c] - 1
+            sa[to] = x
+            at[c] = to
+        return sa
+
+    # Sort the leftmost-smaller substrings, name them, and sort their sequences of names by recursion.
+    places = np.flatnonzero(leftmost)
+    size = np.zeros(n, np.int64)
+    size[places] = np.diff(places, append=n) + 1
+    size[ends] = 1
+    ordered = induce(places)
+    ordered = ordered[leftmost[ordered]]
+    a, b = ordered[:-1], ordered[1:]
+    same = np.concatenate([[False], (size[a] == size[b]) & (s[b] != 0)])
+    open_, h = np.flatnonzero(same), 0
+    while len(open_):
+        x, y = ordered[open_ - 1], ordered[open_]
+        equal = s[x + h] == s[y + h]
+        same[open_[~equal]] = False
+        h += 1
+        open_ = open_[equal & (size[y] > h)]
+    if not same.any():
+        return induce(ordered)
+    name = np.cumsum(~same)
+    cuts = np.searchsorted(places, edges)
+    names = np.empty(n, np.int64)
+    # A string's smallest substring is its end, which thus is named 0 again.
+    names[ordered] = name - np.repeat(name[cuts[:-1]], np.diff(cuts))
+    return induce(places[suffix_arrays(names[places], cuts)])
+
+
+#: Strings advance together where there are this many times more characters than the longest has; others go one by one.
+TOGETHER = 40
+
+
+def all_suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """As suffix_arrays; a string that is too long for its companions is sorted on its own, with the same result."""
+    sizes = np.diff(edges)
+    by_size = np.argsort(sizes, kind="stable")
+    fits = np.flatnonzero(np.cumsum(sizes[by_size]) >= TOGETHER * sizes[by_size])
+    many = np.sort(by_size[: fits[-1] + 1]) if len(fits) else np.zeros(0, np.int64)
+    sa = np.empty(len(s), np.int64)
+    if len(many):
+        cuts = np.concatenate([[0], np.cumsum(sizes[many])])
+        at = np.arange(cuts[-1]) + np.repeat(edges[many] - cuts[:-1], sizes[many])
+        sa[at] = at[suffix_arrays(s[at], cuts)]
+    for k in np.setdiff1d(np.arange(len(sizes)), many).tolist():
+        part = s[edges[k] : edges[k + 1]]
+        sa[edges[k] : edges[k + 1]] = edges[k] + np.array(suffix_array(part.tolist(), int(part.max())))
+    return sa
+
+
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, stop: int) -> np.ndarray:
+    """For each place, how many values its suffix shares with the one before it in the array, up to most; none past stop.
+
+    Where the values in front of both are equal, the place before shares one more; only other places are compared.
+    """
+    s, sa = np.asarray(s), np.asarray(sa)
     n = len(s)
-    before, out, h = [-1] * n, [0] * n, 0
-    for a, b in zip(sa, sa[1:], strict=False):
-        before[b] = a
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            h = 0
-            continue
-        while h < most and s[i + h] == s[j + h] and s[i + h] > stop:
-            h += 1
-        out[i] = h
-        h = h - 1 if h else 0
-    return out
-
-
-def equal_windows(contexts: list[bytes], width: int = WIDTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context (starts, group): its windows, and a number that equal windows of all contexts share."""
-    # Bytes count from 2; 1 ends a context, 0 the whole.
-    s: list[int] = []
-    begin = []
-    for c in contexts:
-        begin.append(len(s))
-        s.extend(b + 2 for b in c)
-        s.append(1)
-    s.append(0)
-    sa = suffix_array(s, 257)
-    plcp = permuted_prefixes(s, sa, width, 1)
-    order = np.array(sa)
+    before, out = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    before[sa[1:]] = sa[:-1]
+    follows = (before >= 0) & (s > stop) & (np.roll(s, 1) > stop) & (np.roll(s, 1) == s[np.maximum(before, 0) - 1])
+    at, h = np.flatnonzero(~follows & (before >= 0)), 0
+    while len(at):
+        equal = (s[at + h] == s[before[at] + h]) & (s[at + h] > stop)
+        out[at[~equal]] = h
+        at, h = at[equal], h + 1
+    last = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    return np.minimum(out[last] - (np.arange(n) - last), most)
+
+
+def equal_windows(contexts: list[bytes], anchor: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, group) of all windows, in order; windows of one anchor's contexts share a group if they are equal.
+
+    The contexts of an anchor are side by side and make one string of the shard.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    ends_anchor = np.concatenate([anchor[1:] != anchor[:-1], [True]])
+    # Bytes count from 2; 1 ends a context, 0 an anchor's string.
+    room = sizes + 1 + ends_anchor
+    begin = np.cumsum(room) - room
+    s = np.zeros(int(room.sum()), np.int64)
+    raw = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64)
+    s[np.arange(len(raw)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)] = raw + 2
+    s[begin + sizes] = 1
+    edges = np.concatenate([[0], (begin + room)[ends_anchor]])
+    sa = all_suffix_arrays(s, edges)
     group = np.empty(len(s), np.int64)
-    group[order] = np.cumsum(np.array(plcp)[order] < width)
-    out = []
-    for b, c in zip(begin, contexts, strict=True):
-        starts = np.arange(max(0, len(c) - width + 1))
-        out.append((starts, group[b + starts]))
-    return out
+    group[sa] = np.cumsum(permuted_prefixes(s, sa, width, 1)[sa] < width)
+    windows = np.maximum(sizes - width + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return owner, start, group[begin[owner] + start]
 
 
 def anchors(raw: np.ndarray, width: int = WIDTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -255,15 +357,12 @@ def _windows(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    found = equal_windows(rows["context"].tolist())
+    owner, start, group = equal_windows(rows["context"].tolist(), rows["h"].to_numpy())
     doc = rows["doc"].to_numpy()
-    sizes = [len(s) for s, _ in found]
-    group = np.concatenate([g for _, g in found]) if found else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
     least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[owner])
     hit = np.flatnonzero(least[group] < doc[owner])
-    at = rows["lo"].to_numpy()[owner[hit]] + np.concatenate([s for s, _ in found])[hit] if len(hit) else np.zeros(0, np.int64)
+    at = rows["lo"].to_numpy()[owner[hit]] + start[hit]
     # Windows that overlap make one range.
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(owner[hit]) != 0) | (np.diff(at) > WIDTH)
