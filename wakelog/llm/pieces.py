@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -115,11 +114,12 @@ class Encoder:
         self.bytes = {int(m[1], 16): i for i, p in enumerate(v.pieces) if (m := _BYTE.fullmatch(p))}
         if len(self.bytes) < 256:
             raise ValueError("the vocabulary lacks pieces for single bytes")
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)])
         self.trie = Trie({p.encode(): i for i, (p, ok) in enumerate(zip(v.pieces, v.usable, strict=True)) if ok and p})
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def best(self, chunks: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids on the best path of each chunk of UTF-8 bytes; of equal paths the one with the longer piece last."""
+    def best(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids, four bytes each, on the best path of each chunk of UTF-8 bytes; of equal paths the one with the longer piece last."""
         sizes = np.array([len(c) for c in chunks], np.int64)
         edge = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(chunks), np.uint8).astype(np.int64)
@@ -150,9 +150,9 @@ class Encoder:
             score = best[s] + self.scores[k]
             up = score > best[t]
             best[t[up]], last[t[up]], came[t[up]] = score[up], k[up], s[up]
-        return self._paths(chunks, edge, first, last, came)
+        return self._paths(chunks, data.astype(np.uint8), edge, first, last, came)
 
-    def _paths(self, chunks, edge, first, last, came) -> list[tuple[int, ...]]:
+    def _paths(self, chunks, data, edge, first, last, came) -> list[bytes]:
         at, live, steps = edge[1:] + np.arange(len(chunks)), np.arange(len(chunks)), []
         while True:
             on = at > first[live]
@@ -161,18 +161,28 @@ class Encoder:
                 break
             steps.append((live, last[at], came[at] - live, at - live))
             at = came[at]
-        out: list[list] = [[] for _ in chunks]
-        for who, ids, lo, hi in reversed(steps):
-            for c, k, x, y in zip(who.tolist(), ids.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                if k == self.unknown:
-                    raw = chunks[c][x - edge[c] : y - edge[c]]
-                    out[c] += [self.bytes[b] for b in (_MARK if raw[0] == 0xFF else raw)]
-                else:
-                    out[c].append(k)
-        return [tuple(x) for x in out]
+        if not steps:
+            return [b""] * len(chunks)
+        who, ids, lo, hi = (np.concatenate(x) for x in zip(*reversed(steps), strict=True))
+        order = np.argsort(who, kind="stable")
+        who, ids, lo, hi = who[order], ids[order], lo[order], hi[order]
+        # An unknown character becomes the pieces of its bytes, the stand-in for a marker those of the marker.
+        bare = ids == self.unknown
+        raw = [_MARK if data[x] == 0xFF else data[x:y].tobytes() for x, y in zip(lo[bare].tolist(), hi[bare].tolist(), strict=True)]
+        times = np.ones(len(ids), np.int64)
+        times[bare] = [len(x) for x in raw]
+        flat = np.repeat(ids, times)
+        flat[np.repeat(bare, times)] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        ends = np.cumsum(np.bincount(who, weights=times, minlength=len(chunks)).astype(np.int64)) * 4
+        packed, cuts = flat.astype(np.int32).tobytes(), [0, *ends.tolist()]
+        return [packed[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text. An empty text has none."""
+        return [ids.tolist() for ids in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """As encode, in int32 arrays."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
         new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.known))
         if len(self.known) + len(new) > REMEMBERED:
@@ -180,7 +190,7 @@ class Encoder:
         # 0xFF is in no UTF-8 text and no piece.
         raw = [c.encode("utf-8", "surrogatepass").replace(_MARK, b"\xff").replace(b" ", _MARK) for c in new]
         self.known.update(zip(new, self.best(raw), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, chunks))) for chunks in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in cut]
 
 
 class Decoder:
@@ -212,9 +222,9 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", o
                 held.append(t)
                 size += len(t)
                 if size > 1_000_000:
-                    done += [np.array(x, np.int32) for x in encoder.encode(held)]
+                    done += encoder.arrays(held)
                     held, size = [], 0
-            yield pd.Series(done + [np.array(x, np.int32) for x in encoder.encode(held)], dtype=object)
+            yield pd.Series(done + encoder.arrays(held), dtype=object)
 
     return docs.withColumn(out, encoded(text_or_empty(text)))
 
