@@ -78,3 +78,18 @@ def test_repeats(documents, spark, monkeypatch):
         assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert len(sd.remove_repeats(documents(EDGES)).collect()) == len(EDGES)
     assert not sd.remove_repeats(spark.createDataFrame([], SCHEMA)).collect()
+
+
+def test_repeats_inside_one_document(documents, monkeypatch):
+    rnd = random.Random(11)
+    own = lambda k: "".join(rnd.choices("bcdfghjklm", k=k))
+    p, q = own(70), own(70)
+    b, c = own(40) + p + own(40), own(40) + q + own(40)
+    # Twice in one document, which a smaller one has in part; in two texts of one id; in rows without an id; many times.
+    rows = [(1, p), (2, b + "\n" + b), (3, q), (4, c + "\n" + own(30)), (4, own(30) + "\n" + c), (None, own(20) + b[20:]), (None, b[20:] + own(20)), (None, b[20:] + own(20) + b[20:])]
+    rows += [(7, own(60) + p[:60] + own(60)), (8, "\n".join([own(60) + q[5:65] + own(60)] * 30))]
+    for shard in (sd.SHARD, 300):
+        monkeypatch.setattr(sd, "SHARD", shard)
+        got = sd.remove_repeats(documents(rows)).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute(rows)
+    assert next(r["n_removed"] for r in got if r["doc_id"] == 2) == 140

@@ -4,7 +4,8 @@ Every window of ``width`` bytes has an anchor: the k bytes with the smallest has
 so windows can only repeat where anchors do. Anchors are brought together by hash, each with a hash of its context (all
 bytes that a window with that anchor may have). Equal contexts repeat as a whole. Where one anchor has different
 contexts, the contexts themselves are sharded by anchor; in a shard those of an anchor are one string, whose suffix array and permuted
-common prefixes tell which windows are equal, and the smallest document with each.
+common prefixes tell which windows are equal, and the smallest document with each. A context is searched once, at its
+first place in its smallest document; what is found there is carried to its further places in that document.
 """
 
 from __future__ import annotations
@@ -282,13 +283,15 @@ def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(parts)
 
 
-_PLACE = "h long, doc long, own long, lo int, hi int, done boolean"
+#: What becomes of a place: all of it goes, it is searched, or it gets what is found at the first place of its context.
+DONE, FIRST, FURTHER = 0, 1, 2
+_PLACE = "h long, c long, doc long, own long, lo int, hi int, state int"
 
 
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (h, c, doc): done for contexts that a smaller document has; the first of each context of an anchor
-    that has several. Only the firsts of the open anchor are held."""
-    names = ["h", "doc", "own", "lo", "hi"]
+    """Rows sorted by (h, c, doc): DONE for contexts that a smaller document has; FIRST for the first of each context of
+    an anchor that has several; FURTHER for others in the first one's document. Only the firsts of the open anchor are held."""
+    names = ["h", "c", "doc", "own", "lo", "hi"]
     held, last_h, last_c, first_doc = pd.DataFrame(columns=names), None, None, 0
     for pdf in batches:
         if not len(pdf):
@@ -305,8 +308,9 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = starts["h"].to_numpy()
         still = at == last_h
         held = starts[still]
-        yield pd.concat([pdf.loc[doc > least, names].assign(done=True), _several(starts[~still]).assign(done=False)])
-    yield _several(held).assign(done=False)
+        further = pdf.loc[(doc == least) & ~new, names].assign(state=FURTHER)
+        yield pd.concat([pdf.loc[doc > least, names].assign(state=DONE), _several(starts[~still]).assign(state=FIRST), further])
+    yield _several(held).assign(state=FIRST)
 
 
 def _several(starts: pd.DataFrame) -> pd.DataFrame:
@@ -321,8 +325,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, own, text, places in zip(pdf["doc"], pdf["own"], pdf["text"], pdf["places"], strict=True):
             raw = _bytes(text)
-            rows += [(p["h"], doc, own, p["lo"], raw[p["lo"] : p["hi"]]) for p in places]
-        yield pd.DataFrame(rows, columns=["h", "doc", "own", "lo", "context"])
+            rows += [(p["h"], p["c"], doc, own, p["lo"], raw[p["lo"] : p["hi"]]) for p in places]
+        yield pd.DataFrame(rows, columns=["h", "c", "doc", "own", "lo", "context"])
 
 
 def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,7 +373,8 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     begin = np.flatnonzero(new)
     stop = np.concatenate([begin[1:], [len(hit)]])[: len(begin)] - 1
     who = owner[hit][begin]
-    return pd.DataFrame({"doc": doc[who], "own": rows["own"].to_numpy()[who], "lo": at[begin].astype(np.int32), "hi": (at[stop] + WIDTH).astype(np.int32)})
+    of = rows[["h", "c", "doc", "own"]].iloc[who].assign(first=rows["lo"].to_numpy()[who])
+    return of.assign(lo=at[begin].astype(np.int32), hi=(at[stop] + WIDTH).astype(np.int32))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -397,7 +402,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): the bytes that are left of each text.
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id (a long). Strings are
-    judged on the input; matches never cross documents. Null and empty texts have no bytes, texts under 50 bytes lose
+    judged on the input; matches never cross documents, and all places of a string in a document go alike. Null and empty texts have no bytes, texts under 50 bytes lose
     none. Null ids come after all others and are equal to each other. Rows that share an id don't count against each
     other. Repeated rows repeat their result. An empty table gives an empty one. Other columns are left out, whatever
     their names.
@@ -406,8 +411,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = each.mapInPandas(_anchored, "h long, c long, doc long, own long, lo int, hi int")
     places = stored(found.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "own", "lo").mapInPandas(_repeated, _PLACE), "places")
     key = ["doc", "own"]
-    ask = places.where("not done").groupBy(*key).agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
-    contexts = each.dropDuplicates(key).join(ask, key).mapInPandas(_contexts, "h long, doc long, own long, lo int, context binary")
-    windows = stored(contexts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_sharded, "doc long, own long, lo int, hi int"), "windows")
-    ranges = places.where("done").select(*key, "lo", "hi").unionByName(windows).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    ask = places.where(F.col("state") == FIRST).groupBy(*key).agg(F.collect_list(F.struct("h", "c", "lo", "hi")).alias("places"))
+    contexts = each.dropDuplicates(key).join(ask, key).mapInPandas(_contexts, "h long, c long, doc long, own long, lo int, context binary")
+    windows = stored(contexts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_sharded, "h long, c long, doc long, own long, first int, lo int, hi int"), "windows")
+    offsets = windows.select("h", "c", (F.col("lo") - F.col("first")).alias("a"), (F.col("hi") - F.col("first")).alias("b"))
+    carried = places.where(F.col("state") == FURTHER).join(offsets, ["h", "c"]).select(*key, (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    gone = places.where(F.col("state") == DONE).select(*key, "lo", "hi").unionByName(windows.select(*key, "lo", "hi")).unionByName(carried)
+    ranges = gone.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     return each.join(ranges, key, "left").select("doc", "none", "text", "places").mapInPandas(_rewritten, REMOVED)
