@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from math import comb
 
 import numpy as np
 from tests.llm.conftest import EDGES, SCHEMA
@@ -109,3 +110,29 @@ def test_large_group(documents):
     for r in got:
         groups[r["class_id"]].append(str(r["doc_id"]))
     assert sorted(map(sorted, groups.values())) == want
+
+
+def test_repeated_lines(documents):
+    """Templates: copies with one word of a line changed in some or all of its many repeats."""
+    rnd = random.Random(5)
+    rows = []
+    for base in range(14):
+        own = [f"b{base}w{rnd.randrange(9000)}" for _ in range(150)]
+        line = [f"l{base}w{i}" for i in range(10)]
+        n = rnd.choice([20, 40])
+        for changed in (0, n, n // 2):
+            other = [*line[:4], f"c{changed}", *line[5:]]
+            rows.append((len(rows), " ".join([*own, *line * (n - changed), *other * changed])))
+    assert len(brute(rows)) == 14
+    got = defaultdict(list)
+    for r in nd.near_duplicates(documents(rows)).collect():
+        got[r["class_id"]].append(str(r["doc_id"]))
+    assert sorted(map(sorted, got.values())) == brute(rows)
+
+
+def test_bounds():
+    for least in (0.3, 0.5, 0.8, 0.9, 1.0):
+        bands, each, bits = nd.bounds(least)
+        p = (1 - least) / 2
+        assert (1 - least**each) ** bands < 5.01e-6
+        assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(bits + 1, 129)) < 5.01e-6

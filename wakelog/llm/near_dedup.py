@@ -1,14 +1,17 @@
-"""Near-duplicate classes by Order MinHash, verified by banded alignment.
+"""Near-duplicate classes by Order MinHash and MinHash, verified by banded alignment.
 
 A document's shingles (five words) are labelled with their occurrence, so repeats count. For each of many hash functions
 the two smallest are kept in the order in which the text has them. Two such samples make a bucket key: documents meet if
 the same shingles are smallest in both and stand in the same order, which follows edit similarity more than set overlap.
+Further buckets and a sketch are taken from the set of shingles, by which links are defined: they bound what is missed.
 Equal texts are one node throughout. Candidate pairs are verified on the words; classes are connected components.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,11 +24,10 @@ from .common import fresh, stored, text_or_empty
 
 WORDS = 5
 LEAST = 0.8
-#: Buckets a document, hash functions a bucket, and smallest shingles a function. A pair of similarity 0.8 shares a bucket
-#: with a chance of 1 - (1 - 0.8^4)^24, over 0.999997.
+#: Ordered buckets a document, hash functions a bucket, and smallest shingles a function.
 BANDS, SAMPLES, SMALLEST = 24, 2, 2
-#: Bits in which the 128-bit sketches of a pair of similarity 0.8 may differ: five deviations over the 12.8 expected.
-SKETCH_BITS, MOST_BITS = 128, 30
+#: Bits of a sketch; the chance that a pair at the bound shares no set bucket, and that its sketches differ in too many bits.
+SKETCH_BITS, MISSED = 128, 5e-6
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -37,7 +39,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mixed(np.arange(1, 1 + max(BANDS * SAMPLES, SKETCH_BITS), dtype=np.uint64) * _GOLD) | np.uint64(1)
+@functools.cache
+def _seeds(n: int) -> np.ndarray:
+    return _mixed(np.arange(1, 1 + n, dtype=np.uint64) * _GOLD) | np.uint64(1)
+
+
+@functools.cache
+def bounds(least: float) -> tuple[int, int, int]:
+    """(set buckets, hash functions a bucket, bits in which sketches may differ), for pairs that share least of their set.
+
+    Such a pair agrees in a function with a chance of least, and differs in a bit with one of (1 - least) / 2. At 0.8 it
+    gives 24 buckets of 4 functions, and 30 bits.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least is {least}, not above 0 and up to 1")
+    rows = next(r for r in (4, 3, 2, 1) if least**r >= 0.25 or r == 1)
+    bands = 1 if least == 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**rows)))
+    p, over, most = (1 - least) / 2, 0.0, SKETCH_BITS
+    while over <= MISSED and most >= 0:
+        over += math.comb(SKETCH_BITS, most) * p**most * (1 - p) ** (SKETCH_BITS - most)
+        most -= 1
+    return bands, rows, most + 1
 
 
 class WordNumbers(dict):
@@ -68,43 +90,64 @@ def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     return out
 
 
-def labelled(hashes: np.ndarray) -> np.ndarray:
-    """The hashes, each mixed with how often it came before."""
+def labelled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, each mixed with how often it came before, and whether it never did."""
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     place = np.arange(len(hashes))
     begin = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     times = np.empty(len(hashes), np.uint64)
     times[order] = place - np.maximum.accumulate(np.where(begin, place, 0))
-    return _mixed(hashes + times * _GOLD)
+    return _mixed(hashes + times * _GOLD), times == 0
 
 
-def order_sketch(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each bucket, the 128-bit sketch as two longs) of labelled shingles."""
-    n, functions = len(marks), BANDS * SAMPLES
-    firsts, seconds = np.empty(len(_SEEDS), np.int64), np.zeros(functions, np.int64)
+def _smallest(marks: np.ndarray, functions: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the smallest mark of each function, and of the second one of the first so many functions."""
+    n, every = len(marks), _seeds(functions)
+    firsts, seconds = np.empty(functions, np.int64), np.zeros(pairs, np.int64)
     at_once = max(1, (1 << 18) // n)
-    for f in range(0, len(_SEEDS), at_once):
-        seeds = _SEEDS[f : f + at_once, None]
+    for f in range(0, functions, at_once):
+        seeds = every[f : f + at_once, None]
         ranks = (marks[None, :] ^ (seeds >> np.uint64(7))) * seeds
         firsts[f : f + at_once] = low = ranks.argmin(1)
-        for_keys = max(0, min(len(low), functions - f))
+        for_keys = max(0, min(len(low), pairs - f))
         if for_keys:
             ranks[np.arange(for_keys), low[:for_keys]] = np.uint64(0xFFFFFFFFFFFFFFFF)
             seconds[f : f + for_keys] = ranks[:for_keys].argmin(1)
+    return firsts, seconds
+
+
+def order_sketch(marks: np.ndarray, distinct: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each ordered and each set bucket, the 128-bit sketch as two longs) of labelled shingles.
+
+    distinct tells the marks that stand for the set of shingles. Set buckets and sketch come from these only.
+    """
+    bands, rows, _ = bounds(least)
+    functions, of_set = BANDS * SAMPLES, max(SKETCH_BITS, bands * rows)
+    if distinct.all():
+        # Without repeats the marks are the set.
+        lows, seconds = _smallest(marks, max(functions, of_set), functions)
+        firsts, low_marks = lows[:functions], marks[lows[:of_set]]
+    else:
+        firsts, seconds = _smallest(marks, functions, functions)
+        once = marks[distinct]
+        low_marks = once[_smallest(once, of_set, 0)[0]]
     # The two smallest of each function in the order of the text, mixed into the key of its bucket one after the other.
-    pairs = np.sort(np.stack([firsts[:functions], seconds if n > 1 else firsts[:functions]], 1), axis=1).reshape(BANDS, SAMPLES * SMALLEST)
+    pairs = np.sort(np.stack([firsts, seconds if len(marks) > 1 else firsts], 1), axis=1).reshape(BANDS, SAMPLES * SMALLEST)
     keys = np.arange(BANDS, dtype=np.uint64) * _M1
     for c in range(SAMPLES * SMALLEST):
         keys = _mixed((keys + marks[pairs[:, c]]) * _GOLD)
-    one = (_mixed(marks[firsts[:SKETCH_BITS]] * _SEEDS[:SKETCH_BITS]) & np.uint64(1)).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(one).view(np.int64)
+    set_keys = np.arange(BANDS, BANDS + bands, dtype=np.uint64) * _M1
+    for c in range(rows):
+        set_keys = _mixed((set_keys + low_marks[c : bands * rows : rows]) * _GOLD)
+    one = (_mixed(low_marks[:SKETCH_BITS] * _seeds(of_set)[:SKETCH_BITS]) & np.uint64(1)).astype(np.uint8)
+    return np.concatenate([keys, set_keys]).view(np.int64), np.packbits(one).view(np.int64)
 
 
 SKETCHES = "rid long, doc_id {id}, md5 string, keys array<long>, s1 long, s2 long"
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sketched(docs: DataFrame, doc_id: str, text: str, least: float = LEAST) -> DataFrame:
     """A row of SKETCHES for each document; texts without words have no keys."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
@@ -115,8 +158,8 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for texts in batches:
             out = []
             for t in texts:
-                marks = labelled(shingles(word_hashes(t, known)))
-                keys, bits = order_sketch(marks) if len(marks) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
+                marks, distinct = labelled(shingles(word_hashes(t, known)))
+                keys, bits = order_sketch(marks, distinct, least) if len(marks) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
                 out.append((keys, int(bits[0]), int(bits[1])))
             yield pd.DataFrame(out, columns=["keys", "s1", "s2"])
 
@@ -245,21 +288,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two texts are linked if they share at least ``least`` of their five-word shingles, as sets of lower-cased words, and
     their aligned words are as similar. Equal texts are linked. class_id is the smallest id in a class (null if all are);
-    the keeper is a row with that id. A pair of similarity 0.8 is missed with a chance below 0.00001.
+    the keeper is a row with that id. A pair that is to be linked is missed with a chance below 0.00001, repeats or not.
 
     Null and empty texts are equal to each other, and blank ones are linked to equal ones only, as are texts of fewer
     than five words. Repeated rows are equal texts, and one of them is kept. Rows that share an id but not a text may be
     in different classes. An empty table gives an empty one. Other columns are left out, whatever their names.
     """
-    table = stored(sketched(docs, doc_id, text), "sketches")
+    most_bits = bounds(least)[2]
+    table = stored(sketched(docs, doc_id, text, least), "sketches")
     # One node for each distinct text: the smallest row number.
     nodes = table.groupBy("md5").agg(F.min(F.struct("rid", "keys", "s1", "s2")).alias("x")).select("md5", F.col("x.rid").alias("node"), "x.keys", "x.s1", "x.s2")
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "md5", "s1", "s2")
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "s1", "s2")
     lows = rows.groupBy("key").agg(F.min(F.struct("node", "s1", "s2")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     met = stored(rows.join(lows, "key"), "met")
-    texts = stored(_texts(docs, text, met), "texts")
+    texts = stored(_texts(docs, text, table, met), "texts")
     # First, everyone against the smallest node of the bucket: this links large groups by as many pairs as they have rows.
-    close = F.bit_count(F.col("s1").bitwiseXOR(F.col("low.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("low.s2"))) <= MOST_BITS
+    close = F.bit_count(F.col("s1").bitwiseXOR(F.col("low.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("low.s2"))) <= most_bits
     first = met.where((F.col("node") > F.col("low.node")) & close).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_verified(first, texts, least), "verified")
     # Then what is still apart in a bucket, so that no link between components is lost.
@@ -267,7 +311,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = met.join(roots, "node", "left").select("key", "node", "s1", "s2", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     open_ = stored(placed.join(several, "key"), "open")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (_differ("x", "y") <= MOST_BITS)
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (_differ("x", "y") <= most_bits)
     second = open_.alias("x").join(open_.alias("y"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
     roots = components(links.unionByName(_verified(second, texts, least)))
@@ -287,8 +331,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return found.dropDuplicates(["_key"]).drop("_key")
 
 
-def _texts(docs: DataFrame, text: str, met: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, text: str, table: DataFrame, met: DataFrame) -> DataFrame:
     """(node, text) of the nodes that met others; equal texts are brought together before they move."""
     body = text_or_empty(text)
     distinct = docs.select(F.md5(body).alias("md5"), body.alias("text")).groupBy("md5").agg(F.min("text").alias("text"))
-    return distinct.join(met.select("md5", "node").distinct(), "md5").select("node", "text")
+    asked = table.select("md5", F.col("rid").alias("node")).join(met.select("node").distinct(), "node")
+    return distinct.join(asked, "md5").select("node", "text")
