@@ -136,3 +136,32 @@ def test_bounds():
         p = (1 - least) / 2
         assert (1 - least**each) ** bands < 5.01e-6
         assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(bits + 1, 129)) < 5.01e-6
+
+
+def set_likeness(a, b):
+    """Shared five-word runs, by plain sets."""
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_links_by_both_rules(documents):
+    """Each rule on its own: shingles alone would link moved parts, which the alignment keeps apart."""
+    rnd = random.Random(9)
+    w = [f"w{i}" for i in range(200)]
+    new = [f"n{i}" for i in range(200)]
+    rows = [(0, w), (1, w[100:] + w[:100]), (2, w[30:130] + w[:30] + w[130:]), (3, w[:50] + new[:3] + w[53:])]
+    rows += [(10 + i, [new[k] if rnd.random() < 0.01 * i else x for k, x in enumerate(w)]) for i in range(6)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    likes = {i: set_likeness(rows[0][1], t) for i, t in rows}
+    assert min(likes[1], likes[2], likes[3]) > 0.9
+    linked = lambda x, y: set_likeness(x, y) >= 0.8 and plain_distance(x.split(), y.split()) <= 0.2 * max(len(x.split()), len(y.split()))
+    groups = {i: {i} for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if linked(x, y) and groups[i] is not groups[j]:
+                groups[i] |= groups[j]
+                for k in groups[i]:
+                    groups[k] = groups[i]
+    assert 1 not in groups[0] and 2 not in groups[0] and 3 in groups[0]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(rows)).collect()}
+    assert got == {i: min(g) for i, g in groups.items()}

@@ -287,7 +287,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, md5, class_id, rid, keeper): the class of each document, and whether it is the one that stays of its class.
 
     Two texts are linked if they share at least ``least`` of their five-word shingles, as sets of lower-cased words, and
-    their aligned words are as similar. Equal texts are linked. class_id is the smallest id in a class (null if all are);
+    their aligned words are as similar. So copies with moved parts (halves swapped, a long paragraph elsewhere) are not
+    linked, though they share nearly all shingles. Equal texts are linked. class_id is the smallest id in a class (null if all are);
     the keeper is a row with that id. A pair that is to be linked is missed with a chance below 0.00001, repeats or not.
 
     Null and empty texts are equal to each other, and blank ones are linked to equal ones only, as are texts of fewer
