@@ -15,7 +15,7 @@ from wakelog.llm.queries import piece_vocabulary
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the good grade is under one half go."""
+    """Documents whose chance of the good grade is under one half go; none go if no document is labelled."""
     return rate_documents(docs, table(spark, sf_dir, "labels")).where("keep").select(docs.columns)
 
 

@@ -58,3 +58,9 @@ def test_thresholds_ascend():
     rows = [(np.sort(rnd.choice(50, 5, replace=False)).astype(np.int64), np.ones(5)) for _ in range(200)]
     m = quality.fit_ordinal(rows, rnd.integers(0, 5, 200), 5, rounds=50)
     assert (np.diff(m.thresholds) > 0).all()
+
+
+def test_nothing_fitted(documents, spark):
+    for labels in ([], [(99, 1, 0)], [(1, None, 0)]):
+        rated = quality.rate_documents(documents(EDGES), spark.createDataFrame(labels, LABELS)).collect()
+        assert len(rated) == len(EDGES) and all(r["keep"] for r in rated)

@@ -75,11 +75,13 @@ class Features:
 
 @dataclass
 class OrdinalModel:
-    """places: ascending, those with a weight; weights: theirs; thresholds: ascending, one less than there are grades."""
+    """places: ascending, those with a weight; weights: theirs; thresholds: ascending, one less than there are grades;
+    fitted: whether there were rows to fit."""
 
     places: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    fitted: bool = True
 
     def score(self, places: np.ndarray, values: np.ndarray) -> float:
         """w · x of one text."""
@@ -101,7 +103,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     """
     none = np.zeros(0, np.int64)
     if not len(rows):
-        return OrdinalModel(none, np.zeros(0), np.arange(n_grades - 1) - (n_grades - 2) / 2)
+        return OrdinalModel(none, np.zeros(0), np.arange(n_grades - 1) - (n_grades - 2) / 2, False)
     at, value = np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows])
     of = np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows])
     used, place, seen = np.unique(at, return_inverse=True, return_counts=True)
@@ -191,6 +193,11 @@ def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs with expected_grade, p_above_0, p_above_1 and keep added: keep if the good grade has a chance of ``least``."""
-    rated = score_quality(docs, fit_quality(docs, labels, graded(), 3))
-    return rated.withColumns({"p_above_0": F.get("tails", F.lit(0)), "p_above_1": F.get("tails", F.lit(1)), "keep": F.get("tails", F.lit(1)) >= least}).drop("tails")
+    """docs with expected_grade, p_above_0, p_above_1 and keep added: keep if the good grade has a chance of ``least``.
+
+    Without labelled documents nothing is known of any: the chances are those of the neutral model, and all are kept.
+    """
+    model = fit_quality(docs, labels, graded(), 3)
+    rated = score_quality(docs, model)
+    good = F.get("tails", F.lit(1)) >= least if model.fitted else F.lit(True)
+    return rated.withColumns({"p_above_0": F.get("tails", F.lit(0)), "p_above_1": F.get("tails", F.lit(1)), "keep": good}).drop("tails")
