@@ -132,10 +132,10 @@ def test_repeated_lines(documents):
 
 def test_bounds():
     for least in (0.3, 0.5, 0.8, 0.9, 1.0):
-        bands, each, bits = nd.bounds(least)
-        p = (1 - least) / 2
+        bands, each, marks = nd.bounds(least)
+        p = (1 - least) * 15 / 16
         assert (1 - least**each) ** bands < 5.01e-6
-        assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(bits + 1, 129)) < 5.01e-6
+        assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(marks + 1, 129)) < 5.01e-6
 
 
 def set_likeness(a, b):

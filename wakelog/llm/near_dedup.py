@@ -5,6 +5,10 @@ the two smallest are kept in the order in which the text has them. Two such samp
 the same shingles are smallest in both and stand in the same order, which follows edit similarity more than set overlap.
 Further buckets and a sketch are taken from the set of shingles, by which links are defined: they bound what is missed.
 Equal texts are one node throughout. Candidate pairs are verified on the words; classes are connected components.
+
+A bucket is worked off in rounds, each with more of its nodes as centres than the one before. After a round the nodes that
+came together count as one, and bounds that hold for every link rule out what is left, so that a large group of near
+copies takes about as many pairs as it has nodes. In the last round every node has been a centre: no link is left out.
 """
 
 from __future__ import annotations
@@ -26,8 +30,17 @@ WORDS = 5
 LEAST = 0.8
 #: Ordered buckets a document, hash functions a bucket, and smallest shingles a function.
 BANDS, SAMPLES, SMALLEST = 24, 2, 2
-#: Bits of a sketch; the chance that a pair at the bound shares no set bucket, and that its sketches differ in too many bits.
-SKETCH_BITS, MISSED = 128, 5e-6
+#: Marks of a sketch, four bits each; the chance that a pair at the bound shares no set bucket, and that its sketches
+#: differ in too many marks.
+SKETCH, MISSED = 128, 5e-6
+#: Longs of a sketch, and their columns.
+LONGS = [f"s{i}" for i in range(SKETCH // 16)]
+#: A round takes this many times the centres of the one before.
+MORE_CENTRES = 16
+#: Rows of a bucket that one task joins; larger buckets are salted.
+BUCKET_ROWS = 100_000
+#: Bytes of words that a worker keeps for the texts it has met.
+KEPT_BYTES = 32_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -46,18 +59,18 @@ def _seeds(n: int) -> np.ndarray:
 
 @functools.cache
 def bounds(least: float) -> tuple[int, int, int]:
-    """(set buckets, hash functions a bucket, bits in which sketches may differ), for pairs that share least of their set.
+    """(set buckets, hash functions a bucket, marks in which sketches may differ), for pairs that share least of their set.
 
-    Such a pair agrees in a function with a chance of least, and differs in a bit with one of (1 - least) / 2. At 0.8 it
-    gives 24 buckets of 4 functions, and 30 bits.
+    Such a pair agrees in a function with a chance of least, and differs in a mark of four bits with one of
+    (1 - least) * 15 / 16. At 0.8 it gives 24 buckets of 4 functions, and 44 marks.
     """
     if not 0 < least <= 1:
         raise ValueError(f"least is {least}, not above 0 and up to 1")
     rows = next(r for r in (4, 3, 2, 1) if least**r >= 0.25 or r == 1)
     bands = 1 if least == 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**rows)))
-    p, over, most = (1 - least) / 2, 0.0, SKETCH_BITS
+    p, over, most = (1 - least) * 15 / 16, 0.0, SKETCH
     while over <= MISSED and most >= 0:
-        over += math.comb(SKETCH_BITS, most) * p**most * (1 - p) ** (SKETCH_BITS - most)
+        over += math.comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)
         most -= 1
     return bands, rows, most + 1
 
@@ -118,12 +131,12 @@ def _smallest(marks: np.ndarray, functions: int, pairs: int) -> tuple[np.ndarray
 
 
 def order_sketch(marks: np.ndarray, distinct: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each ordered and each set bucket, the 128-bit sketch as two longs) of labelled shingles.
+    """(a key for each ordered and each set bucket, the sketch as longs) of labelled shingles.
 
     distinct tells the marks that stand for the set of shingles. Set buckets and sketch come from these only.
     """
     bands, rows, _ = bounds(least)
-    functions, of_set = BANDS * SAMPLES, max(SKETCH_BITS, bands * rows)
+    functions, of_set = BANDS * SAMPLES, max(SKETCH, bands * rows)
     if distinct.all():
         # Without repeats the marks are the set.
         lows, seconds = _smallest(marks, max(functions, of_set), functions)
@@ -140,31 +153,32 @@ def order_sketch(marks: np.ndarray, distinct: np.ndarray, least: float = LEAST)
     set_keys = np.arange(BANDS, BANDS + bands, dtype=np.uint64) * _M1
     for c in range(rows):
         set_keys = _mixed((set_keys + low_marks[c : bands * rows : rows]) * _GOLD)
-    one = (_mixed(low_marks[:SKETCH_BITS] * _seeds(of_set)[:SKETCH_BITS]) & np.uint64(1)).astype(np.uint8)
-    return np.concatenate([keys, set_keys]).view(np.int64), np.packbits(one).view(np.int64)
+    four = (_mixed(low_marks[:SKETCH] * _seeds(of_set)[:SKETCH]) & np.uint64(15)).astype(np.uint8)
+    return np.concatenate([keys, set_keys]).view(np.int64), (four[::2] << np.uint8(4) | four[1::2]).view(np.int64)
 
 
-SKETCHES = "rid long, doc_id {id}, md5 string, keys array<long>, s1 long, s2 long"
+_SKETCHED = f"keys array<long>, n long, {', '.join(f'{c} long' for c in LONGS)}"
+SKETCHES = f"rid long, doc_id {{id}}, md5 string, {_SKETCHED}"
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, least: float = LEAST) -> DataFrame:
-    """A row of SKETCHES for each document; texts without words have no keys."""
+    """A row of SKETCHES for each document: n counts its set of shingles; texts without words have no keys."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    names = [c.split()[0] for c in _SKETCHED.split(", ")]
 
-    @F.pandas_udf("keys array<long>, s1 long, s2 long")
+    @F.pandas_udf(_SKETCHED)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = WordNumbers()
+        known, none = WordNumbers(), np.zeros(0, np.int64)
         for texts in batches:
             out = []
             for t in texts:
                 marks, distinct = labelled(shingles(word_hashes(t, known)))
-                keys, bits = order_sketch(marks, distinct, least) if len(marks) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
-                out.append((keys, int(bits[0]), int(bits[1])))
-            yield pd.DataFrame(out, columns=["keys", "s1", "s2"])
+                keys, longs = order_sketch(marks, distinct, least) if len(marks) else (none, np.zeros(len(LONGS), np.int64))
+                out.append((keys, int(distinct.sum()), *longs.tolist()))
+            yield pd.DataFrame(out, columns=names)
 
-    names = [c.split()[0] for c in SKETCHES.format(id=kind).split(", ")]
-    return rows.withColumns({"md5": F.md5("text"), "sketch": sketch("text")}).select("rid", "doc_id", "md5", "sketch.*").select(*names)
+    return rows.withColumns({"md5": F.md5("text"), "sketch": sketch("text")}).select("rid", "doc_id", "md5", "sketch.*")
 
 
 def _edit_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -191,84 +205,146 @@ def _edit_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(min(row[m - n + band], far))
 
 
+def _within(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The edit distance of two runs of words; most + 1 if it is more. The band widens until it holds the path."""
+    for _ in range(2):
+        # What both have in front costs nothing, nor what both have at the end.
+        k = min(len(a), len(b))
+        other = np.flatnonzero(a[:k] != b[:k])
+        n = int(other[0]) if len(other) else k
+        a, b = a[n:][::-1], b[n:][::-1]
+    k = min(len(a), len(b))
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    if k <= 1:
+        return min(most + 1, max(n, m) - int(k == 1 and bool((a[:, None] == b[None, :]).any())))
+    band = min(most, abs(n - m) + 8)
+    while True:
+        cost = _edit_distance(a, b, band)
+        if cost <= band or band >= most:
+            return min(cost, most + 1)
+        band = min(most, 4 * band)
+
+
 def edit_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """1 - distance / longer length of two word sequences; 0 if below least.
 
     Shingles that either side has once are anchors; where they chain in one order, only the gaps between them are
     aligned. If that path is too costly, the whole is aligned within the band that least leaves.
     """
-    longest = max(len(a), len(b))
+    return _edit_similarity(Words(a), Words(b), least)
+
+
+class Words:
+    """A text's words as numbers, its shingles in order, and its set of shingles with the place of each found once."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.distinct, at, counts = np.unique(shingles(words), return_index=True, return_counts=True)
+        self.once, self.at = self.distinct[counts == 1], at[counts == 1]
+        self.bytes = 8 * (len(words) + len(self.distinct) + 2 * len(self.once))
+
+
+def _edit_similarity(a: Words, b: Words, least: float) -> float:
+    longest = max(len(a.words), len(b.words))
     if not longest:
         return 1.0
     band = int((1 - least) * longest + 1e-9)
-    cost = _anchored_cost(a, b, band)
+    cost = _chained_cost(a, b, band)
     if cost > band:
-        cost = _edit_distance(a, b, band)
+        cost = _within(a.words, b.words, band)
     return 1 - cost / longest if cost <= band else 0.0
 
 
-def _anchored_cost(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    sa, sb = shingles(a), shingles(b)
-    ua, ia, ca = np.unique(sa, return_index=True, return_counts=True)
-    ub, ib, cb = np.unique(sb, return_index=True, return_counts=True)
-    _, xa, xb = np.intersect1d(ua[ca == 1], ub[cb == 1], assume_unique=True, return_indices=True)
-    i, j = ia[ca == 1][xa], ib[cb == 1][xb]
+def _chained_cost(a: Words, b: Words, most: int) -> int:
+    """The cost of the path through the anchors, or something over most; no less than the edit distance."""
+    _, xa, xb = np.intersect1d(a.once, b.once, assume_unique=True, return_indices=True)
+    i, j = a.at[xa], b.at[xb]
     order = np.argsort(i)
     i, j = i[order], j[order]
     # Anchors out of order are passed over: what follows must lie beyond all before.
     keep = j > np.concatenate([[-1], np.maximum.accumulate(j)[:-1]]) if len(j) else np.zeros(0, bool)
-    cost, pa, pb = 0, 0, 0
-    for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-        if x - pa == y - pb and np.array_equal(a[pa:x], b[pb:y]):
-            pa, pb = x, y
-            continue
-        if x < pa or y < pb:
-            continue
-        cost += _edit_distance(a[pa:x], b[pb:y], max(x - pa, y - pb)) if min(x - pa, y - pb) < 400 else max(x - pa, y - pb)
-        if cost > band:
-            return cost
-        pa, pb = x, y
-    ra, rb = a[pa:], b[pb:]
-    k = min(len(ra), len(rb))
-    same = np.flatnonzero(ra[:k] != rb[:k])
-    k = int(same[0]) if len(same) else k
-    ra, rb = ra[k:], rb[k:]
-    return cost + (_edit_distance(ra, rb, max(len(ra), len(rb))) if min(len(ra), len(rb)) < 400 else max(len(ra), len(rb)))
+    i, j = np.concatenate([[0], i[keep], [len(a.words)]]), np.concatenate([[0], j[keep], [len(b.words)]])
+    # Anchors that follow one another within a shingle's length on one diagonal have equal words between them.
+    width = min(WORDS, len(a.words), len(b.words))
+    di, dj = np.diff(i), np.diff(j)
+    cost, inner = 0, np.arange(len(di)) > 0
+    for g in np.flatnonzero((di != dj) | (di > width) | ~inner).tolist():
+        cost += _within(a.words[i[g] : i[g + 1]], b.words[j[g] : j[g + 1]], most - cost)
+        if cost > most:
+            break
+    return cost
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     """Whether two word sequences share least of their shingles, as sets, and are that close when aligned."""
-    sa, sb = np.unique(shingles(a)), np.unique(shingles(b))
-    if min(len(sa), len(sb)) < least * max(len(sa), len(sb)):
-        return False
-    both = len(np.intersect1d(sa, sb, assume_unique=True))
-    if both < least * (len(sa) + len(sb) - both):
+    return _similar(Words(a), Words(b), least)
+
+
+def _similar(a: Words, b: Words, least: float) -> bool:
+    few, many = sorted((len(a.distinct), len(b.distinct)))
+    if few < least * many:
         return False
-    return edit_similarity(a, b, least) >= least
+    both = len(np.intersect1d(a.distinct, b.distinct, assume_unique=True))
+    return both >= least * (few + many - both) and _edit_similarity(a, b, least) >= least
+
+
+def _anchored_cost(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    return _chained_cost(Words(a), Words(b), most)
+
+
+class Met(dict):
+    """The words of the nodes that a worker has met; forgets all when they take too much room."""
+
+    def __init__(self):
+        super().__init__()
+        self.known, self.bytes = WordNumbers(), 0
+
+    def words(self, node: int, text: str) -> Words:
+        found = self.get(node)
+        if found is None:
+            found = Words(word_hashes(text, self.known))
+            if self.bytes > KEPT_BYTES:
+                self.clear()
+                self.bytes = 0
+            self[node] = found
+            self.bytes += found.bytes
+        return found
 
 
 def _differ(x: str, y: str) -> Column:
-    return F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
+    """In how many of their marks two sketches differ: the lowest bit of each four tells whether any of them does."""
+    ones, total = F.lit(0x1111111111111111), F.lit(0)
+    for c in LONGS:
+        bits = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        total = total + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(ones))
+    return total
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordNumbers()
+        met = Met()
         for pdf in batches:
-            yes = [similar(word_hashes(x, known), word_hashes(y, known), least) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
+            rows = zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["ta"], pdf["tb"], strict=True)
+            yes = [_similar(met.words(a, x), met.words(b, y), least) for a, b, x, y in rows]
             yield pdf.loc[yes, ["a", "b"]]
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for nodes with links (a, b)."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each node's component, for nodes with links (a, b), by alternating stars.
+
+    Rounds go on until nothing changes; there are about as many as the logarithm of the longest chain of links.
+    """
     stars = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: each node's larger neighbours turn to its smallest; small star: so do it and its smaller ones.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -278,9 +354,105 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         stars = stored(small, "links")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == before:
-            break
+            return stars.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
         before = state
-    return stars.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, level): the buckets that several nodes share, and the round in which each is a centre.
+
+    The first centre is the node that meets most others in all its buckets: the middle of a group of near copies. Later
+    ones are drawn by hash, MORE_CENTRES times as many each round.
+    """
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(rows.join(sizes, "key"), "shared")
+    meets = shared.groupBy("node").agg(F.sum("size").alias("meets"))
+    first = shared.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("node"))).alias("x"))
+    share = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = F.greatest(F.lit(1), F.ceil(F.log(F.greatest(share * F.col("size"), F.lit(1e-9))) / math.log(MORE_CENTRES)))
+    level = F.when(F.col("node") == -F.col("x.node"), 0).otherwise(drawn).cast("int")
+    return stored(shared.join(first, "key").select("key", "node", "size", level.alias("level")), "met")
+
+
+def _of_round(left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
+    """(a, b): the centres of a round with the other nodes of their buckets that may be linked to them.
+
+    left holds a bucket's nodes of this round and later ones, facts (node, root, n, shared, sketch) what is known of each.
+    """
+    parts = F.ceil(F.col("size") / BUCKET_ROWS)
+    known = left.join(facts, "node")
+    centres = known.where(F.col("level") == at).withColumn("salt", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    others = known.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    few, many = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    #: What two sets must have in common; shared counts the shingles that a node has in common with anyone.
+    common = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
+    later = (F.col("y.level") > at) | (F.col("x.node") < F.col("y.node"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & later & (F.col("x.root") != F.col("y.root"))
+    fit = (few >= least * many) & (F.least("x.shared", "y.shared") >= common) & (_differ("x", "y") <= bounds(least)[2])
+    pairs = centres.alias("x").join(others.alias("y"), meet & fit)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(node, shared): how many of a node's shingles another of these nodes has too."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordNumbers()
+        for pdf in batches:
+            for node, text in zip(pdf["node"].tolist(), pdf["text"], strict=True):
+                yield pd.DataFrame({"shingle": np.unique(shingles(word_hashes(text, known))).view(np.int64)}).assign(node=node)
+
+    rows = texts.select("node", "text").mapInPandas(each, "shingle long, node long")
+    # The one node of a shingle that nobody else has loses it.
+    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    return single.groupBy("node").agg(F.count("*").alias("single"))
+
+
+def linked(nodes: DataFrame, texts_of, least: float = LEAST) -> DataFrame:
+    """(node, root) of the nodes that have links. nodes: (node, keys, n, sketch); texts_of(nodes) gives (node, text)."""
+    met = _met(nodes)
+    texts = stored(texts_of(met.select("node").distinct()), "texts")
+    facts = nodes.select("node", "n", *LONGS)
+    roots, done, single = None, None, None
+    left, at = met, 0
+    while left is not None:
+        if at == 2:
+            # Few buckets are left. A node's own shingles, which no other has, bound what it can share with any.
+            single = stored(_shared_shingles(texts.join(left.select("node").distinct(), "node")), "single")
+        known = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else facts.withColumn("root", F.col("node"))
+        if single is not None:
+            known = known.join(single, "node", "left").withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0)))
+        else:
+            known = known.withColumn("shared", F.col("n"))
+        pairs = _of_round(left, known, at, least)
+        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        found = _verified(pairs, texts, least)
+        roots = stored(_united(roots, found), "roots")
+        left, at = _still_open(left, roots, at), at + 1
+    return roots
+
+
+def _united(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after further links; only the roots they join are walked again."""
+    if roots is None:
+        return components(links)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joined = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(joined)
+    new = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    # Roots have no rows of their own, so what moved is not in there yet.
+    return new.unionByName(moved)
+
+
+def _still_open(left: DataFrame, roots: DataFrame, at: int) -> DataFrame | None:
+    """The nodes of later rounds in buckets where these are not one component yet; None if there are none."""
+    rest = left.where(F.col("level") > at)
+    placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    out = stored(rest.join(several, "key"), "open")
+    return None if out.isEmpty() else out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -295,27 +467,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     than five words. Repeated rows are equal texts, and one of them is kept. Rows that share an id but not a text may be
     in different classes. An empty table gives an empty one. Other columns are left out, whatever their names.
     """
-    most_bits = bounds(least)[2]
     table = stored(sketched(docs, doc_id, text, least), "sketches")
     # One node for each distinct text: the smallest row number.
-    nodes = table.groupBy("md5").agg(F.min(F.struct("rid", "keys", "s1", "s2")).alias("x")).select("md5", F.col("x.rid").alias("node"), "x.keys", "x.s1", "x.s2")
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "s1", "s2")
-    lows = rows.groupBy("key").agg(F.min(F.struct("node", "s1", "s2")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    met = stored(rows.join(lows, "key"), "met")
-    texts = stored(_texts(docs, text, table, met), "texts")
-    # First, everyone against the smallest node of the bucket: this links large groups by as many pairs as they have rows.
-    close = F.bit_count(F.col("s1").bitwiseXOR(F.col("low.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("low.s2"))) <= most_bits
-    first = met.where((F.col("node") > F.col("low.node")) & close).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(first, texts, least), "verified")
-    # Then what is still apart in a bucket, so that no link between components is lost.
-    roots = components(links)
-    placed = met.join(roots, "node", "left").select("key", "node", "s1", "s2", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    open_ = stored(placed.join(several, "key"), "open")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (_differ("x", "y") <= most_bits)
-    second = open_.alias("x").join(open_.alias("y"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(_verified(second, texts, least)))
+    ids = table.groupBy("md5").agg(F.min("rid").alias("node"))
+    nodes = stored(table.withColumnRenamed("rid", "node").join(ids.select("node"), "node", "left_semi").select("md5", "node", "keys", "n", *LONGS), "nodes")
+    roots = linked(nodes, lambda asked: _texts(docs, text, nodes, asked), least)
     of = nodes.select("md5", "node").join(roots, "node", "left").select("md5", F.coalesce("root", "node").alias("root"))
     members = table.select("rid", "doc_id", "md5").join(of, "md5")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("k"))
@@ -332,9 +488,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return found.dropDuplicates(["_key"]).drop("_key")
 
 
-def _texts(docs: DataFrame, text: str, table: DataFrame, met: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that met others; equal texts are brought together before they move."""
+def _texts(docs: DataFrame, text: str, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for; equal texts are brought together before they move."""
     body = text_or_empty(text)
     distinct = docs.select(F.md5(body).alias("md5"), body.alias("text")).groupBy("md5").agg(F.min("text").alias("text"))
-    asked = table.select("md5", F.col("rid").alias("node")).join(met.select("node").distinct(), "node")
-    return distinct.join(asked, "md5").select("node", "text")
+    return distinct.join(nodes.select("md5", "node").join(asked, "node"), "md5").select("node", "text")
