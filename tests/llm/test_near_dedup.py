@@ -66,7 +66,7 @@ def brute(rows):
             i = root[i]
         return i
 
-    words = [nd.word_hashes(t or "", nd.WordNumbers()) for _, t in rows]
+    words = [nd.word_hashes(t or "") for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
             if (rows[i][1] or "") == (rows[j][1] or "") or (len(words[i]) and len(words[j]) and nd.similar(words[i], words[j])):

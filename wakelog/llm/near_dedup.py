@@ -7,16 +7,14 @@ Further buckets and a sketch are taken from the set of shingles, by which links
 Equal texts are one node throughout. Candidate pairs are verified on the words; classes are connected components.
 
 A bucket is worked off in rounds, each with more of its nodes as centres than the one before. After a round the nodes that
-came together count as one, and bounds that hold for every link rule out what is left, so that a large group of near
-copies takes about as many pairs as it has nodes. In the last round every node has been a centre: no link is left out.
+came together count as one, and finer sketches rule out most of what is left, so that a large group of near copies takes
+about as many pairs as it has nodes. In the last round every node has been a centre: no link is left out.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored, text_or_empty
+from .fingerprints import _power, span_hashes
 
 WORDS = 5
 LEAST = 0.8
@@ -33,8 +32,8 @@ BANDS, SAMPLES, SMALLEST = 24, 2, 2
 #: Marks of a sketch, four bits each; the chance that a pair at the bound shares no set bucket, and that its sketches
 #: differ in too many marks.
 SKETCH, MISSED = 128, 5e-6
-#: Longs of a sketch, and their columns.
-LONGS = [f"s{i}" for i in range(SKETCH // 16)]
+#: Marks of the finer sketch, a bit each, that texts get whose buckets are not done after the first round.
+FINER = 1024
 #: A round takes this many times the centres of the one before.
 MORE_CENTRES = 16
 #: Rows of a bucket that one task joins; larger buckets are salted.
@@ -42,7 +41,6 @@ BUCKET_ROWS = 100_000
 #: Bytes of words that a worker keeps for the texts it has met.
 KEPT_BYTES = 32_000_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -68,27 +66,34 @@ def bounds(least: float) -> tuple[int, int, int]:
         raise ValueError(f"least is {least}, not above 0 and up to 1")
     rows = next(r for r in (4, 3, 2, 1) if least**r >= 0.25 or r == 1)
     bands = 1 if least == 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**rows)))
-    p, over, most = (1 - least) * 15 / 16, 0.0, SKETCH
+    return bands, rows, most_apart(least, SKETCH, 4)
+
+
+@functools.cache
+def most_apart(least: float, marks: int, bits: int) -> int:
+    """In how many marks of so many bits sketches of a pair at least may differ, but for a chance of MISSED."""
+    p, over, most = (1 - least) * (1 - 0.5**bits), 0.0, marks
     while over <= MISSED and most >= 0:
-        over += math.comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)
+        over += math.comb(marks, most) * p**most * (1 - p) ** (marks - most)
         most -= 1
-    return bands, rows, most + 1
+    return most + 1
 
 
-class WordNumbers(dict):
-    """A 64-bit number for each word met; forgets all when it grows large."""
+#: The columns of the two sketches.
+LONGS, FINER_LONGS = [f"s{i}" for i in range(SKETCH // 16)], [f"f{i}" for i in range(FINER // 64)]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        n = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return n
 
-
-def word_hashes(text: str, known: WordNumbers) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     """A 64-bit number for each word, lower-cased."""
-    words = _WORD.findall(text.lower())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    part = (raw != 32) & (raw - np.uint8(9) > 4)
+    change = np.flatnonzero(part[1:] != part[:-1]) + 1
+    edges = np.concatenate([[0] if part[0] else [], change, [len(raw)] if part[-1] else []]).astype(np.int64)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * _power(len(raw))[0], out=sums[1:])
+    return span_hashes(raw, edges[::2], edges[1::2], sums)
 
 
 def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -99,26 +104,28 @@ def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        out = _mixed(out * _GOLD + words[i : n - k + 1 + i])
-    return out
+        out = (out + words[i : n - k + 1 + i]) * _GOLD
+    return _mixed(out)
 
 
 def labelled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes, each mixed with how often it came before, and whether it never did."""
+    ordered = np.sort(hashes)
+    begin = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    if begin.all():
+        return _mixed(hashes), np.ones(len(hashes), bool)
     order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
     place = np.arange(len(hashes))
-    begin = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     times = np.empty(len(hashes), np.uint64)
     times[order] = place - np.maximum.accumulate(np.where(begin, place, 0))
     return _mixed(hashes + times * _GOLD), times == 0
 
 
-def _smallest(marks: np.ndarray, functions: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+def _smallest(marks: np.ndarray, functions: int, pairs: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The places of the smallest mark of each function, and of the second one of the first so many functions."""
-    n, every = len(marks), _seeds(functions)
+    n, every = len(marks), _seeds(skip + functions)[skip:]
     firsts, seconds = np.empty(functions, np.int64), np.zeros(pairs, np.int64)
-    at_once = max(1, (1 << 18) // n)
+    at_once = max(1, (1 << 16) // n)
     for f in range(0, functions, at_once):
         seeds = every[f : f + at_once, None]
         ranks = (marks[None, :] ^ (seeds >> np.uint64(7))) * seeds
@@ -153,10 +160,27 @@ def order_sketch(marks: np.ndarray, distinct: np.ndarray, least: float = LEAST)
     set_keys = np.arange(BANDS, BANDS + bands, dtype=np.uint64) * _M1
     for c in range(rows):
         set_keys = _mixed((set_keys + low_marks[c : bands * rows : rows]) * _GOLD)
-    four = (_mixed(low_marks[:SKETCH] * _seeds(of_set)[:SKETCH]) & np.uint64(15)).astype(np.uint8)
+    four = (_mixed(low_marks[:SKETCH] * _seeds(SKETCH)) & np.uint64(15)).astype(np.uint8)
     return np.concatenate([keys, set_keys]).view(np.int64), (four[::2] << np.uint8(4) | four[1::2]).view(np.int64)
 
 
+def finer_sketches(texts: DataFrame) -> DataFrame:
+    """(node, sketch of FINER marks) of the texts (node, text); its functions are none of the first sketch's."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                marks, distinct = labelled(shingles(word_hashes(text)))
+                once = marks[distinct]
+                bits = _mixed(once[_smallest(once, FINER, 0, SKETCH)[0]] * _seeds(FINER)) & np.uint64(1)
+                rows.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            if rows:
+                yield pd.DataFrame(np.stack(rows), columns=FINER_LONGS).assign(node=pdf["node"].to_numpy())
+
+    return texts.select("node", "text").mapInPandas(each, f"{', '.join(f'{c} long' for c in FINER_LONGS)}, node long")
+
+
 _SKETCHED = f"keys array<long>, n long, {', '.join(f'{c} long' for c in LONGS)}"
 SKETCHES = f"rid long, doc_id {{id}}, md5 string, {_SKETCHED}"
 
@@ -169,12 +193,12 @@ def sketched(docs: DataFrame, doc_id: str, text: str, least: float = LEAST) -> D
 
     @F.pandas_udf(_SKETCHED)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, none = WordNumbers(), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         for texts in batches:
             out = []
             for t in texts:
-                marks, distinct = labelled(shingles(word_hashes(t, known)))
-                keys, longs = order_sketch(marks, distinct, least) if len(marks) else (none, np.zeros(len(LONGS), np.int64))
+                marks, distinct = labelled(shingles(word_hashes(t)))
+                keys, longs = order_sketch(marks, distinct, least) if len(marks) else (none, np.zeros(SKETCH // 16, np.int64))
                 out.append((keys, int(distinct.sum()), *longs.tolist()))
             yield pd.DataFrame(out, columns=names)
 
@@ -299,12 +323,12 @@ class Met(dict):
 
     def __init__(self):
         super().__init__()
-        self.known, self.bytes = WordNumbers(), 0
+        self.bytes = 0
 
     def words(self, node: int, text: str) -> Words:
         found = self.get(node)
         if found is None:
-            found = Words(word_hashes(text, self.known))
+            found = Words(word_hashes(text))
             if self.bytes > KEPT_BYTES:
                 self.clear()
                 self.bytes = 0
@@ -313,14 +337,14 @@ class Met(dict):
         return found
 
 
-def _differ(x: str, y: str) -> Column:
-    """In how many of their marks two sketches differ: the lowest bit of each four tells whether any of them does."""
-    ones, total = F.lit(0x1111111111111111), F.lit(0)
-    for c in LONGS:
-        bits = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        total = total + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(ones))
-    return total
+def _close(least: float, finer: bool) -> Column:
+    """Whether the sketches of x and y differ in no more marks than those of a link may."""
+    apart = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in (FINER_LONGS if finer else LONGS)]
+    if not finer:
+        # The lowest bit of each four tells whether any of them differs.
+        apart = [x.bitwiseOR(F.shiftrightunsigned(x, 1)) for x in apart]
+        apart = [x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)) for x in apart]
+    return sum(map(F.bit_count, apart), F.lit(0)) <= (most_apart(least, FINER, 1) if finer else most_apart(least, SKETCH, 4))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -378,58 +402,36 @@ def _met(nodes: DataFrame) -> DataFrame:
 def _of_round(left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
     """(a, b): the centres of a round with the other nodes of their buckets that may be linked to them.
 
-    left holds a bucket's nodes of this round and later ones, facts (node, root, n, shared, sketch) what is known of each.
+    left holds a bucket's nodes of this round and later ones, facts (node, root, n, sketch) what is known of each.
     """
     parts = F.ceil(F.col("size") / BUCKET_ROWS)
-    known = left.join(facts, "node")
+    places = left.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("level") == at, F.col("key"))).alias("central"))
+    known = left.join(places.join(facts, "node"), "node")
     centres = known.where(F.col("level") == at).withColumn("salt", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
     others = known.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    few, many = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    #: What two sets must have in common; shared counts the shingles that a node has in common with anyone.
-    common = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
     later = (F.col("y.level") > at) | (F.col("x.node") < F.col("y.node"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & later & (F.col("x.root") != F.col("y.root"))
-    fit = (few >= least * many) & (F.least("x.shared", "y.shared") >= common) & (_differ("x", "y") <= bounds(least)[2])
-    pairs = centres.alias("x").join(others.alias("y"), meet & fit)
+    fit = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & _close(least, at > 0)
+    # Of all the buckets in which a centre meets a node, one gives the pair.
+    once = F.array_min(F.array_intersect("x.central", "y.keys")) == F.col("x.key")
+    pairs = centres.alias("x").join(others.alias("y"), meet & fit & once)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _shared_shingles(texts: DataFrame) -> DataFrame:
-    """(node, shared): how many of a node's shingles another of these nodes has too."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordNumbers()
-        for pdf in batches:
-            for node, text in zip(pdf["node"].tolist(), pdf["text"], strict=True):
-                yield pd.DataFrame({"shingle": np.unique(shingles(word_hashes(text, known))).view(np.int64)}).assign(node=node)
-
-    rows = texts.select("node", "text").mapInPandas(each, "shingle long, node long")
-    # The one node of a shingle that nobody else has loses it.
-    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("single"))
-
-
 def linked(nodes: DataFrame, texts_of, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes that have links. nodes: (node, keys, n, sketch); texts_of(nodes) gives (node, text)."""
-    met = _met(nodes)
-    texts = stored(texts_of(met.select("node").distinct()), "texts")
+    left, at, roots, done = _met(nodes), 0, None, None
+    texts = stored(texts_of(left.select("node").distinct()), "texts")
     facts = nodes.select("node", "n", *LONGS)
-    roots, done, single = None, None, None
-    left, at = met, 0
     while left is not None:
-        if at == 2:
-            # Few buckets are left. A node's own shingles, which no other has, bound what it can share with any.
-            single = stored(_shared_shingles(texts.join(left.select("node").distinct(), "node")), "single")
-        known = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else facts.withColumn("root", F.col("node"))
-        if single is not None:
-            known = known.join(single, "node", "left").withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0)))
-        else:
-            known = known.withColumn("shared", F.col("n"))
-        pairs = _of_round(left, known, at, least)
+        if at == 1:
+            finer = finer_sketches(texts.join(left.select("node").distinct(), "node", "left_semi"))
+            facts = stored(facts.select("node", "n").join(finer, "node"), "finer")
+        placed = facts.withColumn("root", F.col("node")) if roots is None else facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = _of_round(left, placed, at, least)
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        found = _verified(pairs, texts, least)
-        roots = stored(_united(roots, found), "roots")
+        roots = stored(_united(roots, _verified(pairs, texts, least)), "roots")
         left, at = _still_open(left, roots, at), at + 1
     return roots
 
