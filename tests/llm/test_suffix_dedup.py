@@ -5,7 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
-from tests.llm.conftest import EDGES, SCHEMA
+import pandas as pd
+from tests.llm.conftest import EDGES, LONG, SCHEMA
 
 from wakelog.llm import suffix_dedup as sd
 
@@ -27,7 +28,7 @@ def test_suffix_array():
 def test_anchors_in_every_window():
     rnd = np.random.default_rng(1)
     for raw in (rnd.integers(97, 101, 400).astype(np.uint8), np.full(200, 65, np.uint8)):
-        at, _ = sd.anchors(raw)
+        at = sd.anchors(raw)
         for s in range(len(raw) - sd.WIDTH + 1):
             assert ((at >= s) & (at <= s + sd.WIDTH - sd.ANCHOR)).any()
 
@@ -70,7 +71,11 @@ def texts(n):
 
 def test_repeats(documents, spark, monkeypatch):
     rows = [(100 + i, t) for i, t in enumerate(texts(150))]
-    rows += [(90, rows[20][1]), (500, "Orre " * 100), (501, "Orre " * 90), (502, "a" * 49), (503, "a" * 49), (504, "a" * 50), (505, "a" * 51), *[e[:2] for e in EDGES if e[0] != 4]]
+    rows += [(90, rows[20][1]), (500, "Orre " * 100), (501, "Orre " * 90), (502, "a" * 49), (503, "a" * 49), (504, "a" * 50), (505, "a" * 51), *[e[:2] for e in EDGES]]
+    # A long text that another has in part, and one passage with as many contexts as documents that hold it.
+    rnd = random.Random(8)
+    own = lambda k: "".join(rnd.choices("bcdfghjklm ", k=k))
+    rows += [(9, LONG[40_000:90_000] + own(50)), *[(2000 + i, own(40) + "a passage that stands in very many documents, each in its place" + own(40)) for i in range(300)]]
     for shard in (sd.SHARD, 300):
         monkeypatch.setattr(sd, "SHARD", shard)
         got = sd.remove_repeats(documents(rows)).collect()
@@ -93,3 +98,38 @@ def test_repeats_inside_one_document(documents, monkeypatch):
         got = sd.remove_repeats(documents(rows)).collect()
         assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute(rows)
     assert next(r["n_removed"] for r in got if r["doc_id"] == 2) == 140
+
+
+def test_equal_windows_have_equal_anchors():
+    rnd = random.Random(2)
+    for _ in range(50):
+        p = "".join(rnd.choices("ab ", k=rnd.randint(50, 90)))
+        found = []
+        for _ in range(2):
+            front = "".join(rnd.choices("ab ", k=rnd.randint(0, 70)))
+            raw = np.frombuffer((front + p + "".join(rnd.choices("ab ", k=30))).encode(), np.uint8)
+            found.append({int(i) - len(front) for i in sd.anchors(raw)})
+        for s in range(len(p) - sd.WIDTH + 1):
+            inside = [{i for i in f if s <= i <= s + sd.REACH} for f in found]
+            assert inside[0] & inside[1]
+
+
+def test_batches_of_any_size(monkeypatch):
+    """Where batches and shards are cut does not matter."""
+    rows = [(100 + i % 140, i, t) for i, t in enumerate(texts(200))]
+    docs = pd.DataFrame(rows, columns=["doc", "own", "text"])
+    plain = lambda frames: sorted(map(tuple, pd.concat(frames).to_numpy().tolist()))
+    cut = lambda df, n: [df.iloc[i : i + n] for i in range(0, len(df), n)]
+    found = pd.concat(sd._anchored(iter(cut(docs, 40)))).sort_values(["h", "c", "doc"], kind="stable")
+    states = pd.concat(sd._repeated(iter([found])))
+    assert set(states["state"]) == {sd.DONE, sd.FIRST, sd.FURTHER}
+    groups = states[states["state"] == sd.FIRST].groupby(["doc", "own"])
+    first = pd.DataFrame([(*key, *(g[x].to_numpy() for x in ("h", "c", "place"))) for key, g in groups], columns=["doc", "own", "h", "c", "place"])
+    contexts = pd.concat(sd._contexts(iter([first.merge(docs, on=["doc", "own"])]))).sort_values("h", kind="stable")
+    windows = plain(sd._sharded(iter([contexts])))
+    assert windows
+    for n in (1, 3, 50):
+        assert plain(sd._repeated(iter(cut(found, n)))) == plain([states])
+        for shard in (300, sd.SHARD):
+            monkeypatch.setattr(sd, "SHARD", shard)
+            assert plain(sd._sharded(iter(cut(contexts, n)))) == windows

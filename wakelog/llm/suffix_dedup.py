@@ -1,9 +1,10 @@
 """Removal of byte strings that repeat across documents, by suffix arrays over shards built with induced sorting.
 
-Every window of ``width`` bytes has an anchor: the k bytes with the smallest hash in it. Equal windows have equal anchors,
-so windows can only repeat where anchors do. Anchors are brought together by hash, each with a hash of its context (all
-bytes that a window with that anchor may have). Equal contexts repeat as a whole. Where one anchor has different
-contexts, the contexts themselves are sharded by anchor; in a shard those of an anchor are one string, whose suffix array and permuted
+Every window of ``width`` bytes has an anchor: a string of ANCHOR bytes at a place that the smallest hash in the window
+names. Equal windows have equal anchors, so windows can only repeat where anchors do. Anchors are brought together by
+hash, each with a hash of its context (all bytes that a window with that anchor may have). Equal contexts are one, held by
+the smallest document, as equal texts are: both hashes must agree, 128 bits. Where one anchor has different contexts, the
+contexts themselves are sharded by anchor; in a shard those of an anchor are one string, whose suffix array and permuted
 common prefixes tell which windows are equal, and the smallest document with each. A context is searched once, at its
 first place in its smallest document; what is found there is carried to its further places in that document.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import n_parts, stored, text_or_empty
 from .fingerprints import _mixed, _power, span_hashes
 
-WIDTH, ANCHOR = 50, 16
+WIDTH, ANCHOR = 50, 28
+#: Bytes that may stand in front of an anchor in its windows, or behind it; bytes that are hashed to place anchors.
+REACH, SEED = WIDTH - ANCHOR, 5
 #: Bytes of contexts that make a shard: more anchors are added until it is full.
 SHARD = 1_000_000
 
@@ -99,7 +102,7 @@ def suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
     tails = np.cumsum(np.bincount(bucket, minlength=m * top))
     heads = np.concatenate([[0], tails[:-1]])
     # Types: a suffix is smaller than the next one or larger; of equal characters the next one decides.
-    rise = np.ones(n, np.int64)
+    rise = np.ones(n, np.int32)
     rise[:-1] = s[1:] - s[:-1]
     rise[ends] = 1
     small = rise[np.minimum.accumulate(np.where(rise != 0, np.arange(n), n)[::-1])[::-1]] > 0
@@ -228,22 +231,28 @@ def equal_windows(contexts: list[bytes], anchor: np.ndarray, width: int = WIDTH)
     return owner, start, group[begin[owner] + start]
 
 
-def anchors(raw: np.ndarray, width: int = WIDTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the k-byte strings whose hash is the smallest in some window; all of equal ones."""
+def anchors(raw: np.ndarray, width: int = WIDTH, k: int = ANCHOR) -> np.ndarray:
+    """The places of the k-byte anchors of all windows, ascending.
+
+    The smallest hash of SEED bytes in a window, the first of equal ones, stands at some place p of it; the anchor is at p
+    modulo the number of places that an anchor can have. So it depends on the window alone, and anchors are about as rare
+    as if single bytes were hashed, though they are long.
+    """
     n = len(raw)
     if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     x = raw.astype(np.uint64)
-    x = x[:-1] | x[1:] << np.uint64(8)
-    x = x[:-2] | x[2:] << np.uint64(16)
-    x = x[:-4] | x[4:] << np.uint64(32)
-    h = _mixed(x[:-8] + _mixed(x[8:] ^ np.uint64(0x9E3779B97F4A7C15)))
-    span = width - k + 1
-    least = _slide(h, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), span, np.maximum)
-    at = np.flatnonzero(most == h)
-    return at, h[at]
+    h = x[: n - SEED + 1].copy()
+    for i in range(1, SEED):
+        h |= x[i : n - SEED + 1 + i] << np.uint64(8 * i)
+    # The upper half is the hash, the lower one the place: the smallest number has both.
+    h = (_mixed(h) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+    p = (_slide(h, width - SEED + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    start = np.arange(len(p))
+    at = start + (p - start) % (width - k + 1)
+    found = np.zeros(n, bool)
+    found[at] = True
+    return np.flatnonzero(found)
 
 
 def _slide(x: np.ndarray, span: int, best) -> np.ndarray:
@@ -264,87 +273,132 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+#: h, c: hashes of an anchor and its context; place: where the context is in the text of (doc, own), see _place.
+_FOUND = "h long, c long, doc long, own long, place long"
+
+
+def _place(lo: np.ndarray, low_bits: np.ndarray, done) -> np.ndarray:
+    """Packs a first byte, 31 bits that say more, and whether the bytes are known to go."""
+    return lo << 32 | low_bits << 1 | done
+
+
 def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reach = WIDTH - ANCHOR
+    """All anchors of each text. A context that a smaller document of the same batch has goes at once: it need not meet
+    others, and its bytes leave as ranges of (lo, size) under a number of its text, so that frequent ones are spread."""
     for pdf in batches:
-        parts = []
-        for doc, own, text in zip(pdf["doc"].tolist(), pdf["own"].tolist(), pdf["text"].tolist(), strict=True):
+        docs, owns, counts, parts = pdf["doc"].to_numpy(), pdf["own"].to_numpy(), [], []
+        for text in pdf["text"]:
             raw = np.frombuffer(_bytes(text), np.uint8)
-            at, h = anchors(raw)
+            at = anchors(raw)
+            counts.append(len(at))
             if not len(at):
                 continue
             n = len(raw)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(n + 1)[0][:n], out=sums[1:])
-            lo, hi = np.maximum(at - reach, 0), np.minimum(at + WIDTH, n)
+            np.cumsum((raw + np.uint64(1)) * _power(n)[0], out=sums[1:])
+            lo, hi = np.maximum(at - REACH, 0), np.minimum(at + WIDTH, n)
             c = _mixed(span_hashes(raw, lo, hi, sums) + (at - lo).astype(np.uint64))
-            parts.append(pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "doc": doc, "own": own, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}))
-        if parts:
-            yield pd.concat(parts)
+            parts.append((span_hashes(raw, at, at + ANCHOR, sums), c, lo, hi - lo, at - lo))
+        if not parts:
+            continue
+        h, c, lo, size, front = (np.concatenate(x) for x in zip(*parts, strict=True))
+        of = np.repeat(np.arange(len(counts)), counts)
+        # Only the smallest document with a context stays in the search.
+        order = np.lexsort((docs[of], c))
+        least, same = docs[of[order]], np.concatenate([[False], (c[order][1:] == c[order][:-1]) & (h[order][1:] == h[order][:-1])])
+        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        gone = np.zeros(len(order), bool)
+        gone[order] = least > least[begin]
+        stay = ~gone
+        yield pd.DataFrame({"h": h[stay].view(np.int64), "c": c[stay].view(np.int64), "doc": docs[of[stay]], "own": owns[of[stay]], "place": _place(lo[stay], front[stay] << 8 | size[stay], 0)})
+        if gone.any():
+            text, a, b = _ranges(of[gone], lo[gone], lo[gone] + size[gone])
+            spread = _mixed((docs[text] + owns[text]).view(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"h": spread, "c": 0, "doc": docs[text], "own": owns[text], "place": _place(a, b - a, 1)})
+
+
+def _ranges(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, lo, hi) of the ranges that overlapping or touching ones make, for ranges ascending by of, then lo and hi."""
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    return of[begin], lo[begin], hi[np.append(begin[1:], len(of))[: len(begin)] - 1]
 
 
 #: What becomes of a place: all of it goes, it is searched, or it gets what is found at the first place of its context.
 DONE, FIRST, FURTHER = 0, 1, 2
-_PLACE = "h long, c long, doc long, own long, lo int, hi int, state int"
+_STATES = f"{_FOUND}, state int"
 
 
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (h, c, doc): DONE for contexts that a smaller document has; FIRST for the first of each context of
-    an anchor that has several; FURTHER for others in the first one's document. Only the firsts of the open anchor are held."""
-    names = ["h", "c", "doc", "own", "lo", "hi"]
-    held, last_h, last_c, first_doc = pd.DataFrame(columns=names), None, None, 0
+    an anchor that has several; FURTHER for others in the first one's document. One row of the open anchor is held."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    held, last_h, last_c, first_doc, several = None, None, None, 0, False
     for pdf in batches:
         if not len(pdf):
             continue
+        gone = (pdf["place"].to_numpy() & 1) == 1
+        if gone.any():
+            yield pdf.loc[gone, names].assign(state=DONE)
+            pdf = pdf[~gone]
+            if not len(pdf):
+                continue
         h, c, doc = (pdf[x].to_numpy() for x in ("h", "c", "doc"))
         new = np.ones(len(pdf), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         new[0] = (h[0] != last_h) or (c[0] != last_c)
         firsts = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), -1))
         least = np.where(firsts >= 0, doc[np.maximum(firsts, 0)], first_doc)
-        # The anchor that may go on in the next batch is held back, all others are complete.
-        starts = pd.concat([held, pdf.loc[new, names]]) if len(held) else pdf.loc[new, names]
+        starts = np.flatnonzero(new)
+        hs = h[starts]
+        many = np.zeros(len(starts), bool)
+        many[1:] |= hs[1:] == hs[:-1]
+        many[:-1] |= hs[1:] == hs[:-1]
+        if len(starts) and hs[0] == last_h:
+            # The open anchor goes on: its first context is one of several, too.
+            many[hs == last_h] = True
+            if not several:
+                yield held.assign(state=FIRST)
+            several = True
+        # The last context of the batch is held while it is its anchor's only one.
+        if len(starts) and hs[-1] != last_h:
+            several = bool(many[-1])
+            held = pdf.iloc[starts[-1:]][names]
         last_h, last_c, first_doc = h[-1], c[-1], least[-1]
-        at = starts["h"].to_numpy()
-        still = at == last_h
-        held = starts[still]
-        further = pdf.loc[(doc == least) & ~new, names].assign(state=FURTHER)
-        yield pd.concat([pdf.loc[doc > least, names].assign(state=DONE), _several(starts[~still]).assign(state=FIRST), further])
-    yield _several(held).assign(state=FIRST)
+        yield pd.concat([pdf.loc[doc > least, names].assign(state=DONE), pdf.iloc[starts[many]][names].assign(state=FIRST), pdf.loc[(doc == least) & ~new, names].assign(state=FURTHER)])
 
 
-def _several(starts: pd.DataFrame) -> pd.DataFrame:
-    """The rows whose anchor, in sorted order, has more than one."""
-    h = starts["h"].to_numpy()
-    change = np.concatenate([[True], h[1:] != h[:-1], [True]]) if len(h) else np.ones(1, bool)
-    return starts[~(change[:-1] & change[1:])] if len(h) else starts
+_CONTEXT = "h long, c long, doc long, own long, place long, context binary"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
     for pdf in batches:
         rows = []
-        for doc, own, text, places in zip(pdf["doc"], pdf["own"], pdf["text"], pdf["places"], strict=True):
+        for doc, own, text, *places in zip(pdf["doc"], pdf["own"], pdf["text"], pdf["h"], pdf["c"], pdf["place"], strict=True):
             raw = _bytes(text)
-            rows += [(p["h"], p["c"], doc, own, p["lo"], raw[p["lo"] : p["hi"]]) for p in places]
-        yield pd.DataFrame(rows, columns=["h", "c", "doc", "own", "lo", "context"])
+            for h, c, p in zip(*(x.tolist() for x in places), strict=True):
+                lo = p >> 32
+                rows.append((h, c, doc, own, p, raw[lo : lo + (p >> 1 & 0xFF)]))
+        yield pd.DataFrame(rows, columns=names)
 
 
 def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by h: shards of whole anchors; the windows of each context that a smaller document has."""
     held: list[pd.DataFrame] = []
-    size = 0
     for pdf in batches:
         if not len(pdf):
             continue
-        held.append(pdf)
-        size += int(pdf["context"].map(len).sum())
-        if size >= SHARD:
-            rows = pd.concat(held)
-            # The last anchor may go on in the next batch.
-            last = rows["h"].to_numpy() == rows["h"].iloc[-1]
-            if not last.all():
-                yield from _windows(rows[~last])
-                held, size = [rows[last]], int(rows[last]["context"].map(len).sum())
+        h = pdf["h"].to_numpy()
+        # The last anchor may go on in the next batch; all before it are whole.
+        cut = int(np.searchsorted(h, h[-1]))
+        if held and (cut or h[0] != held[0]["h"].iloc[0]):
+            yield from _windows(pd.concat([*held, pdf.iloc[:cut]]))
+            held = []
+        elif cut:
+            yield from _windows(pdf.iloc[:cut])
+        held.append(pdf.iloc[cut:])
     if held:
         yield from _windows(pd.concat(held))
 
@@ -360,21 +414,45 @@ def _windows(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             start = end
 
 
+def _may_share(h: np.ndarray, contexts: list[bytes], front: np.ndarray) -> np.ndarray:
+    """Which contexts may have a window in common with another one of their anchor.
+
+    A window has half of REACH in front of its anchor, or the rest of it behind. Contexts that share neither such bytes
+    with any other can be left out of the search.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    half = REACH // 2
+    out = np.zeros(len(h), bool)
+    for first, n in ((front - half, half), (front + ANCHOR, REACH - half)):
+        has = np.flatnonzero((first >= 0) & (first + n <= sizes))
+        key = h[has].astype(np.uint64)
+        for j in range(n):
+            key = (key + raw[begin[has] + first[has] + j]) * np.uint64(0x9E3779B97F4A7C15)
+        key = _mixed(key)
+        _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+        out[has] |= times[of] > 1
+    return out
+
+
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
+    place = rows["place"].to_numpy()
+    rows = rows[_may_share(rows["h"].to_numpy(), rows["context"].tolist(), place >> 9 & 0xFF)]
+    if not len(rows):
+        return pd.DataFrame(columns=_WINDOWS)
     owner, start, group = equal_windows(rows["context"].tolist(), rows["h"].to_numpy())
-    doc = rows["doc"].to_numpy()
+    doc, first = rows["doc"].to_numpy(), rows["place"].to_numpy() >> 32
     least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[owner])
     hit = np.flatnonzero(least[group] < doc[owner])
-    at = rows["lo"].to_numpy()[owner[hit]] + start[hit]
-    # Windows that overlap make one range.
-    new = np.ones(len(hit), bool)
-    new[1:] = (np.diff(owner[hit]) != 0) | (np.diff(at) > WIDTH)
-    begin = np.flatnonzero(new)
-    stop = np.concatenate([begin[1:], [len(hit)]])[: len(begin)] - 1
-    who = owner[hit][begin]
-    of = rows[["h", "c", "doc", "own"]].iloc[who].assign(first=rows["lo"].to_numpy()[who])
-    return of.assign(lo=at[begin].astype(np.int32), hi=(at[stop] + WIDTH).astype(np.int32))
+    who, a, b = _ranges(owner[hit], start[hit], start[hit] + WIDTH)
+    out = rows[["h", "c", "doc", "own"]].iloc[who]
+    return out.assign(first=first[who], lo=first[who] + a, hi=first[who] + b)[_WINDOWS]
+
+
+#: Ranges of a context that go; first is where the context begins.
+_WINDOWS = ["h", "c", "doc", "own", "first", "lo", "hi"]
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -383,12 +461,12 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _rewritten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc, none, text, places in zip(pdf["doc"].tolist(), pdf["none"].tolist(), pdf["text"].tolist(), pdf["places"], strict=True):
+        for doc, none, text, lo, hi in zip(pdf["doc"].tolist(), pdf["none"].tolist(), pdf["text"].tolist(), pdf["lo"], pdf["hi"], strict=True):
             raw = np.frombuffer(_bytes(text), np.uint8)
             change = np.zeros(len(raw) + 1, np.int32)
-            if places is not None and len(places):
-                np.add.at(change, [p["lo"] for p in places], 1)
-                np.add.at(change, [p["hi"] for p in places], -1)
+            if lo is not None:
+                np.add.at(change, lo, 1)
+                np.add.at(change, hi, -1)
             gone = np.cumsum(change[:-1]) > 0
             kept = raw[~gone].tobytes()
             spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -408,14 +486,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     their names.
     """
     each, n = _docs(docs, doc_id, text), n_parts(docs.sparkSession)
-    found = each.mapInPandas(_anchored, "h long, c long, doc long, own long, lo int, hi int")
-    places = stored(found.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "own", "lo").mapInPandas(_repeated, _PLACE), "places")
+    found = each.mapInPandas(_anchored, _FOUND)
+    places = stored(found.repartition(n, "h").sortWithinPartitions("h", "c", "doc").mapInPandas(_repeated, _STATES), "places")
     key = ["doc", "own"]
-    ask = places.where(F.col("state") == FIRST).groupBy(*key).agg(F.collect_list(F.struct("h", "c", "lo", "hi")).alias("places"))
-    contexts = each.dropDuplicates(key).join(ask, key).mapInPandas(_contexts, "h long, c long, doc long, own long, lo int, context binary")
-    windows = stored(contexts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_sharded, "h long, c long, doc long, own long, first int, lo int, hi int"), "windows")
+    lists = [F.collect_list(x).alias(x) for x in ("h", "c", "place")]
+    ask = places.where(F.col("state") == FIRST).groupBy(*key).agg(*lists)
+    contexts = each.dropDuplicates(key).join(ask, key).mapInPandas(_contexts, _CONTEXT)
+    windows = contexts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_sharded, ", ".join(f"{x} long" for x in _WINDOWS))
+    windows = stored(windows, "windows")
+    lo = F.shiftright("place", 32)
     offsets = windows.select("h", "c", (F.col("lo") - F.col("first")).alias("a"), (F.col("hi") - F.col("first")).alias("b"))
-    carried = places.where(F.col("state") == FURTHER).join(offsets, ["h", "c"]).select(*key, (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-    gone = places.where(F.col("state") == DONE).select(*key, "lo", "hi").unionByName(windows.select(*key, "lo", "hi")).unionByName(carried)
-    ranges = gone.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    return each.join(ranges, key, "left").select("doc", "none", "text", "places").mapInPandas(_rewritten, REMOVED)
+    carried = places.where(F.col("state") == FURTHER).join(offsets, ["h", "c"]).select(*key, (lo + F.col("a")).alias("lo"), (lo + F.col("b")).alias("hi"))
+    # The size of a context takes eight bits; that of a range of whole contexts all that are left.
+    size = F.when(F.col("place").bitwiseAND(F.lit(1)) == 1, F.shiftright("place", 1).bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(F.shiftright("place", 1).bitwiseAND(F.lit(0xFF)))
+    done = places.where(F.col("state") == DONE).select(*key, lo.alias("lo"), (lo + size).alias("hi"))
+    gone = done.unionByName(windows.select(*key, "lo", "hi")).unionByName(carried)
+    ranges = gone.groupBy(*key).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return each.join(ranges, key, "left").select("doc", "none", "text", "lo", "hi").mapInPandas(_rewritten, REMOVED)
