@@ -1,9 +1,12 @@
 """Viterbi over the trie against a plain one, exact round trips, and edge cases."""
 
+import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import EDGES, SCHEMA
 
 from wakelog.llm import pieces
@@ -67,6 +70,37 @@ def test_trie(vocabulary):
         assert ok and trie.value[s] == i
 
 
+def test_small_parts(documents, spark, vocabulary, monkeypatch):
+    """The same ids, however texts and chunks are cut and whatever is remembered."""
+    texts = [*some(120), "", "a" * 400, "word " * 300]
+    want = pieces.Encoder(vocabulary).encode(texts)
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    monkeypatch.setattr(pieces, "REMEMBERED", 5_000)
+    encoder = pieces.Encoder(vocabulary)
+    assert [encoder.encode([t])[0] for t in texts] == want
+    assert encoder.held < 5_000 + 200 * 1_700
+    batch = pa.RecordBatch.from_pydict({"text": [*texts, None]})
+    for size in (1, 100, 10**9):
+        monkeypatch.setattr(pieces, "BATCH", size)
+        parts = list(pieces._in_parts(batch, 0))
+        assert [t for _, p in parts for t in p] == [*texts, ""] and all(p.num_rows == len(t) for p, t in parts)
+
+
+def test_round_trips(documents, spark, vocabulary):
+    rows = [(100 + i, t) for i, t in enumerate(some(40))]
+    docs = documents([*EDGES, *rows]).withColumnRenamed("lang", "decoded")
+    ids = {r["doc_id"]: r["token_ids"] for r in pieces.encode_pieces(docs, vocabulary, keep=["doc_id"]).collect()}
+    got = pieces.round_trips(docs, vocabulary).collect()
+    assert len(got) == len(EDGES) + 40
+    for r in got:
+        assert r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) and r["decoded"] in ("en", None)
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+        if r["doc_id"] is not None:
+            assert r["token_ids"] == ids[r["doc_id"]]
+    with pytest.raises(ValueError):
+        pieces.round_trips(docs.withColumn("n_tokens", F.lit(1)), vocabulary)
+
+
 def test_columns(documents, spark, vocabulary):
     rows = [(100 + i, t) for i, t in enumerate(some(50))]
     got = pieces.decode_pieces(pieces.encode_pieces(documents([*EDGES, *rows]), vocabulary), vocabulary)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import fresh, text_or_empty
 
@@ -18,8 +22,10 @@ MARKER = "▁"
 _MARK = MARKER.encode()
 #: What an unknown character costs beyond the worst piece; fixed by the encoding.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose pieces a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of chunks and their pieces that a worker remembers, with what Python adds to each.
+REMEMBERED, PER_CHUNK = 48_000_000, 160
+#: Bytes of chunks that are searched together, and of texts that are encoded together.
+TOGETHER, BATCH = 150_000, 1_000_000
 _CHUNK = re.compile(r" +[^ ]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -116,7 +122,11 @@ class Encoder:
             raise ValueError("the vocabulary lacks pieces for single bytes")
         self.byte_ids = np.array([self.bytes[b] for b in range(256)])
         self.trie = Trie({p.encode(): i for i, (p, ok) in enumerate(zip(v.pieces, v.usable, strict=True)) if ok and p})
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def best(self, chunks: list[bytes]) -> list[bytes]:
         """The ids, four bytes each, on the best path of each chunk of UTF-8 bytes; of equal paths the one with the longer piece last."""
@@ -184,12 +194,18 @@ class Encoder:
     def arrays(self, texts: list[str]) -> list[np.ndarray]:
         """As encode, in int32 arrays."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        if self.held > REMEMBERED:
+            self.forget()
         new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {c: self.known[c] for chunks in cut for c in chunks if c in self.known}
         # 0xFF is in no UTF-8 text and no piece.
         raw = [c.encode("utf-8", "surrogatepass").replace(_MARK, b"\xff").replace(b" ", _MARK) for c in new]
-        self.known.update(zip(new, self.best(raw), strict=True))
+        edges = np.cumsum([len(r) for r in raw])
+        begin = 0
+        while begin < len(raw):
+            end = max(begin + 1, int(np.searchsorted(edges, (edges[begin - 1] if begin else 0) + TOGETHER)))
+            self.known.update(zip(new[begin:end], self.best(raw[begin:end]), strict=True))
+            begin = end
+        self.held += sum(len(c) + len(self.known[c]) + PER_CHUNK for c in new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in cut]
 
 
@@ -203,30 +219,68 @@ class Decoder:
         return b"".join(map(self.table.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "token_ids") -> DataFrame:
+def _in_parts(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, null as empty, each of about BATCH bytes at most, or of one text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges, begin = np.cumsum(lengths), 0
+    while begin < len(lengths):
+        end = max(begin + 1, int(np.searchsorted(edges, (edges[begin - 1] if begin else 0) + BATCH)))
+        part = batch.slice(begin, end - begin)
+        yield part, [t or "" for t in part.column(text).to_pylist()]
+        begin = end
+
+
+def _with(docs: DataFrame, keep: list[str], text: str, vocabulary: Vocabulary, fields: list[StructField], values: Callable) -> DataFrame:
+    """The columns keep of docs, with fields added; values(encoder, decoder, texts) gives the arrays of a part.
+
+    The trie is built once, by the driver; workers get its arrays. Texts come in and what is asked goes out, part by part.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((Encoder(vocabulary), Decoder(vocabulary)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = shared.value
+        for batch in batches:
+            for part, texts in _in_parts(batch, len(keep)):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *values(encoder, decoder, texts)], [*keep, *(f.name for f in fields)])
+
+    schema = StructType([*(docs.schema[c] for c in keep), *fields])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")).mapInArrow(each, schema)
+
+
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
     """docs with an array<int> column of piece ids added, of the whole text.
 
-    Null and empty texts have no ids. Texts may have any length; a batch of texts is cut at about 1 MB of them. Equal
-    texts have equal ids, repeated rows repeat them. An empty table gives an empty one. Other columns pass through;
-    ValueError if one is named as the added one.
+    Null and empty texts have no ids. Texts may have any length; they are encoded in parts of about 1 MB of them. Equal
+    texts have equal ids, repeated rows repeat them. An empty table gives an empty one. Other columns pass through, or
+    those of keep; ValueError if one is named as the added one.
+    """
+    keep = docs.columns if keep is None else keep
+    fresh(docs.select(*keep), out, "_text")
+    return _with(docs, keep, text, vocabulary, [StructField(out, ArrayType(IntegerType()))], lambda e, d, texts: [_listed(e.arrays(texts))])
+
+
+def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (all, if none are named) with token_ids, n_tokens, decoded_sha256 and round_trip added.
+
+    Each text is encoded, its ids are decoded, and the decoded text (its lower-case hex digest of UTF-8 is given) is held
+    against it. Other cases are as with encode_pieces, null counts as empty.
     """
-    fresh(docs, out)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value)
-        for texts in batches:
-            done, held, size = [], [], 0
-            for t in texts:
-                held.append(t)
-                size += len(t)
-                if size > 1_000_000:
-                    done += encoder.arrays(held)
-                    held, size = [], 0
-            yield pd.Series(done + encoder.arrays(held), dtype=object)
-
-    return docs.withColumn(out, encoded(text_or_empty(text)))
+    keep = docs.columns if keep is None else keep
+    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded_sha256", StringType()), StructField("round_trip", BooleanType())]
+    fresh(docs.select(*keep), "_text", *(f.name for f in fields))
+
+    def values(encoder: Encoder, decoder: Decoder, texts: list[str]) -> list[pa.Array]:
+        ids = encoder.arrays(texts)
+        back = [decoder.decode(x.tolist()) for x in ids]
+        sums = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
+        return [_listed(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())]
+
+    return _with(docs, keep, text, vocabulary, fields, values)
 
 
 def decode_pieces(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

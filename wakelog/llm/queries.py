@@ -7,13 +7,13 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table
 from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
-from .pieces import Vocabulary, decode_pieces, encode_pieces
+from .pieces import Vocabulary, round_trips
 from .pii import KINDS, listed, personal_data
 from .quality import rate_documents
 from .suffix_dedup import remove_repeats
@@ -50,10 +50,7 @@ def piece_vocabulary(name: str = "piece_bpe_32k.model") -> Vocabulary:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = piece_vocabulary()
-    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
-    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
-    return out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), decoded.alias("decoded_sha256"), (F.col("decoded") == text_or_empty()).alias("round_trip"))
+    return round_trips(table(spark, sf_dir, "documents"), piece_vocabulary(), keep=["doc_id"])
 
 
 @functools.cache
