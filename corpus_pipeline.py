@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, and the piece ids of the text with their number."""
-    out = encode_pieces(docs.select("doc_id", "source", "text"), piece_vocabulary())
-    return out.select("doc_id", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    out = encode_pieces(docs, piece_vocabulary(), keep=["doc_id", "source"])
+    return out.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [("quality classifier", reject_poor), ("line dedup", drop_lines), ("near dedup", drop_copies), ("mix sources", mix), ("encode pieces", encode)]
