@@ -399,38 +399,40 @@ def _met(nodes: DataFrame) -> DataFrame:
     return stored(shared.join(first, "key").select("key", "node", "size", level.alias("level")), "met")
 
 
-def _of_round(left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
-    """(a, b): the centres of a round with the other nodes of their buckets that may be linked to them.
+def _of_round(met: DataFrame, left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
+    """(a, b): the centres of a round with the other nodes of their buckets that may be linked to them, each pair once.
 
-    left holds a bucket's nodes of this round and later ones, facts (node, root, n, sketch) what is known of each.
+    met: all nodes in their buckets; left: those of this round and later ones in buckets that are not done; facts (node,
+    root, n, sketch): what is known of each.
     """
     parts = F.ceil(F.col("size") / BUCKET_ROWS)
-    places = left.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("level") == at, F.col("key"))).alias("central"))
-    known = left.join(places.join(facts, "node"), "node")
+    central = left.where(F.col("level") == at).groupBy("node").agg(F.collect_list("key").alias("central"))
+    early = met.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("level") < at, F.col("key"))).alias("early"))
+    known = left.join(early.join(central, "node", "left").join(facts, "node"), "node").withColumn("central", F.coalesce("central", F.array().cast("array<long>")))
     centres = known.where(F.col("level") == at).withColumn("salt", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
     others = known.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    later = (F.col("y.level") > at) | (F.col("x.node") < F.col("y.node"))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & later & (F.col("x.root") != F.col("y.root"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") != F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     fit = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & _close(least, at > 0)
-    # Of all the buckets in which a centre meets a node, one gives the pair.
-    once = F.array_min(F.array_intersect("x.central", "y.keys")) == F.col("x.key")
-    pairs = centres.alias("x").join(others.alias("y"), meet & fit & once)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # Of the buckets in which a centre meets a node one gives the pair; of two centres the smaller; and no earlier round did.
+    first = F.array_min(F.array_intersect("x.central", "y.keys")) == F.col("x.key")
+    mine = (F.col("x.node") < F.col("y.node")) | ~F.arrays_overlap("y.central", "x.keys")
+    new = ~F.arrays_overlap("x.early", "y.keys") & ~F.arrays_overlap("y.early", "x.keys")
+    pairs = centres.alias("x").join(others.alias("y"), meet & fit & first & mine & new)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def linked(nodes: DataFrame, texts_of, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes that have links. nodes: (node, keys, n, sketch); texts_of(nodes) gives (node, text)."""
-    left, at, roots, done = _met(nodes), 0, None, None
-    texts = stored(texts_of(left.select("node").distinct()), "texts")
+    met = _met(nodes)
+    left, at, roots = met, 0, None
+    texts = stored(texts_of(met.select("node").distinct()), "texts")
     facts = nodes.select("node", "n", *LONGS)
     while left is not None:
         if at == 1:
             finer = finer_sketches(texts.join(left.select("node").distinct(), "node", "left_semi"))
             facts = stored(facts.select("node", "n").join(finer, "node"), "finer")
         placed = facts.withColumn("root", F.col("node")) if roots is None else facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = _of_round(left, placed, at, least)
-        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
+        pairs = stored(_of_round(met, left, placed, at, least), "pairs")
         roots = stored(_united(roots, _verified(pairs, texts, least)), "roots")
         left, at = _still_open(left, roots, at), at + 1
     return roots
