@@ -97,10 +97,10 @@ def suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """
     n, m = len(s), len(edges) - 1
     starts, ends, sizes = edges[:-1], edges[1:] - 1, np.diff(edges)
-    top = int(s.max()) + 1
-    bucket = np.repeat(np.arange(m) * top, sizes) + s
-    tails = np.cumsum(np.bincount(bucket, minlength=m * top))
-    heads = np.concatenate([[0], tails[:-1]])
+    tops = np.maximum.reduceat(s, starts).astype(np.int64) + 1
+    bucket = (np.repeat(np.cumsum(tops) - tops, sizes) + s).astype(np.int32)
+    tails = np.cumsum(np.bincount(bucket, minlength=int(tops.sum()))).astype(np.int32)
+    heads = np.concatenate([np.zeros(1, np.int32), tails[:-1]])
     # Types: a suffix is smaller than the next one or larger; of equal characters the next one decides.
     rise = np.ones(n, np.int32)
     rise[:-1] = s[1:] - s[:-1]
@@ -119,10 +119,11 @@ def suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
     alive = m - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
 
     def induce(order: np.ndarray) -> np.ndarray:
-        sa = np.full(n, -1, np.int64)
+        sa = np.full(n, -1, np.int32)
         order = order[np.argsort(bucket[order], kind="stable")]
         of = bucket[order]
-        sa[tails[of] - np.searchsorted(of, of, "right") + np.arange(len(of))] = order
+        last = np.append(np.flatnonzero(of[1:] != of[:-1]), len(of) - 1)
+        sa[tails[of] - np.repeat(last + 1, np.diff(last, prepend=-1)) + np.arange(len(of))] = order
         at = heads.copy()
         for p in range(longest):
             x = sa[first[: alive[p]] + p]
@@ -161,22 +162,21 @@ def suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return induce(ordered)
     name = np.cumsum(~same)
     cuts = np.searchsorted(places, edges)
-    names = np.empty(n, np.int64)
+    names = np.empty(n, np.int32)
     # A string's smallest substring is its end, which thus is named 0 again.
     names[ordered] = name - np.repeat(name[cuts[:-1]], np.diff(cuts))
     return induce(places[suffix_arrays(names[places], cuts)])
 
 
-#: Strings advance together where there are this many times more characters than the longest has; others go one by one.
-TOGETHER = 40
+#: A step that all strings take together costs about as much as this many of them take alone.
+TOGETHER = 25
 
 
 def all_suffix_arrays(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """As suffix_arrays; a string that is too long for its companions is sorted on its own, with the same result."""
+    """As suffix_arrays; the few longest strings, which would go on alone, are sorted one by one, with the same result."""
     sizes = np.diff(edges)
-    by_size = np.argsort(sizes, kind="stable")
-    fits = np.flatnonzero(np.cumsum(sizes[by_size]) >= TOGETHER * sizes[by_size])
-    many = np.sort(by_size[: fits[-1] + 1]) if len(fits) else np.zeros(0, np.int64)
+    longest = np.argsort(sizes, kind="stable")[-TOGETHER:]
+    many = np.flatnonzero(sizes <= sizes[longest[0]]) if len(sizes) > TOGETHER else np.zeros(0, np.int64)
     sa = np.empty(len(s), np.int64)
     if len(many):
         cuts = np.concatenate([[0], np.cumsum(sizes[many])])
@@ -217,8 +217,8 @@ def equal_windows(contexts: list[bytes], anchor: np.ndarray, width: int = WIDTH)
     # Bytes count from 2; 1 ends a context, 0 an anchor's string.
     room = sizes + 1 + ends_anchor
     begin = np.cumsum(room) - room
-    s = np.zeros(int(room.sum()), np.int64)
-    raw = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64)
+    s = np.zeros(int(room.sum()), np.int32)
+    raw = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int32)
     s[np.arange(len(raw)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)] = raw + 2
     s[begin + sizes] = 1
     edges = np.concatenate([[0], (begin + room)[ends_anchor]])
@@ -242,9 +242,10 @@ def anchors(raw: np.ndarray, width: int = WIDTH, k: int = ANCHOR) -> np.ndarray:
     if n < width:
         return np.zeros(0, np.int64)
     x = raw.astype(np.uint64)
-    h = x[: n - SEED + 1].copy()
-    for i in range(1, SEED):
-        h |= x[i : n - SEED + 1 + i] << np.uint64(8 * i)
+    # SEED bytes as one number: two, four, then five.
+    h = x[:-1] | x[1:] << np.uint64(8)
+    h = h[:-2] | h[2:] << np.uint64(16)
+    h = h[:-1] | x[SEED - 1 :] << np.uint64(32)
     # The upper half is the hash, the lower one the place: the smallest number has both.
     h = (_mixed(h) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     p = (_slide(h, width - SEED + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -304,11 +305,11 @@ def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, c, lo, size, front = (np.concatenate(x) for x in zip(*parts, strict=True))
         of = np.repeat(np.arange(len(counts)), counts)
         # Only the smallest document with a context stays in the search.
-        order = np.lexsort((docs[of], c))
-        least, same = docs[of[order]], np.concatenate([[False], (c[order][1:] == c[order][:-1]) & (h[order][1:] == h[order][:-1])])
-        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        order = np.argsort(c)
+        cs, hs, doc = c[order], h[order], docs[of[order]]
+        begin = np.flatnonzero(np.concatenate([[True], (cs[1:] != cs[:-1]) | (hs[1:] != hs[:-1])]))
         gone = np.zeros(len(order), bool)
-        gone[order] = least > least[begin]
+        gone[order] = doc > np.repeat(np.minimum.reduceat(doc, begin), np.diff(begin, append=len(order)))
         stay = ~gone
         yield pd.DataFrame({"h": h[stay].view(np.int64), "c": c[stay].view(np.int64), "doc": docs[of[stay]], "own": owns[of[stay]], "place": _place(lo[stay], front[stay] << 8 | size[stay], 0)})
         if gone.any():
