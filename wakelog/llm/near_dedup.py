@@ -35,7 +35,7 @@ SKETCH, MISSED = 128, 5e-6
 #: Marks of the finer sketch, a bit each, that texts get whose buckets are not done after the first round.
 FINER = 1024
 #: A round takes this many times the centres of the one before.
-MORE_CENTRES = 16
+MORE_CENTRES = 64
 #: Rows of a bucket that one task joins; larger buckets are salted.
 BUCKET_ROWS = 100_000
 #: Bytes of words that a worker keeps for the texts it has met.
@@ -433,7 +433,8 @@ def linked(nodes: DataFrame, texts_of, least: float = LEAST) -> DataFrame:
             facts = stored(facts.select("node", "n").join(finer, "node"), "finer")
         placed = facts.withColumn("root", F.col("node")) if roots is None else facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = stored(_of_round(met, left, placed, at, least), "pairs")
-        roots = stored(_united(roots, _verified(pairs, texts, least)), "roots")
+        before, roots = roots, _united(roots, _verified(pairs, texts, least))
+        roots = roots if roots is before else stored(roots, "roots")
         left, at = _still_open(left, roots, at), at + 1
     return roots
 
@@ -444,6 +445,9 @@ def _united(roots: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     joined = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = stored(joined.where("a <> b"), "joined")
+    if joined.isEmpty():
+        return roots
     moved = components(joined)
     new = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     # Roots have no rows of their own, so what moved is not in there yet.

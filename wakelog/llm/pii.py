@@ -1,19 +1,24 @@
 """Personal data by fixed forms and by bootstrapped contexts, in DataFrame functions only.
 
-The fixed forms (email, ip, card, phone) give the seeds. The words around seeds induce lexical patterns. Patterns and the
-values they surround make a graph; Spark scores it in rounds: a pattern is as good as the share of its values that are
-believed, a value as good as its patterns together. Patterns that end up sure mark values that no fixed form finds.
+The fixed forms (email, ip, card, phone, and keys written as digits of base 16) give the seeds. The words around seeds
+induce lexical patterns. Patterns and the values they surround make a graph; Spark scores it in rounds: a pattern is as
+good as the share of its values that are believed, a value as good as its patterns together. Patterns that end up sure
+mark values that no fixed form finds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
 
-#: In the order in which spans are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: In the order in which spans are listed. The first BASE of them have forms that count as found whatever stands around.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
+#: The number that candidates bear in the place of a kind.
+CANDIDATE = -1
 
 _LOCAL, _HOST, _BLANK = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"\x20\x09-\x0D"
 #: The forms, with guards and possessive runs so that the search stays linear in long runs of one kind of character. A
@@ -24,9 +29,16 @@ FORMS = {
     "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token with an at sign or six digits: what a pattern may mark.
-TOKEN = rf"(?<![^{_BLANK}])(?=[^{_BLANK}@]*+@|(?:[^{_BLANK}0-9]*+[0-9]){{6}})[^{_BLANK}]++"
-#: Code points on either side of a span that are searched for its context.
+#: The seeds of secrets: 40 lower-case digits of base 16 (as of a hash or a key), with letters and decimals.
+SECRET = r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{40}(?![0-9A-Za-z])"
+#: What a pattern may mark, from the start of a token on: an address spelled out; groups of digits; a token with an at sign,
+#: six digits, or two colons among digits of base 16.
+_START, _TOKEN = rf"(?<![^{_BLANK}])", rf"[^{_BLANK}]++"
+_SPELLED = rf"{_TOKEN}\x20(?:at|\(at\)|\[at\])\x20{_TOKEN}(?:\x20(?:dot|\(dot\)|\[dot\])\x20{_TOKEN})++"
+_GROUPS = r"[0-9(+][0-9().+-]*+(?:\x20[0-9(][0-9().+-]*+)++"
+_ONE = rf"(?=[^{_BLANK}@]*+@|(?:[^{_BLANK}0-9]*+[0-9]){{6}}|[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:){_TOKEN}"
+CANDIDATES = rf"{_START}(?:{_SPELLED}|{_GROUPS}|{_ONE})"
+#: Code points on either side of a match that are searched for its context.
 REACH = 80
 
 
@@ -49,59 +61,76 @@ CHECKS = {
 #: Whether a document can hold a form at all.
 HINTS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike("[0-9]"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 
-SPANS = "array<struct<start:int,end:int,value:string>>"
+def _matches(text: Column, form: str, hint: Column, kind: int) -> Column:
+    """The leftmost non-overlapping matches, each with its number, the length of the gap before it, its own, its value, and
+    what stands before and behind it. Matches and gaps are each read once, so the work is linear in the text."""
+    found, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
+    # What an element needs of its neighbours is laid beside it: an array named inside the lambda would be made anew each time.
+    last, rest = F.array(F.lit("")), lambda of: F.slice(of, 2, F.greatest(F.lit(1), F.size(of)))
+    beside = F.arrays_zip(gaps.alias("gap"), found.alias("value"), F.concat(last, found).alias("last"), rest(gaps).alias("next_gap"), rest(found).alias("next"))
 
-
-def found_spans(text: Column, form: str, hint: Column) -> Column:
-    """Leftmost non-overlapping matches as structs (start, end, value), counted in code points, end exclusive."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gaps"])
-        end = start + F.length(pair["matches"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["matches"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def one(x: Column, i: Column) -> Column:
+        text_of = lambda c: F.coalesce(x[c], F.lit(""))
+        before, behind = F.concat(text_of("last"), text_of("gap")), F.concat(text_of("next_gap"), text_of("next"))
+        sides = F.right(before, F.lit(REACH)).alias("before"), F.left(behind, F.lit(REACH)).alias("behind")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(text_of("gap")).alias("gap"), F.length(x["value"]).alias("size"), x["value"].alias("value"), *sides)
 
     # Behind the last match one gap is left over.
-    pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), lambda p: p["matches"].isNotNull())
-    return F.when(hint & text.rlike(form), F.aggregate(pairs, empty, add)["spans"]).otherwise(F.array().cast(SPANS))
-
-
-def base_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, text, base, tokens): per row the spans of the fixed forms, sorted, and the tokens outside of them."""
-    body = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    t = F.col("text")
-    kinds = body.select("*", *[_passing(t, k).alias(k) for k in KINDS])
-    named = [_of_kind(F.col(k), i) for i, k in enumerate(KINDS)]
-    based = kinds.select("doc_id", "text", F.concat(*named).alias("base"))
-    tokens = F.transform(found_spans(t, TOKEN, F.contains(t, F.lit("@")) | t.rlike("[0-9]")), _core)
-    free = F.filter(tokens, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return based.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "base", free.alias("tokens"))
-
+    pairs = F.filter(beside, lambda x: x["value"].isNotNull())
+    return F.when(hint & text.rlike(form), F.transform(pairs, one)).otherwise(F.array().cast(_MATCHES))
 
-def _passing(text: Column, kind: str) -> Column:
-    return F.filter(found_spans(text, FORMS[kind], HINTS[kind](text)), lambda s: CHECKS[kind](s["value"]))
 
+_MATCHES = "array<struct<kind:int,i:int,gap:int,size:int,value:string,before:string,behind:string>>"
 
-def _of_kind(spans: Column, kind: int) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-
-def _core(span: Column) -> Column:
-    """The token without the signs at its ends."""
-    head = F.length(F.regexp_extract(span["value"], r"^[^\p{L}\p{N}+]*+", 0))
-    tail = F.length(F.regexp_extract(span["value"], r"[^\p{L}\p{N}]*$", 0))
-    end = F.greatest(span["start"] + head, span["end"] - tail)
-    return F.struct((span["start"] + head).alias("start"), end.alias("end"), F.substring(span["value"], head + 1, end - span["start"] - head).alias("value"))
-
-
-def _context(text: Column, start: Column, end: Column) -> Column:
-    """Two words before and one behind a span, lower-cased; a missing word is empty."""
-    first = F.greatest(F.lit(0), start - REACH)
-    left = F.split(F.lower(F.regexp_replace(F.substring(text, first + 1, start - first), rf"[{_BLANK}]+$", "")), rf"[{_BLANK}]+", -1)
-    right = F.split(F.lower(F.regexp_replace(F.substring(text, end + 1, F.lit(REACH)), rf"^[{_BLANK}]+", "")), rf"[{_BLANK}]+", -1)
-    return F.struct(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("l2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("l1"), F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("")).alias("r1"))
+def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, doc_id, found): a row for each document with the matches of every form and the candidates; no text."""
+    t = F.col("text")
+    digit = t.rlike("[0-9]")
+    every = [_matches(t, FORMS[k], HINTS[k](t), i) for i, k in enumerate(KINDS[:BASE])]
+    every += [_matches(t, SECRET, digit, BASE), _matches(t, CANDIDATES, F.contains(t, F.lit("@")) | digit | F.contains(t, F.lit(" at")) | F.contains(t, F.lit(" (at")) | F.contains(t, F.lit(" [at")), CANDIDATE)]
+    body = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    return body.select("rid", "doc_id", F.concat(*every).alias("found"))
+
+
+def placed(each: DataFrame) -> DataFrame:
+    """(rid, kind, start, end, value, before, behind) of the matches that pass their checks and of the candidates outside of
+    them. Places are running sums over the matches of one form, candidates lose the signs at their ends."""
+    rows = each.select("rid", F.explode("found").alias("m")).select("rid", "m.*")
+    so_far = W.partitionBy("rid", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    value, is_candidate = F.col("value"), F.col("kind") == CANDIDATE
+    signs = r"^[^\p{L}\p{N}+]*+"
+    head, tail = F.regexp_extract(value, signs, 0), F.reverse(F.regexp_extract(F.reverse(value), signs.replace("+]", "]"), 0))
+    core = F.substring(value, F.length("head") + 1, F.greatest(F.lit(0), F.length(value) - F.length("head") - F.length("tail")))
+    cut = ends.withColumns({"head": F.when(is_candidate, head).otherwise(""), "tail": F.when(is_candidate, tail).otherwise("")}).where(F.length("head") < F.length(value))
+    trimmed = cut.select("rid", "kind", (F.col("start") + F.length("head")).alias("start"), (F.col("end") - F.length("tail")).alias("end"), core.alias("value"), F.concat("before", "head").alias("before"), F.concat("tail", "behind").alias("behind"))
+    passes = F.coalesce(*[F.when(F.col("kind") == i, CHECKS[k](F.col("value"))) for i, k in enumerate(KINDS[:BASE])], F.lit(True))
+    good = trimmed.where(passes)
+    # Base forms stay in any case; secrets give way to them, candidates to both.
+    rank = F.when(F.col("kind") == CANDIDATE, 2).when(F.col("kind") >= BASE, 1).otherwise(0)
+    return _clear(_clear(good.withColumn("rank", rank), 1), 2).drop("rank")
+
+
+def _clear(rows: DataFrame, rank: int) -> DataFrame:
+    """rows without those of a rank that overlap one of a lower rank; one sweep from either end of a document."""
+    firm = F.col("rank") < rank
+    up = W.partitionBy("rid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("rid").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    reach, following = F.max(F.when(firm, F.col("end"))).over(up), F.min(F.when(firm, F.col("start"))).over(down)
+    met = rows.withColumns({"_reach": reach, "_next": following})
+    overlaps = F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False))
+    return met.where((F.col("rank") != rank) | ~overlaps).drop("_reach", "_next")
+
+
+def with_patterns(rows: DataFrame) -> DataFrame:
+    """A row for each span and pattern: the three words before it, or the word on either side; all in lower case."""
+    blanks = rf"[{_BLANK}]+"
+    left = F.split(F.lower(F.regexp_replace(F.col("before"), rf"[{_BLANK}]++$", "")), blanks, -1)
+    right = F.split(F.lower(F.regexp_replace(F.col("behind"), rf"^[{_BLANK}]++", "")), blanks, -1)
+    word = lambda words, i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))
+    patterns = F.array(F.concat_ws("\t", F.lit("left"), *(word(left, i) for i in (-3, -2, -1))), F.concat_ws("\t", F.lit("near"), *(word(left, i) for i in (-2, -1))), F.concat_ws("\t", F.lit("both"), word(left, -1), word(right, 1)))
+    return rows.select("rid", "kind", "start", "end", F.lower("value").alias("value"), F.explode(patterns).alias("pattern"))
 
 
 def scored_patterns(found: DataFrame, rounds: int = 3, min_values: int = 3) -> DataFrame:
@@ -115,53 +144,53 @@ def scored_patterns(found: DataFrame, rounds: int = 3, min_values: int = 3) -> D
     links = edges.select("pattern", "value")
     totals = links.groupBy("pattern").agg(F.count("*").alias("n"))
     beliefs, patterns = seeds, None
-    for _ in range(rounds):
+    for i in range(rounds):
         hits = links.join(beliefs, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("hits"))
         patterns = hits.where(F.col("hits") >= min_values).join(totals, "pattern").select("pattern", "kind", (F.col("hits") / F.col("n")).alias("sure"))
-        # One less the product of the doubts; seeds stay as they are.
+        if i + 1 == rounds:
+            break
+        # One less the product of the doubts; seeds stay as they are. Each round is written down, which cuts the plan.
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("sure"))))
         guessed = links.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("belief"))
-        beliefs = seeds.unionByName(guessed.join(seeds.select("value"), "value", "left_anti"))
+        beliefs = stored(seeds.unionByName(guessed.join(seeds.select("value").distinct(), "value", "left_anti")), "pii-beliefs")
     return patterns
 
 
-#: What an unseen value must look like to be taken for a kind.
-def _plausible(kind: Column, value: Column) -> Column:
-    n = _n_digits(value)
-    looks = {0: F.contains(value, F.lit("@")), 1: value.rlike(r"^[0-9a-f]+([.:][0-9a-f]*){3,}$"), 2: n.between(12, 19) & ~value.rlike("[a-z]"), 3: n.between(7, 15) & ~value.rlike("[a-z]")}
+def plausible(kind: Column, value: Column) -> Column:
+    """Whether an unseen value (in lower case) may be of a kind."""
+    n, letters = _n_digits(value), value.rlike("[a-z]")
+    looks = {
+        0: F.contains(value, F.lit("@")) | value.rlike(r"\x20[(\[]?at[)\]]?\x20"), 1: value.rlike(r"^[0-9a-f]*+(?:[.:][0-9a-f]*+){2,}+$"),
+        2: n.between(12, 19) & ~letters, 3: n.between(7, 15) & ~letters, 4: value.rlike(r"^[a-z0-9_./+=-]{12,}+$") & (n >= 4),
+    }
     return F.coalesce(*[F.when(kind == k, c) for k, c in looks.items()], F.lit(False))
 
 
+def discovered(found: DataFrame, sure: float = 0.8, rounds: int = 3, min_values: int = 3) -> DataFrame:
+    """(rid, kind, start, end) of the candidates that a sure pattern marks, of the surest kind; found: see with_patterns."""
+    patterns = scored_patterns(found, rounds, min_values).where(F.col("sure") >= sure).select("pattern", F.col("kind").alias("as_kind"), "sure")
+    hits = found.where(F.col("kind") == CANDIDATE).join(patterns, "pattern").where(plausible(F.col("as_kind"), F.col("value")))
+    return hits.groupBy("rid", "start", "end").agg(F.max(F.struct("sure", (-F.col("as_kind")).alias("k"))).alias("b")).select("rid", (-F.col("b.k")).alias("kind"), "start", "end")
+
+
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sure: float = 0.8, rounds: int = 3, min_values: int = 3) -> DataFrame:
     """(doc_id, base, spans): sorted arrays of (kind, start, end), kind as a place in KINDS, code points, end exclusive.
 
-    base holds the matches of the fixed forms; spans holds those and the tokens that patterns at least ``sure`` mark.
-    Null and empty texts have none. Texts may have any length and are searched whole. Repeated rows, and rows that share
-    an id, each get their own spans. Null ids stay null. An empty table gives an empty one. Other columns are left out,
-    whatever their names.
+    base holds the matches of the four fixed forms; spans holds those, the seeds of secrets, and the candidates that
+    patterns at least ``sure`` mark. Null and empty texts have none. Texts may have any length and are searched whole, in
+    time linear in it. Repeated rows, and rows that share an id, each get their own spans. Null ids stay null. An empty
+    table gives an empty one. Other columns are left out, whatever their names.
     """
-    # The forms are searched once; what follows reads the few rows that have spans or tokens, and no text.
-    each = stored(_with_mentions(base_spans(docs, doc_id, text)), "pii-spans")
-    found = each.select("rid", F.explode("marks").alias("m")).select("rid", "m.*")
-    patterns = scored_patterns(found, rounds, min_values).where(F.col("sure") >= sure).select("pattern", F.col("kind").alias("as_kind"))
-    more = found.where(F.col("kind") < 0).join(patterns, "pattern").where(_plausible(F.col("as_kind"), F.col("value")))
-    added = more.groupBy("rid").agg(F.collect_set(F.struct(F.col("as_kind").alias("kind"), "start", "end")).alias("added"))
-    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.sort_array(F.transform("base", place))
-    both = each.select("rid", "doc_id", "base").join(added, "rid", "left")
-    return both.select("doc_id", base.alias("base"), F.sort_array(F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
-
-
-def _with_mentions(spans: DataFrame) -> DataFrame:
-    """The patterns of each row's spans and tokens beside them, without the text."""
-    both = F.concat("base", _of_kind(F.col("tokens"), -1))
-
-    def marks(m: Column) -> Column:
-        c = _context(F.col("text"), m["start"], m["end"])
-        row = lambda p: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), p.alias("pattern"))
-        return F.array(row(F.concat_ws("\t", F.lit("left"), c["l2"], c["l1"])), row(F.concat_ws("\t", F.lit("both"), c["l1"], c["r1"])))
-
-    return spans.select("rid", "doc_id", "base", F.flatten(F.transform(both, marks)).alias("marks"))
+    # The forms are searched once; what follows reads matches and their surroundings, and no text.
+    each = stored(mentions(docs, doc_id, text), "pii-mentions")
+    rows = stored(placed(each), "pii-placed")
+    more = discovered(with_patterns(rows), sure, rounds, min_values)
+    known = rows.where(F.col("kind") >= 0).select("rid", "kind", "start", "end").unionByName(more)
+    spans = known.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("spans"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    both = each.select("rid", "doc_id").join(spans, "rid", "left").select("rid", "doc_id", F.coalesce("spans", none).alias("spans"))
+    base = rows.where(F.col("kind").between(0, BASE - 1)).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("base"))
+    return both.join(base, "rid", "left").select("doc_id", F.coalesce("base", none).alias("base"), "spans")
 
 
 def listed(spans: Column) -> Column:

@@ -14,7 +14,7 @@ from .media import read_png, store_as_png
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pieces import Vocabulary, round_trips
-from .pii import KINDS, listed, personal_data
+from .pii import BASE, KINDS, listed, personal_data
 from .quality import rate_documents
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -79,8 +79,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(table(spark, sf_dir, "documents"))
-    counts = [(F.size("base") - F.size(F.array_remove("base.kind", i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    n = lambda spans, i: (F.size(spans) - F.size(F.array_remove(F.col(f"{spans}.kind"), i))).cast("long")
+    counts = [n("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])]
+    added = [n("spans", KINDS.index("secret")).alias("n_secret"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *added)
 
 
 def queries() -> dict:
