@@ -6,6 +6,7 @@ import zipfile
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakelog.functions import names as fn
 from wakelog.operators import backfill, classify, episodes as ep, events as ev, fleet, graph, modes as md, plots, profile
@@ -167,7 +168,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "docs/analysis_S002.json").write_text('{"filename": "y", "epi')
     tables = src.read_analysis(spark, str(tmp_path / "docs"))
     assert tables["corrupt"].count() == 1 and tables["episodes"].head()["start_t"] == 10.0 and tables["episode_transitions"].head()["dt"] == 0.0
-    assert [r["kind"] for r in src.discover(spark, str(tmp_path)).collect()] == ["archive", "analysis", "analysis"]
+    # S001 comes before its leg S001_1, which the archive names.
+    assert [(r["sortie"], r["kind"]) for r in src.discover(spark, str(tmp_path)).collect()] == [("S001", "analysis"), ("S001_1", "archive"), ("S002", "analysis")]
     (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"key": "a", "model": "x"}, {"key": "a", "model": "y"}], "edges": [{"srcKey": "a", "dstKey": "b"}]}))
     nodes, edges = src.read_trace_graph(spark, str(tmp_path / "g.json"))
     assert nodes.head()["model"] == "y" and edges.count() == 1
@@ -194,3 +196,89 @@ def test_backfill_and_sets(spark):
     rec = spark.createDataFrame([("r1", 0.0, 10.0), ("r2", 5.0, 30.0)], "sortie string, t_min double, t_max double")
     patch = spark.createDataFrame([("p", 8.0, 20.0), ("q", 100.0, 120.0)], "patch string, t_min double, t_max double")
     assert [tuple(r) for r in backfill.best_overlap(patch, rec).collect()] == [("p", "r2", 12.0)]
+
+
+def test_labels_and_time_columns(spark):
+    f = spark.createDataFrame([(x,) for x in ("in/S1024N208B_1.zip", "S119_2.zip", "S10N208B_1.zip", "grp_s102n208b_3.zip", "XS102N208B_1.zip")], "source string")
+    got = [(r["sortie"], r["tail"], r["label"]) for r in fn.with_sortie_tags(f).collect()]
+    assert got == [("S1024_1", "N208B", "S1024_1_N208B"), ("S119", None, None), ("S10_1", "N208B", "S10_1_N208B"), ("S102_3", "N208B", "S102_3_N208B"), (None, None, None)]
+    for name in ("tsec", "timesec", "reltime", "elapsed_s", "runtime", "missiontime", "testtime"):
+        assert fn.time_column(["a", name]) == name
+    assert fn.time_column(["clock", "utc", "irig"]) == "irig"
+    names = spark.createDataFrame([(x,) for x in ("FCC1A.g_abc_mdlref.rtb.x", "FCC1A.g_abc_mdl.rtb.x", "FCC1A.g_abc.rtb.x", "FMS1.A743.lat.x")], "signal string")
+    assert [r["model"] for r in fn.with_signal_parts(names).collect()] == ["abc", "abc", "abc", None]
+
+
+def test_sql_times_are_those_of_the_column(spark):
+    fn.register_functions(spark)
+    cells = ["12.5", "01:02:03.5", "002:01:00:00", "1.5d", "nan", "1:2:3d", "1.5:2:3", " 7 ", "1e400", "", None]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").selectExpr("c", "time_seconds(c) AS f").withColumn("e", fn.time_seconds(F.col("c"))).collect()
+    assert [r["f"] for r in got] == [r["e"] for r in got] == [12.5, 3723.5, 176400.0, None, None, None, None, 7.0, None, None, None]
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,x,y\n1,10,20\n2,11,21\n")
+    (tmp_path / "b.csv").write_text("y,time,x,z\n22,3,12,5\n")
+    got = src.csv_to_long(src.read_telemetry_csv(spark, str(tmp_path)), ["x", "y", "z"]).collect()
+    assert sorted((r["t"], r["signal"], r["v"]) for r in got) == [(1, "x", 10), (1, "y", 20), (2, "x", 11), (2, "y", 21), (3, "x", 12), (3, "y", 22), (3, "z", 5)]
+
+
+def test_graph_cases(spark):
+    node = lambda k, kind="Logic", block=None, model="M": (k, block or k, kind, model, True, None)
+    nodes = spark.createDataFrame([node("top"), node("l"), node("r"), node("end"), node("in", "Inport", "sigA"), node("p1", block="sigA"), node("p2", block="sigA"), node("q1"), node("q2")], "key string, blockName string, blockType string, model string, isTestPoint boolean, testPointName string")
+    # A diamond, a cycle, a node that the graph does not describe, and a dead end that two nodes of one name may feed.
+    edges = spark.createDataFrame([("l", "top"), ("r", "top"), ("end", "l"), ("end", "r"), ("top", "end"), ("gone", "l"), ("behind", "gone"), ("in", "r"), ("q1", "p1"), ("q2", "p2")], "srcKey string, dstKey string")
+    start = nodes.where("key = 'top'").select("key")
+    assert {r["key"]: r["hop"] for r in graph.walk(start, edges, 15, nodes=nodes).collect()} == {"top": 0, "l": 1, "r": 1, "end": 2, "gone": 2, "in": 2}
+    assert {(r["srcKey"], r["dstKey"]) for r in graph.virtual_edges(nodes, edges).collect()} == {("p1", "in"), ("p2", "in")}
+    bridged = edges.unionByName(graph.virtual_edges(nodes, edges))
+    got = {r["key"]: r["hop"] for r in graph.walk(start, bridged, 15, nodes=nodes).collect()}
+    assert got["p1"] == got["p2"] == 3 and got["q1"] == got["q2"] == 4
+    assert {r["key"] for r in graph.walk(start, edges, 1, nodes=nodes).collect()} == {"top", "l", "r"}
+
+
+def test_classes_of_single_episodes(spark):
+    form = "sortie string, episode int, signal string, t double, dt double, from_v double, to_v double, role string, ord long"
+    cases = {
+        1: [("FCC.toga", -1.0, 0, 1), ("FCC.fgAfcsEngaged", -0.5, 1, 0)], 2: [("FCC.toga", -1.0, 0, 1)],
+        3: [("x.rollRespEng", -0.2, 1, 0), ("x.pitchRespDebounceOut", -0.3, 0, 1)], 4: [("x.pitchRespEng", 0.04, 1, 0), ("x.rollRespEng", -0.5, 1, 0), ("x.rollRespDebounceOut", 2.0, 0, 3)],
+        5: [("x.apDisc", -1.0, 0, 1), ("x.monFlag", -0.5, 0, 1)], 6: [("x.adsValid", -0.5, 1, 0), ("x.irsHealthy", -0.9, 1, 0)], 7: [("x.apCapable", 0.0, 1, 0)],
+    }
+    rows = [("s", e, sig, 10 + dt, dt, float(a), float(b), "pre", i) for e, c in cases.items() for i, (sig, dt, a, b) in enumerate(c)]
+    rows += [("s", e, "x.afcsCapable", 10.0, 0.0, 1.0, 0.0, "trigger", 99) for e in cases]
+    found = spark.createDataFrame(rows, form)
+    got = {r["episode"]: (r["category"], r["label"], r["evidence"], r["confidence"]) for r in classify.classify(found).collect()}
+    assert got[1] == ("PILOT_CMD", "Pilot Deactivation (TOGA/QD)", "toga", "n/a") and got[2][:2] == ("UNKNOWN", "Unknown Exit")
+    assert got[3] == ("RESP_MONITOR", "Response Monitor Trip", "rollrespeng", "unconfirmed") and got[4][2:] == ("rollrespdebounceout", "confirmed")
+    assert got[5][0] == "MONITOR_FAULT" and got[6][:3] == ("VALIDITY_LOSS", "IRS Validity Loss", "irshealthy") and got[7][0] == "UNKNOWN"
+    located = classify.locate_trigger(found.withColumn("role", F.lit(None).cast("string")), "AFCSCAPABLE", 1.0, 0.0)
+    assert {r["episode"]: r["category"] for r in classify.classify(located).collect()} == {e: g[0] for e, g in got.items()}
+
+
+def test_ranked_report(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}", float(i)) for i in range(20)], "signal string, score double").repartition(5)
+    sinks.write_report(rows, {"top": 20}, "correlations", str(tmp_path / "r"), [F.desc("score")])
+    doc = json.loads("".join(p.read_text() for p in (tmp_path / "r").glob("*.txt")))
+    assert [c["score"] for c in doc["correlations"]] == [float(i) for i in range(19, -1, -1)] and doc["top"] == 20
+
+
+def test_late_files_add_to_a_sortie(spark, tmp_path):
+    run = lambda: incremental.run_incremental(spark, str(tmp_path / "in"), "sortie string, v long", str(tmp_path / "c"), str(tmp_path / "out"), lambda df: df.groupBy("sortie").agg(F.sum("v").alias("v")))
+    for part in ([("a", 1), ("b", 2)], [("a", 10)]):
+        spark.createDataFrame(part, "sortie string, v long").write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    assert {r["sortie"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 11, "b": 2}
+
+
+def test_correlation_window_and_rounding(spark):
+    form = "sortie string, episode int, signal string, dt double, from_v double, to_v double, ord long"
+    rows = [("s", 1, "FCC1A.g_m_mdl.rtb.x", -1.00049, 0.0, 1.0, 1), ("s", 2, "FCC1B.g_m_mdl.rtb.x", -1.0, 0.0, 1.0, 1), ("s", 1, "FCC1A.g_m_mdl.rtb.x", -9.0, 1.0, 0.0, 0), ("s", 2, "FCC1A.g_m_mdl.rtb.x", -8.0, 1.0, 0.0, 0), ("s", 2, "FCC1A.g_m_mdl.rtb.x", -7.0, 1.0, 0.0, 2), ("s", 1, "a.b.apCapable", -0.1, 1.0, 0.0, 3)]
+    found = spark.createDataFrame(rows, form)
+    got = fleet.fleet_correlation(found.select("sortie", "episode"), found, "model_suffix").collect()
+    assert [(r["place"], r["signal"], r["model"], r["mean_dt_s"], r["mean_dt_samples"], r["common_from"], r["common_to"]) for r in got] == [(1, "x", "m", -1.0, -40.0, 0.0, 1.0)]
+
+
+def test_zero_positions_are_no_positions(spark):
+    s = samples(spark, {"GNSS_Latitude": [(0, 0), (1, 52)], "alt": [(0, 0), (1, 9)]})
+    m = md.decode_modes(spark.createDataFrame([], "sortie string, signal string, axis string, t double, from_v double, to_v double, is_anchor boolean, ord long"))
+    assert sorted((r["signal"], r["v"]) for r in plots.flight_plots(s, m).collect()) == [("GNSS_Latitude", 52.0), ("alt", 0.0), ("alt", 9.0)]

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Header names that are a time column, and the affixes that make one.
-TIME_NAMES = ("time", "timestamp", "t", "irig", "irig_time", "irigtime", "time_s", "time_sec", "utc", "utc_time", "gps_time", "elapsed", "seconds", "sec", "day_time", "rec_time", "sample_time", "system_time", "clock", "epoch", "ts")
+TIME_NAMES = ("t", "time", "timestamp", "time_s", "time_sec", "timesec", "rel_time", "reltime", "irig", "irig_time", "elapsed", "elapsed_s", "elapsed_time", "run_time", "runtime", "mission_time", "missiontime", "test_time", "testtime", "t_sec", "tsec")
 TIME_SUFFIXES, TIME_PREFIXES = ("_t", "_time", "_sec", "_irig"), ("time_", "irig_")
 LANES = ("FCC1A", "FCC1B", "RDC1", "RDC2", "IRS1", "IRS2")
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def finite(cell: Column) -> Column:
@@ -29,11 +30,12 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 
 def time_seconds(cell: Column) -> Column:
-    """Seconds from a number, HH:MM:SS[.s] or DDD:HH:MM:SS[.s]; else null (PRJ-3)."""
+    """Seconds from a number, HH:MM:SS[.s] or DDD:HH:MM:SS[.s]; else null (PRJ-3). All parts but the last are whole."""
     part = F.split(F.trim(cell), ":")
-    at = lambda i: finite(F.get(part, F.lit(i)))
-    three = at(0) * 3600 + at(1) * 60 + at(2)
-    four = at(0) * 86400 + at(1) * 3600 + at(2) * 60 + at(3)
+    last = lambda i: finite(F.get(part, F.lit(i)))
+    at = lambda i: F.when(F.get(part, F.lit(i)).rlike(_WHOLE), last(i))
+    three = at(0) * 3600 + at(1) * 60 + last(2)
+    four = at(0) * 86400 + at(1) * 3600 + at(2) * 60 + last(3)
     return F.coalesce(finite(cell), F.when(F.size(part) == 3, three), F.when(F.size(part) == 4, four))
 
 
@@ -53,10 +55,14 @@ def suffix(signal: Column) -> Column:
 
 
 def with_signal_parts(df: DataFrame, signal: str = "signal", key_mode: str = "suffix") -> DataFrame:
-    """suffix, lane, model and a key without the lane (PRJ-6); key_mode: suffix or model_suffix."""
+    """suffix, lane, model and a key without the lane (PRJ-6); key_mode: suffix or model_suffix.
+
+    The model is the second part of a name if g_ is in front of it, without that and _mdlrefdw, _mdlref or _mdl behind.
+    """
     s = F.col(signal)
+    part = F.split(s, r"\.")
     lane = F.nullif(F.regexp_extract(s, rf"^({'|'.join(LANES)})\.", 1), F.lit(""))
-    model = F.nullif(F.regexp_extract(s, r"\.g_([A-Za-z0-9_]+?)_mdlrefdw\.", 1), F.lit(""))
+    model = F.nullif(F.regexp_extract(F.get(part, F.lit(1)), r"^g_(.+?)(?:_mdlrefdw|_mdlref|_mdl)?$", 1), F.lit(""))
     key = suffix(s) if key_mode == "suffix" else F.concat_ws(".", model, suffix(s))
     return df.withColumns({"suffix": suffix(s), "lane": lane, "model": model, "norm_key": key})
 
@@ -66,12 +72,24 @@ def signal_matches(signal: Column, pattern: str) -> Column:
     return (signal == pattern) | (suffix(signal) == pattern)
 
 
+#: A sortie (S) or ground run (G) with its number, then a tail and a leg; parts may lack.
+_TAG = r"(?i)(?<![A-Za-z])([SG]\d{2,5})"
+TAG_FORMS = {"leg": _TAG + r"([A-Z][A-Z0-9]*)_(\d+)", "bare": _TAG + r"(?!\d)", "tail": _TAG + r"([A-Z][A-Z0-9]+)(?:_\d+)?\.zip", "label": _TAG + r"([A-Z][A-Z0-9]+)", "leg_label": _TAG + r"([A-Z][A-Z0-9]+)_(\d+)"}
+
+
 def with_sortie_tags(df: DataFrame, source: str = "source") -> DataFrame:
-    """sortie (S102_1), tail (N208B) and directory label (S102_1_N208B) from a file name; null parts are left out (PRJ-5)."""
-    s = F.col(source)
-    form = r"(?:^|[^A-Za-z])([SG][0-9]{3})(N[0-9]{3}[A-Z]{1,2}|Z[A-Z]{4})?(?:_([0-9]+))?"
-    part = lambda i: F.nullif(F.regexp_extract(s, form, i), F.lit(""))
-    return df.withColumns({"sortie": F.when(part(1).isNotNull(), F.concat_ws("_", part(1), part(3))), "tail": part(2), "label": F.when(part(1).isNotNull(), F.concat_ws("_", part(1), part(3), part(2)))})
+    """sortie (S102_1, or S119 without a leg), tail (N208B) and directory label (S102_1_N208B) from a path (PRJ-5).
+
+    Letters come in upper case. A name without a tail has no label; one without a tag has nothing.
+    """
+    name = F.element_at(F.split(F.col(source), "/"), -1)
+    part = lambda form, i, of=name: F.upper(F.nullif(F.regexp_extract(of, TAG_FORMS[form], i), F.lit("")))
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    sortie = F.coalesce(F.concat(part("leg", 1), F.lit("_"), part("leg", 3)), part("bare", 1))
+    # A name with a leg somewhere is taken by that place, though another may come first.
+    leg, whole = (lambda i: part("leg_label", i, stem)), (lambda i: part("label", i, stem))
+    label = F.coalesce(F.concat(leg(1), F.lit("_"), leg(3), F.lit("_"), leg(2)), F.concat(whole(1), F.lit("_"), whole(2)))
+    return df.withColumns({"sortie": sortie, "tail": part("tail", 2), "label": label})
 
 
 def glob_regex(globs: list[str]) -> str:
@@ -104,7 +122,7 @@ def suggest_signals(catalog: DataFrame, wanted: DataFrame, most: int = 10) -> Da
     """(wanted, suggestion, place): for names not in the catalog, signals that contain them or their suffix (SRC-7)."""
     names = catalog.select("signal").distinct()
     missing = wanted.join(names.select(F.explode(F.array("signal", suffix(F.col("signal")))).alias("wanted")).distinct(), "wanted", "left_anti")
-    near = names.join(F.broadcast(missing), F.contains(F.lower("signal"), F.lower(suffix(F.col("wanted")))))
+    near = names.join(missing, F.contains(F.lower("signal"), F.lower(suffix(F.col("wanted")))))
     ranked = near.withColumn("place", F.row_number().over(W.partitionBy("wanted").orderBy("signal")))
     return ranked.where(F.col("place") <= most).select("wanted", F.col("signal").alias("suggestion"), "place")
 
@@ -142,6 +160,10 @@ def register_functions(spark: SparkSession) -> None:
     """signal_suffix, timing_cluster and time_seconds as temporary SQL functions."""
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION signal_suffix(s STRING) RETURNS STRING RETURN element_at(split(s, '[.]'), -1)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION timing_cluster(d DOUBLE) RETURNS STRING RETURN CASE WHEN d < -1.0 THEN 'context' WHEN d < -0.05 THEN 'precursor' ELSE 'near-simultaneous' END")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION time_seconds(s STRING) RETURNS DOUBLE RETURN coalesce(try_cast(s AS DOUBLE),
-        CASE WHEN size(split(s, ':')) = 3 THEN try_cast(split(s, ':')[0] AS DOUBLE) * 3600 + try_cast(split(s, ':')[1] AS DOUBLE) * 60 + try_cast(split(s, ':')[2] AS DOUBLE) END,
-        CASE WHEN size(split(s, ':')) = 4 THEN try_cast(split(s, ':')[0] AS DOUBLE) * 86400 + try_cast(split(s, ':')[1] AS DOUBLE) * 3600 + try_cast(split(s, ':')[2] AS DOUBLE) * 60 + try_cast(split(s, ':')[3] AS DOUBLE) END)""")
+    number = lambda x: f"CASE WHEN {x} RLIKE r'{_NUMBER}' AND abs(try_cast({x} AS DOUBLE)) < double('inf') THEN try_cast({x} AS DOUBLE) END"
+    part = lambda i: f"get(split(trim(s), ':'), {i})"
+    whole = lambda i: f"CASE WHEN {part(i)} RLIKE r'{_WHOLE}' THEN try_cast({part(i)} AS DOUBLE) END"
+    # The last part is the seconds; minutes, hours and days count back from it.
+    sizes = [(3, (3600, 60)), (4, (86400, 3600, 60))]
+    cases = [f"CASE WHEN size(split(trim(s), ':')) = {n} THEN {' + '.join(f'({whole(i)}) * {k}' for i, k in enumerate(ks))} + ({number(part(n - 1))}) END" for n, ks in sizes]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION time_seconds(s STRING) RETURNS DOUBLE RETURN coalesce({number('s')}, {', '.join(cases)})")

@@ -10,7 +10,7 @@ from .events import first_wins
 
 def missing_pairs(wanted: DataFrame, sorties: DataFrame, have: DataFrame) -> DataFrame:
     """(sortie, signal) that are wanted and not there yet (UPS-1, UPS-6). wanted is a short list of names."""
-    return sorties.select("sortie").distinct().join(F.broadcast(wanted.select("signal").distinct()), how="inner", on=F.lit(True)).join(have.select("sortie", "signal").distinct(), ["sortie", "signal"], "left_anti")
+    return sorties.select("sortie").distinct().crossJoin(wanted.select("signal").distinct()).join(have.select("sortie", "signal").distinct(), ["sortie", "signal"], "left_anti")
 
 
 def best_overlap(patches: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -18,7 +18,16 @@ def best_overlap(patches: DataFrame, recordings: DataFrame) -> DataFrame:
 
     Both sides have a row for each recording; ties go to the smaller sortie.
     """
-    pairs = patches.select("patch", F.col("t_min").alias("p_lo"), F.col("t_max").alias("p_hi")).join(F.broadcast(recordings.select("sortie", "t_min", "t_max")), F.least("p_hi", "t_max") - F.greatest("p_lo", "t_min") > -1.0)
+    # Both meet in bins of the mean recording's length; one second on either side lets near misses meet, too.
+    mean = recordings.agg(F.avg(F.col("t_max") - F.col("t_min"))).head()[0] or 0.0
+    width = max(1.0, float(mean))
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - 1) / width), F.floor((F.col(hi) + 1) / width))).alias("bin")
+    p = patches.select("patch", F.col("t_min").alias("p_lo"), F.col("t_max").alias("p_hi")).select("*", bins("p_lo", "p_hi"))
+    r = recordings.select("sortie", "t_min", "t_max", bins("t_min", "t_max"))
+    shared = F.least("p_hi", "t_max") - F.greatest("p_lo", "t_min")
+    # Of the bins that a pair shares, the first gives it.
+    first = F.greatest(F.floor((F.col("p_lo") - 1) / width), F.floor((F.col("t_min") - 1) / width))
+    pairs = p.join(r, "bin").where((shared > -1.0) & (F.col("bin") == first))
     best = pairs.withColumn("o", F.least("p_hi", "t_max") - F.greatest("p_lo", "t_min")).groupBy("patch").agg(F.max(F.col("o")).alias("overlap_s"), F.min_by("sortie", F.struct(-F.col("o"), F.col("sortie"))).alias("sortie"))
     return best.select("patch", "sortie", F.round(F.greatest("overlap_s", F.lit(0.0)), 3).alias("overlap_s"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import suffix
@@ -16,44 +16,70 @@ VALID_SOURCES = ("ads", "irs", "pfd", "fcp", "fcc")
 AXES = {"lat": "lateral", "roll": "lateral", "vert": "vertical", "pitch": "vertical", "at": "auto-throttle", "thr": "auto-throttle"}
 
 
+def locate_trigger(found: DataFrame, signal: str, from_v: float, to_v: float) -> DataFrame:
+    """Episode transitions with role and dt by the first listed one of the trigger's name and values (CLS-14).
+
+    The name is the whole one or what follows a dot, in any case. Episodes without such a row are left out.
+    """
+    name = F.lower("signal")
+    hit = ((name == signal.lower()) | name.endswith("." + signal.lower())) & (F.col("from_v") == from_v) & (F.col("to_v") == to_v)
+    first = found.where(hit).groupBy("sortie", "episode").agg(F.min(F.struct("ord", "signal", "t")).alias("_trigger"))
+    at = found.drop("role", "dt").join(first, ["sortie", "episode"])
+    is_it = (F.col("ord") == F.col("_trigger.ord")) & (F.col("signal") == F.col("_trigger.signal"))
+    return at.withColumns({"dt": F.col("t") - F.col("_trigger.t"), "role": F.when(is_it, "trigger").otherwise("other")}).drop("_trigger")
+
+
+def _own_debounces(of: str, kind: str) -> Column:
+    """Debounce outputs of a monitor's own axis, which is what stands before its kind in the name; those that name the kind first."""
+    axis = F.regexp_extract(of, rf"^([a-z]+?){kind}", 1)
+    own = lambda form: F.filter("debounces", lambda d: (axis != "") & F.rlike(d, F.concat(F.lit("^"), axis, F.lit(form))))
+    return F.concat(own(f".*{kind}.*debounce.*out$"), own(".*debounce.*out$"))
+
+
 def classify(found: DataFrame) -> DataFrame:
-    """(sortie, episode, category, label, evidence, confidence, axis) of each episode with a trigger row (CLS-1 to 11, 14).
+    """(sortie, episode, category, label, evidence, confidence, axis) of each episode with a trigger row (CLS-1 to 11).
 
     found: episode transitions with role; dt counts from the opening trigger. The first rule that fires gives the class.
+    Rules look at changes between 0 and 1, the nearest to the trigger first; debounce outputs count with any values and at
+    any time of the episode. Of several responses the first one whose axis has a debounce output is meant.
     """
-    s, dt = F.lower(suffix(F.col("signal"))), F.col("dt")
-    near = found.where(F.col("from_v").isin(0.0, 1.0) & F.col("to_v").isin(0.0, 1.0)).withColumns({"s": s, "near": F.struct(F.abs(dt).alias("d"), F.col("ord").alias("o")), "other": F.col("role") != "trigger"})
-    c, up, down = F.col, F.col("to_v") == 1, F.col("to_v") == 0
-    pre = (dt < BEFORE) & c("other")
-    around = ((dt < BEFORE) | (F.abs(dt) <= AT)) & c("other")
+    c, dt = F.col, F.col("dt")
+    rows = found.withColumns({"s": F.lower(suffix(c("signal"))), "near": F.struct(F.abs(dt).alias("d"), c("ord").alias("o")), "other": c("role") != "trigger"})
+    change = c("other") & c("from_v").isin(0.0, 1.0) & c("to_v").isin(0.0, 1.0)
+    up, down, pre = c("to_v") == 1, c("to_v") == 0, change & (dt < BEFORE)
+    around = pre | (change & (F.abs(dt) <= AT))
     like = lambda p: c("s").rlike(p)
     nearest = lambda name, cond: F.min_by(F.when(cond, c("s")), F.when(cond, c("near"))).alias(name)
-    commanded = pre & like(DISCONNECT) & (~like("^toga$") | up)
-    debounce = like(r"debounce.*out")
-    g = near.groupBy("sortie", "episode").agg(
+    each = lambda name, cond: F.transform(F.array_sort(F.collect_set(F.when(cond, F.struct("near", "s")))), lambda x: x["s"]).alias(name)
+    lost = around & like("valid|healthy|health") & down
+    g = rows.groupBy("sortie", "episode").agg(
         F.max((c("role") == "trigger").cast("int")).alias("has_trigger"),
-        nearest("cmd", commanded), nearest("resp", around & like("resp.?eng") & down), nearest("cmdmon", around & like("cmd.?eng") & down), nearest("mon", around & like(MONITOR) & up),
-        nearest("trim", around & like("mistrim|xcd") & up), F.min_by(F.when(around & like("valid|healthy|health") & down, c("s")), F.when(around & like("valid|healthy|health") & down, F.struct(dt, c("ord")))).alias("valid"),
-        nearest("sby", around & like("enforcestandby") & up), nearest("cap", pre & like("capable") & down), nearest("debounced", around & debounce),
-        F.max((c("other") & like("^afcsengage") & (c("from_v") == 1)).cast("int")).alias("disengaged"),
+        nearest("cmd", pre & like(DISCONNECT) & (~like("^toga$") | up)), each("responses", around & like("resp.?eng") & down), nearest("cmdmon", around & like("cmd.?eng") & down),
+        nearest("mon", around & like(MONITOR) & up), nearest("trim", around & like("mistrim|xcd") & up), F.min_by(F.when(lost, c("s")), F.when(lost, F.struct(dt, c("near")))).alias("valid"),
+        nearest("sby", around & like("enforcestandby") & up), nearest("cap", pre & like("capable") & down),
+        each("debounces", c("other") & like("debounce.*out$")), F.max((change & like("afcsengage") & (c("from_v") == 1)).cast("int")).alias("disengaged"),
     ).where("has_trigger = 1")
+    confirmed = F.filter("responses", lambda r: F.exists("debounces", lambda d: (F.regexp_extract(r, "^([a-z]+?)resp", 1) != "") & F.rlike(d, F.concat(F.lit("^"), F.regexp_extract(r, "^([a-z]+?)resp", 1), F.lit(".*debounce.*out$")))))
+    g = g.withColumn("resp", F.coalesce(F.get(confirmed, F.lit(0)), F.get("responses", F.lit(0))))
+    g = g.withColumns({"of_resp": F.get(_own_debounces("resp", "resp"), F.lit(0)), "of_cmd": F.get(_own_debounces("cmdmon", "cmd"), F.lit(0)), "any": F.get("debounces", F.lit(0))})
     quick = c("cmd").rlike(QUICK)
     pilot = c("cmd").isNotNull() & c("mon").isNull() & (~quick | (c("disengaged") == 1))
+    no = F.lit(None).cast("string")
     rules = [
-        ("PILOT_CMD", pilot, F.when(quick, "pilot quick disconnect").otherwise("pilot disconnect"), c("cmd")),
-        ("RESP_MONITOR", c("resp").isNotNull(), F.lit("response monitor"), F.coalesce("debounced", "resp")),
-        ("CMD_MONITOR", c("cmdmon").isNotNull(), F.lit("command monitor"), c("cmdmon")),
-        ("MONITOR_FAULT", c("mon").isNotNull(), F.lit("monitor flag"), c("mon")),
-        ("MISTRIM", c("trim").isNotNull(), F.lit("mistrim"), c("trim")),
-        ("VALIDITY_LOSS", c("valid").isNotNull(), F.coalesce(*[F.when(c("valid").startswith(p), f"{p} validity") for p in VALID_SOURCES], F.lit("validity")), c("valid")),
-        ("ENFORCE_SBY", c("sby").isNotNull(), F.lit("enforced standby"), c("sby")),
-        ("CAP_LOST", c("cap").isNotNull(), F.lit("capability lost"), c("cap")),
+        ("PILOT_CMD", pilot, F.when(quick, "Pilot Deactivation (TOGA/QD)").otherwise("Pilot-Commanded Disconnect"), c("cmd"), no),
+        ("RESP_MONITOR", c("resp").isNotNull(), F.lit("Response Monitor Trip"), F.coalesce("of_resp", "resp"), c("of_resp")),
+        ("CMD_MONITOR", c("cmdmon").isNotNull(), F.lit("Command Monitor Trip"), F.coalesce("of_cmd", "cmdmon"), c("of_cmd")),
+        ("MONITOR_FAULT", c("mon").isNotNull(), F.lit("Monitor Fault"), c("mon"), c("any")),
+        ("MISTRIM", c("trim").isNotNull(), F.lit("Mistrim / Torque Limit"), c("trim"), c("any")),
+        ("VALIDITY_LOSS", c("valid").isNotNull(), F.coalesce(*[F.when(c("valid").startswith(p), f"{p.upper()} Validity Loss") for p in VALID_SOURCES], F.lit("Sensor Validity Loss")), c("valid"), c("valid")),
+        ("ENFORCE_SBY", c("sby").isNotNull(), F.lit("Forced Standby"), c("sby"), c("any")),
+        ("CAP_LOST", c("cap").isNotNull(), F.lit("Upstream Capability Lost"), c("cap"), c("any")),
     ]
-    chain = lambda i, rest: F.coalesce(*[F.when(r[1], F.lit(r[0]) if i == 0 else r[i]) for r in rules], rest)
-    out = g.select("sortie", "episode", chain(0, F.lit("UNKNOWN")).alias("category"), chain(2, F.lit("unknown")).alias("label"), chain(3, F.lit(None).cast("string")).alias("evidence"), "debounced")
-    sure = F.when(c("category").isin("PILOT_CMD", "UNKNOWN"), "n/a").when(c("debounced").isNotNull() | (c("category") == "VALIDITY_LOSS"), "confirmed").otherwise("unconfirmed")
+    fact = F.coalesce(*[F.when(fires, F.struct(F.lit(name).alias("category"), label.alias("label"), seen.alias("evidence"), sure.alias("sure"))) for name, fires, label, seen, sure in rules])
+    out = g.select("sortie", "episode", fact.alias("f")).select("sortie", "episode", F.coalesce("f.category", F.lit("UNKNOWN")).alias("category"), F.coalesce("f.label", F.lit("Unknown Exit")).alias("label"), "f.evidence", F.col("f.sure").alias("_sure"))
+    sure = F.when(c("category").isin("PILOT_CMD", "UNKNOWN"), "n/a").when(c("_sure").isNotNull(), "confirmed").otherwise("unconfirmed")
     axis = F.coalesce(*[F.when(c("evidence").startswith(p), a) for p, a in AXES.items()])
-    return out.withColumns({"confidence": sure, "axis": axis}).drop("debounced")
+    return out.withColumns({"confidence": sure, "axis": axis}).drop("_sure")
 
 
 def hide_commanded(classified: DataFrame, found: DataFrame, signals: list[str]) -> DataFrame:

@@ -39,7 +39,11 @@ def extract_episodes(found: DataFrame, signal: str, from_v: float = 1.0, to_v: f
 def episode_transitions(episodes: DataFrame, found: DataFrame, pre: float = 5.0, tail: float = 3.0) -> DataFrame:
     """The transitions of each episode with dt and role: pre, trigger, during or tail (WIN-4)."""
     e = episodes.select("sortie", "episode", "trigger_signal", "start_t", "start_ord", "end_t", "end_ord")
-    both = found.join(e, "sortie")
+    # Closed episodes and transitions meet in bins of time; a sortie has one open episode at most.
+    width = 4 * (pre + tail) + 1
+    closed = e.where("end_t is not null").withColumn("bin", F.explode(F.sequence(F.floor((F.col("start_t") - pre) / width), F.floor((F.col("end_t") + tail) / width))))
+    binned = found.withColumn("bin", F.floor(F.col("t") / width)).join(closed, ["sortie", "bin"]).drop("bin")
+    both = binned.unionByName(found.join(e.where("end_t is null"), "sortie"))
     order = lambda t, o: F.struct(F.col(t), F.col(o))
     at = F.struct(F.col("t"), F.col("ord"))
     is_trigger = (F.col("ord") == F.col("start_ord")) & (F.col("signal") == F.col("trigger_signal"))

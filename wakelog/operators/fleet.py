@@ -6,42 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import dt_samples, suffix
+from ..functions.names import dt_samples, exclude_signals, suffix, with_signal_parts
 from .modes import modes_at
 
 #: Signals left out of the ranking.
 EXCLUDED = ["enforceStandby", "*Capable", "*ActiveEnum*", "atActCmdMode", "afcsEngage*", "afcsEngOrCws", "fgAndAp", "*Engaged*", "*Arm*Enum*", "ydEnabled", "atCmdEng", "apOr", "limitMinusMargin", "apNoMonitorTrip", "atNoMonitorTrip"]
 
 
-def correlate(episodes: DataFrame, found: DataFrame, key: str = "signal", pre: float = 5.0, post: float = 1.0, min_freq: float = 0.05, top: int | None = 100, hz: float = 40.0) -> DataFrame:
+def correlate(episodes: DataFrame, found: DataFrame, key: str = "signal", pre: float = 5.0, post: float = 1.0, min_freq: float = 0.05, top: int | None = 100, hz: float = 40.0, exclude: list[str] | None = None) -> DataFrame:
     """Signals that change near episode starts, ranked (AGG-8): score = frequency e^(-|mean|/2) e^(-deviation/2).
 
-    found: (sortie, episode, key, dt, from_v, to_v, ord). The share of episodes is filtered after rounding to 4 places.
+    found: (sortie, episode, key, dt, from_v, to_v, ord). Seconds have 3 places and samples come from those; the share of
+    episodes is filtered after rounding to 4. exclude: wildcards over the last part of the key.
     """
     near = found.where((F.col("dt") >= -pre) & (F.col("dt") <= post))
+    if exclude:
+        near = exclude_signals(near, exclude, key)
     total = episodes.select("sortie", "episode").distinct().agg(F.count("*").alias("all_episodes"))
-    per_episode = near.groupBy(key, "sortie", "episode").agg(F.count("*").alias("c"), F.sum("dt").alias("s"), F.sum(F.col("dt") * F.col("dt")).alias("q"))
-    g = per_episode.groupBy(key).agg(F.count("*").alias("n_episodes"), F.count_distinct("sortie").alias("n_sorties"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("c")
-    var = F.greatest(F.col("q") / F.col("c") - mean * mean, F.lit(0.0))
-    scored = g.crossJoin(F.broadcast(total)).withColumns({"_mean": mean, "_std": F.sqrt(var), "_f": F.col("n_episodes") / F.col("all_episodes")})
+    # Episodes are counted from pre-aggregated pairs; the deviation from the values, so that nothing cancels.
+    counts = near.groupBy(key, "sortie", "episode").agg(F.lit(1)).groupBy(key).agg(F.count("*").alias("n_episodes"), F.count_distinct("sortie").alias("n_sorties"))
+    times = near.groupBy(key).agg(F.avg("dt").alias("_mean"), F.stddev_pop("dt").alias("_std"))
+    scored = counts.join(times, key).crossJoin(F.broadcast(total)).withColumn("_f", F.col("n_episodes") / F.col("all_episodes"))
     out = scored.select(
         key, F.round(F.col("_f") * F.exp(-F.abs("_mean") / 2) * F.exp(-F.col("_std") / 2), 4).alias("score"), F.round("_f", 4).alias("frequency"), "n_episodes", "n_sorties",
-        F.round("_mean", 4).alias("mean_dt_s"), F.round("_std", 4).alias("std_dt_s"),
+        F.round("_mean", 3).alias("mean_dt_s"), F.round("_std", 3).alias("std_dt_s"),
     ).where(F.col("frequency") >= min_freq).withColumns({"mean_dt_samples": dt_samples(F.col("mean_dt_s"), hz), "std_dt_samples": dt_samples(F.col("std_dt_s"), hz)})
     return out if top is None else out.orderBy(F.desc("score"), key).limit(top)
 
 
-def common_direction(found: DataFrame, key: str = "signal", first: int = 200) -> DataFrame:
-    """The commonest from and to over the first occurrences of each key; of equals the one seen first (AGG-9)."""
+def fleet_correlation(episodes: DataFrame, found: DataFrame, key_mode: str = "suffix", pre: float = 5.0, post: float = 1.0, min_freq: float = 0.05, top: int | None = 100, hz: float = 40.0, exclude: list[str] | None = None) -> DataFrame:
+    """Correlation as a report has it: rank, signal, model and key beside the figures, and the common direction.
+
+    found has full signal names; key_mode is with_signal_parts's. exclude: EXCLUDED if none is given, [] for nothing.
+    """
+    keyed = with_signal_parts(found, "signal", key_mode)
+    scored = correlate(episodes, keyed, "norm_key", pre, post, min_freq, top, hz, EXCLUDED if exclude is None else exclude)
+    whole = scored.join(common_direction(keyed, "norm_key", pre=pre, post=post), "norm_key", "left")
+    rank = F.row_number().over(W.orderBy(F.desc("score"), "norm_key"))
+    signal, model = F.regexp_extract("norm_key", r"^([^.]*\.)?(.*)$", 2), F.regexp_extract("norm_key", r"^([^.]*)\.", 1)
+    return whole.select(rank.alias("place"), signal.alias("signal"), model.alias("model"), F.col("norm_key").alias("key"), *[c for c in whole.columns if c != "norm_key"])
+
+
+def common_direction(found: DataFrame, key: str = "signal", first: int = 200, pre: float | None = None, post: float | None = None) -> DataFrame:
+    """The commonest from and to over the first occurrences of each key; of equals the one seen first (AGG-9).
+
+    pre and post bound the seconds around the trigger in which occurrences count, as in correlate.
+    """
     order = ["sortie", "episode", "ord"]
-    rows = found.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= first)
+    near = found if pre is None else found.where((F.col("dt") >= -pre) & (F.col("dt") <= post))
+    rows = near.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= first)
 
     def mode(side: str) -> DataFrame:
-        counts = rows.groupBy(key, side).agg(F.count("*").alias("c"), F.min("_n").alias("m"))
+        counts = rows.where(F.col(side).isNotNull()).groupBy(key, side).agg(F.count("*").alias("c"), F.min("_n").alias("m"))
         return counts.groupBy(key).agg(F.max_by(side, F.struct(F.col("c"), -F.col("m"))).alias(f"common_{side.removesuffix('_v')}"))
 
-    return mode("from_v").join(mode("to_v"), key)
+    return mode("from_v").join(mode("to_v"), key, "full")
 
 
 def peak_values(samples: DataFrame, pick: Column, modes: DataFrame | None = None) -> DataFrame:
@@ -129,4 +148,4 @@ def gaps_before(episodes: DataFrame, gaps: DataFrame, pre: float = 5.0) -> DataF
 def lane_listing(found: DataFrame) -> DataFrame:
     """Transitions of an episode numbered within each lane, flight-control lanes first (JN-13); needs the column lane."""
     rank = F.coalesce(F.when(F.col("lane") == "FCC1A", 0).when(F.col("lane") == "FCC1B", 1), F.lit(2))
-    return found.withColumn("lane_rank", rank).withColumn("place", F.row_number().over(W.partitionBy("sortie", "episode", "lane").orderBy("t", "ord")))
+    return found.withColumn("lane_rank", rank).withColumn("place", F.row_number().over(W.partitionBy("sortie", "episode", "lane").orderBy("t", "ord", "signal")))

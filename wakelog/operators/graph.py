@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,15 +14,21 @@ START_TYPES = ("Logic", "SubSystem", "SignalConversion")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names and read back, which cuts the plan at each hop."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Written to the folder that spark.checkpoint.dir names and read back, which cuts the plan. See shared_dir."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may lack the setting: it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -45,40 +52,61 @@ def virtual_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     dead = nodes.where((F.col("blockType") == "Inport") & F.col("blockName").isNotNull()).join(degrees, "key", "left_anti").select(F.col("key").alias("dstKey"), "blockName", F.col("model").alias("_model"))
     fed = nodes.join(degrees, "key").select(F.col("key").alias("srcKey"), F.col("model").alias("src_model"), F.col("blockName").alias("src_block"), "blockType", "in_degree")
     out1 = fed.where(F.contains("srcKey", F.lit("Outport:1")))
-    name = F.col("blockName")
-    by_model = dead.join(out1.where(F.col("blockType").isin(*START_TYPES)), F.col("src_model") == F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substring(blockName, 2)"))).withColumn("rule", F.lit(1))
-    by_logic = dead.join(out1, (F.col("src_model") == F.col("_model")) & F.contains(F.lower("srcKey"), F.concat(F.lower(name), F.lit("logic")))).withColumn("rule", F.lit(2))
-    by_name = dead.join(fed, (F.col("src_block") == name) & (F.col("srcKey") != F.col("dstKey"))).withColumn("rule", F.lit(3))
-    both = by_model.unionByName(by_logic).unionByName(by_name)
-    first = W.partitionBy("dstKey").orderBy("rule", F.desc("in_degree"), "srcKey")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("srcKey", "dstKey")
+    name, parent = F.col("blockName"), F.lower(F.element_at(F.split("srcKey", "/"), -2))
+    first = W.partitionBy("dstKey").orderBy(F.desc("named"), F.desc("in_degree"), "srcKey")
+    best = lambda df: df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    by_model = dead.join(out1.where(F.col("blockType").isin(*START_TYPES)), F.col("src_model") == F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substring(blockName, 2)")))
+    by_logic = dead.join(out1, (F.col("src_model") == F.col("_model")) & F.contains(F.lower("srcKey"), F.concat(F.lower(name), F.lit("logic"))))
+    by_name = dead.join(fed, (F.col("src_block") == name) & (F.col("srcKey") != F.col("dstKey")))
+    rules = [best(by_model.withColumn("named", F.coalesce(F.contains(parent, F.lower(name)), F.lit(False)))), best(by_logic.withColumn("named", F.lit(False))), by_name]
+    found = [r.select("srcKey", "dstKey", F.lit(i).alias("rule")) for i, r in enumerate(rules)]
+    both = found[0].unionByName(found[1]).unionByName(found[2])
+    used = both.groupBy("dstKey").agg(F.min("rule").alias("rule"))
+    return both.join(used, ["dstKey", "rule"]).select("srcKey", "dstKey")
+
 
+#: Hops that one job takes before the reached nodes are written down.
+HOPS_A_JOB = 4
 
-def walk(start: DataFrame, edges: DataFrame, max_hops: int = 15, forward: bool = False) -> DataFrame:
+
+def walk(start: DataFrame, edges: DataFrame, max_hops: int = 15, forward: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """(key, hop): every node within max_hops against (or along) the edges, with its least hop (GR-4, GR-5).
 
-    One hop is one join of the frontier; each hop is written down, and the walk ends when a frontier is empty.
+    nodes: those that the graph describes; others are reached but not passed through. A job takes several hops, each a
+    join of what the last one reached; then what is new is written down. The walk ends when nothing is.
     """
     here, there = ("srcKey", "dstKey") if forward else ("dstKey", "srcKey")
     step = edges.select(F.col(here).alias("key"), F.col(there).alias("to")).distinct()
+    step = _stored(step if nodes is None else step.join(nodes.select("key"), "key", "left_semi"), "steps")
     seen = frontier = _stored(start.select("key", F.lit(0).alias("hop")).distinct(), "hop-0")
-    for hop in range(1, max_hops + 1):
-        reached = frontier.select("key").join(step, "key").select(F.col("to").alias("key")).distinct()
-        frontier = _stored(reached.join(seen.select("key"), "key", "left_anti").select("key", F.lit(hop).alias("hop")), f"hop-{hop}")
+    hop = 0
+    while hop < max_hops:
+        rings, here_, last = [], frontier.select("key"), min(max_hops, hop + HOPS_A_JOB)
+        for h in range(hop + 1, last + 1):
+            here_ = here_.join(step, "key").select(F.col("to").alias("key")).distinct()
+            rings.append(here_.select("key", F.lit(h).alias("hop")))
+        reached = reduce(DataFrame.unionByName, rings).groupBy("key").agg(F.min("hop").alias("hop"))
+        new = _stored(reached.join(seen.select("key"), "key", "left_anti"), f"hop-{last}")
+        frontier, hop = new.where(F.col("hop") == last), last
+        seen = seen.unionByName(new)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
     return seen
 
 
 def upstream(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int = 15, forward: bool = False) -> DataFrame:
     """(signal, model, hop, blockType): test points reached beyond the start, each name at its least hop."""
-    reached = walk(start, edges, max_hops, forward).where("hop > 0").join(nodes, "key")
+    reached = walk(start, edges, max_hops, forward, nodes).where("hop > 0").join(nodes, "key")
     points = reached.where(F.col("isTestPoint") & ~F.col("blockName").startswith("signalConversion"))
     best = points.groupBy("blockName").agg(F.min(F.struct("hop", "key", "model", "blockType")).alias("b"))
     return best.select(F.col("blockName").alias("signal"), "b.model", "b.hop", "b.blockType")
 
 
+def bridged_upstream(nodes: DataFrame, edges: DataFrame, signal: str, max_hops: int = 15) -> DataFrame:
+    """Test points upstream of a signal: from its start nodes, over edges and the bridges at dead ends (GR-2, 3 and 4)."""
+    return upstream(nodes, edges.select("srcKey", "dstKey").unionByName(virtual_edges(nodes, edges)), start_nodes(nodes, edges, signal), max_hops)
+
+
 def hop_distribution(found: DataFrame) -> DataFrame:
     """(hop, n, cumulative) for every hop from 1 to the largest (AGG-11)."""
     hops = found.agg(F.max("hop").alias("m")).where("m >= 1").select(F.explode(F.sequence(F.lit(1), F.col("m"))).alias("hop"))

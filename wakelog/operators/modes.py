@@ -84,16 +84,22 @@ def flat_together(segments: DataFrame, signals: int, min_s: float = 5.0) -> Data
     return level.where((F.col("level") >= signals) & (F.col("t_hi") - F.col("t") >= min_s)).select("sortie", F.col("t").alias("t_lo"), "t_hi")
 
 
-def phase_stats(found: DataFrame, samples: DataFrame) -> DataFrame:
+def _in_bins(points: DataFrame, t: str, found: DataFrame, width: float, how: str = "inner") -> DataFrame:
+    """points with the phases that hold at their time: both meet in bins of time, so no sortie is paired whole."""
+    p = found.select("sortie", "phase", "t_lo", "t_hi", F.explode(F.sequence(F.floor(F.col("t_lo") / width), F.floor(F.col("t_hi") / width))).alias("bin"))
+    x, y = points.withColumn("bin", F.floor(F.col(t) / width)).alias("x"), p.alias("y")
+    meet = (F.col("x.sortie") == F.col("y.sortie")) & (F.col("x.bin") == F.col("y.bin")) & F.col(f"x.{t}").between(F.col("y.t_lo"), F.col("y.t_hi"))
+    return x.join(y, meet, how).select("x.*", "y.phase", "y.t_lo", "y.t_hi").drop("bin")
+
+
+def phase_stats(found: DataFrame, samples: DataFrame, width: float = 60.0) -> DataFrame:
     """Per phase and signal: value at entry and exit, largest absolute value, root mean square (AGG-19)."""
-    p = found.select("sortie", "phase", "t_lo", "t_hi")
-    inside = samples.join(p, "sortie").where(F.col("t").between(F.col("t_lo"), F.col("t_hi")))
+    inside = _in_bins(samples, "t", found, width)
     return inside.groupBy("sortie", "phase", "t_lo", "t_hi", "signal").agg(F.min_by("v", F.struct("t", "ord")).alias("entry_v"), F.max_by("v", F.struct("t", "ord")).alias("exit_v"), F.max(F.abs("v")).alias("max_abs"), F.round(F.sqrt(F.avg(F.col("v") * F.col("v"))), 4).alias("rms"))
 
 
-def phase_at(faults: DataFrame, found: DataFrame, priority: list[str]) -> DataFrame:
+def phase_at(faults: DataFrame, found: DataFrame, priority: list[str], width: float = 60.0) -> DataFrame:
     """faults (sortie, episode, start_t) with the phase in force, by priority, or null (JN-4)."""
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("phase"))
-    p = found.select(F.col("sortie").alias("_s"), "phase", "t_lo", "t_hi")
-    hit = faults.join(p, (F.col("sortie") == F.col("_s")) & F.col("start_t").between(F.col("t_lo"), F.col("t_hi")), "left")
+    hit = _in_bins(faults, "start_t", found, width, "left")
     return hit.groupBy("sortie", "episode", "start_t").agg(F.min_by("phase", F.when(rank > 0, rank).otherwise(99)).alias("phase"))

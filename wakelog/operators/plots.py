@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import suffix
 from .modes import APPROACH_LANDING, TAKEOFF, phase_window
 
+#: Positions, of which zero means that there is none.
+GNSS = ("GNSS_Latitude", "GNSS_Latitude_Fine", "GNSS_Longitude", "GNSS_Longitude_Fine")
+
 
 def _indexed(points: DataFrame, keys: list[str]) -> DataFrame:
-    by = W.partitionBy(*keys)
-    return points.withColumn("k", F.row_number().over(by.orderBy("t", "ord")) - 1).withColumn("n", F.count("*").over(by))
+    """Points with their place k in the series and its length n, from one sort."""
+    by = W.partitionBy(*keys).orderBy("t", "ord")
+    return points.withColumns({"k": F.row_number().over(by) - 1, "n": F.count("*").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
 
 
 def downsample_uniform(points: DataFrame, keys: list[str], max_pts: int = 500) -> DataFrame:
@@ -33,12 +38,20 @@ def downsample_minmax(points: DataFrame, keys: list[str], max_pts: int = 2000) -
     step = F.col("n") / F.lit(b)
     guess = F.floor(F.col("k") / step)
     bucket = F.when(F.floor((guess + 1) * step) <= F.col("k"), guess + 1).when(F.floor(guess * step) > F.col("k"), guess - 1).otherwise(guess)
-    indexed = _indexed(points, keys)
-    many = indexed.where(F.col("n") > max_pts).withColumn("bucket", bucket).where(F.col("bucket") < b)
+    # Short series have a bucket for each point, so that one pass serves both.
+    many = F.col("n") > max_pts
+    placed = _indexed(points, keys).withColumn("bucket", F.when(many, bucket).otherwise(F.col("k"))).where(~many | (F.col("bucket") < b))
     point = F.struct("t", "v", "ord")
-    ends = many.groupBy(*keys, "bucket").agg(F.min_by(point, F.struct("v", "k")).alias("lo"), F.max_by(point, F.struct(F.col("v"), -F.col("k"))).alias("hi"))
-    thin = ends.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")).select(*keys, "p.*")
-    return indexed.where(F.col("n") <= max_pts).select(*keys, "t", "v", "ord").unionByName(thin)
+    ends = placed.groupBy(*keys, "bucket").agg(F.min_by(point, F.struct("v", "k")).alias("lo"), F.max_by(point, F.struct(F.col("v"), -F.col("k"))).alias("hi"))
+    return ends.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")).select(*keys, "p.*")
+
+
+def merge_points(sources: list[DataFrame]) -> DataFrame:
+    """Points of several sources as one series a signal, with their place in time; of equal times the smaller source's first (SET-3)."""
+    every = sources[0]
+    for more in sources[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("place", F.row_number().over(W.partitionBy("sortie", "signal").orderBy("t", "source", "ord")))
 
 
 def episode_plots(episodes: DataFrame, samples: DataFrame, margin: float = 30.0, max_pts: int | None = 500) -> DataFrame:
@@ -57,6 +70,7 @@ def episode_plots(episodes: DataFrame, samples: DataFrame, margin: float = 30.0,
 def _windowed(samples: DataFrame, window: DataFrame, before: float, after: float, whole: bool) -> DataFrame:
     w = window.select("sortie", (F.col("t_lo") - before).alias("lo"), (F.col("t_hi") + after).alias("hi"))
     inside = F.col("t").between(F.col("lo"), F.col("hi"))
+    samples = samples.where(~(suffix(F.col("signal")).isin(*GNSS) & (F.col("v") == 0)))
     return samples.join(w, "sortie", "left" if whole else "inner").where((F.col("lo").isNull() | inside) if whole else inside).drop("lo", "hi")
 
 

@@ -13,16 +13,18 @@ KEYS = ["sortie", "source", "signal"]
 def channel_stats(samples: DataFrame, enum_max: int = ENUM_MAX) -> DataFrame:
     """One row a channel: n, total, least, most, the first time of the most, whether all are 0/1 or whole, distinct values.
 
-    Distinct values are counted over a pre-aggregated table of values, so no set of a float channel is ever built (AGG-1).
+    n_distinct is exact for channels of whole numbers and null for others, whose class does not depend on it (AGG-1). One
+    pass gives all else; only whole-numbered channels have their values counted, from a pre-aggregated table of values.
     """
-    per_value = samples.groupBy(*KEYS, "v").agg(F.count("*").alias("c"), F.sum("v").alias("s"), F.min(F.struct("ord", "t")).alias("first"))
-    whole = F.col("v") == F.floor("v")
-    return per_value.groupBy(*KEYS).agg(
-        F.sum("c").alias("n"), F.sum("s").alias("total"), F.min("v").alias("min_v"), F.max("v").alias("max_v"),
-        F.max_by(F.col("first.t"), F.col("v")).alias("t_max_v"),
-        F.coalesce(F.sum(F.when(F.col("v") == 1, F.col("c"))), F.lit(0)).alias("n_active"),
-        F.max((~F.col("v").isin(0.0, 1.0)).cast("int")).alias("has_non_bool"), F.min(whole.cast("int")).alias("all_integer"), F.count("*").alias("n_distinct"),
-    ).withColumn("enum_max", F.lit(enum_max))
+    whole = (F.col("v") == F.floor("v")).cast("int")
+    main = samples.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("min_v"), F.max(F.struct("v", -F.col("ord"), "t")).alias("top"),
+        F.count(F.when(F.col("v") == 1, 1)).alias("n_active"), F.max((~F.col("v").isin(0.0, 1.0)).cast("int")).alias("has_non_bool"), F.min(whole).alias("all_integer"),
+    )
+    integers = main.where("all_integer = 1").select(*KEYS)
+    values = samples.where(whole == 1).join(integers, KEYS, "left_semi").select(*KEYS, "v").distinct().groupBy(*KEYS).agg(F.count("*").alias("n_distinct"))
+    out = main.join(values, KEYS, "left")
+    return out.select(*KEYS, "n", "total", "min_v", F.col("top.v").alias("max_v"), F.col("top.t").alias("t_max_v"), "n_active", "has_non_bool", "all_integer", "n_distinct").withColumn("enum_max", F.lit(enum_max))
 
 
 def classify_channels(stats: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ faults AS (
 classified AS (
   SELECT sortie, episode, start_t, CASE WHEN cmd = 1 AND coalesce(mon, 0) = 0 THEN 'PILOT_CMD' WHEN resp = 1 THEN 'RESP_MONITOR' WHEN mon = 1 THEN 'MONITOR_FAULT' WHEN valid = 1 THEN 'VALIDITY_LOSS' ELSE 'UNKNOWN' END AS category FROM faults),
 corr AS (
-  SELECT signal, round(f * exp(-abs(m) / 2) * exp(-d / 2), 4) AS score, round(f, 4) AS frequency, n_episodes, n_sorties, round(m, 4) AS mean_dt_s, round(d, 4) AS std_dt_s
+  SELECT signal, round(f * exp(-abs(m) / 2) * exp(-d / 2), 4) AS score, round(f, 4) AS frequency, n_episodes, n_sorties, round(m, 3) AS mean_dt_s, round(d, 3) AS std_dt_s
   FROM (SELECT signal || ':' || to_v::INT AS signal, count(DISTINCT (sortie, episode)) AS n_episodes, count(DISTINCT sortie) AS n_sorties, avg(dt / 86400) AS m, stddev_pop(dt / 86400) AS d,
     count(DISTINCT (sortie, episode)) / (SELECT count(*) FROM eps)::DOUBLE AS f FROM ept WHERE dt / 86400 >= -1 AND dt / 86400 <= 0.5::DOUBLE AND role IS NOT NULL GROUP BY 1)),
 up(k, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT p.p_partkey, u.hop + 1 FROM up u JOIN part p ON p.p_partkey // 2 = u.k AND p.p_partkey > 0 WHERE u.hop < 15 AND p.p_partkey <> u.k),
@@ -121,7 +121,7 @@ def _classified(s, d):
     return classify.classify(rows.unionByName(trigger)).join(eps.select("sortie", "episode", "start_t"), ["sortie", "episode"])
 
 
-@query("SELECT sortie, source, signal, n, round(total, 2) AS total, min_v, max_v, has_non_bool, all_integer, n_distinct FROM stats")
+@query("SELECT sortie, source, signal, n, round(total, 2) AS total, min_v, max_v, has_non_bool, all_integer, CASE WHEN all_integer = 1 THEN n_distinct END AS n_distinct FROM stats")
 def channel_stats(s, d):
     return profile.channel_stats(tel.line_samples(s, d)).select("sortie", "source", "signal", "n", F.round("total", 2).alias("total"), "min_v", "max_v", "has_non_bool", "all_integer", "n_distinct")
 
@@ -204,10 +204,10 @@ def episodes_fallback(s, d):
     return ep.with_fallback(ep.extract_episodes(named, "err", 0.0, 1.0, DAY), named, "sysNotEngage", DAY).select("sortie", "episode", "start_t", "is_fallback")
 
 
-@query()
+@query("SELECT sortie, CASE WHEN n = 0 THEN 0 ELSE 1 END AS rank, start_t + n AS start_t, end_t FROM eps, (VALUES (0.0::DOUBLE), (1.5::DOUBLE)) x(n)")
 def merged_episodes(s, d):
     e = tel.episodes(s, d).select("sortie", "start_t", "end_t")
-    return ep.merge_episodes(e.withColumn("rank", F.lit(0)).unionByName(e.select("sortie", (F.col("start_t") + 0.5).alias("start_t"), "end_t").withColumn("rank", F.lit(1))))
+    return ep.merge_episodes(e.withColumn("rank", F.lit(0)).unionByName(e.select("sortie", (F.col("start_t") + 0.5).alias("start_t"), "end_t").withColumn("rank", F.lit(1))).unionByName(e.select("sortie", (F.col("start_t") + 1.5).alias("start_t"), "end_t").withColumn("rank", F.lit(1))))
 
 
 @query("SELECT sortie, signal, axis, t, from_v, to_v, is_anchor FROM modes")
@@ -241,14 +241,14 @@ def phase_intervals(s, d):
     return _phases(s, d)
 
 
-@query("SELECT p.sortie, p.phase, p.t_lo, p.t_hi, x.signal, arg_min(x.v, x.ord) AS entry_v, arg_max(x.v, x.ord) AS exit_v, max(abs(x.v)) AS max_abs, round(sqrt(avg(x.v * x.v)), 4) AS rms FROM phases p JOIN samples x ON x.sortie = p.sortie AND x.t BETWEEN p.t_lo AND p.t_hi WHERE x.signal = 'value' GROUP BY 1, 2, 3, 4, 5")
+@query("SELECT p.sortie, p.phase, p.t_lo, p.t_hi, x.signal, arg_min(x.v, x.ord) AS entry_v, arg_max(x.v, x.ord) AS exit_v, max(abs(x.v)) AS max_abs, round(sqrt(avg(x.v * x.v)), 4) AS rms FROM phases p JOIN samples x ON x.sortie = p.sortie AND x.t BETWEEN p.t_lo AND p.t_hi GROUP BY 1, 2, 3, 4, 5")
 def phase_stats(s, d):
-    return md.phase_stats(_phases(s, d), tel.samples(s, d).where("signal = 'value'"))
+    return md.phase_stats(_phases(s, d), tel.samples(s, d), DAY)
 
 
 @query("SELECT e.sortie, e.episode, e.start_t, CASE WHEN max((p.phase = 'approach')::INT) = 1 THEN 'approach' ELSE max(p.phase) END AS phase FROM eps e LEFT JOIN phases p ON p.sortie = e.sortie AND e.start_t BETWEEN p.t_lo AND p.t_hi GROUP BY 1, 2, 3")
 def phase_at_fault(s, d):
-    return md.phase_at(tel.episodes(s, d), _phases(s, d), ["approach", "takeoff"])
+    return md.phase_at(tel.episodes(s, d), _phases(s, d), ["approach", "takeoff"], DAY)
 
 
 @query("SELECT sortie, signal, v, t_lo, t_hi, n FROM (SELECT sortie, signal, min(v) AS v, min(t) AS t_lo, max(t) AS t_hi, count(*) AS n FROM (SELECT *, sum(CASE WHEN before IS NULL OR before <> v THEN 1 ELSE 0 END) OVER (PARTITION BY sortie, signal ORDER BY ord) AS run FROM lagged) GROUP BY sortie, signal, run) WHERE t_hi - t_lo >= 86400 AND n > 1")
@@ -256,7 +256,8 @@ def flat_segments(s, d):
     return md.flat_segments(tel.samples(s, d).where("signal <> 'value'"), DAY)
 
 
-@query()
+@query("""SELECT sortie, t AS t_lo, t_hi FROM (SELECT sortie, t, sum(d) OVER (PARTITION BY sortie ORDER BY t) AS level, lead(t) OVER (PARTITION BY sortie ORDER BY t) AS t_hi FROM (SELECT sortie, t, sum(d) AS d FROM
+ (SELECT sortie, t_lo AS t, 1 AS d FROM flats UNION ALL SELECT sortie, t_hi, -1 FROM flats) GROUP BY 1, 2)) WHERE level >= 2 AND t_hi - t >= 86400""".replace("FROM flats", "FROM (SELECT sortie, min(t) AS t_lo, max(t) AS t_hi FROM (SELECT *, sum(CASE WHEN before IS NULL OR before <> v THEN 1 ELSE 0 END) OVER (PARTITION BY sortie, signal ORDER BY ord) AS run FROM lagged) GROUP BY sortie, signal, run HAVING max(t) - min(t) >= 86400 AND count(*) > 1)"))
 def flat_together(s, d):
     return md.flat_together(md.flat_segments(tel.samples(s, d).where("signal <> 'value'"), DAY), 2, DAY)
 
@@ -458,8 +459,11 @@ def ops_per_sortie(s, d):
 
 
 def queries() -> dict:
+    from . import detail  # noqa: F401  (registers its queries here)
+
     return dict(R)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

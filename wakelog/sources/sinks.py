@@ -2,30 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def write_analysis(episodes: DataFrame, transitions: DataFrame, gaps: DataFrame, path: str) -> None:
-    """One JSON document a sortie, nulls kept, in folders by sortie (SNK-1)."""
-    t = transitions.groupBy("sortie", "episode").agg(F.array_sort(F.collect_list(F.struct("t", "ord", "signal", "from_v", "to_v", "role"))).alias("transitions"))
-    e = episodes.join(t, ["sortie", "episode"], "left").groupBy("sortie").agg(F.array_sort(F.collect_list(F.struct("episode", "start_t", "end_t", "duration_s", "transitions"))).alias("episodes"))
-    g = gaps.groupBy("sortie").agg(F.array_sort(F.collect_list(F.struct("t_start", "t_end", "duration_s"))).alias("data_gaps"))
-    doc = e.join(g, "sortie", "full")
-    doc.select("sortie", F.to_json(F.struct("sortie", "episodes", "data_gaps"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+def _gathered(rows: DataFrame, name: str, order: list[str], **fields: Column) -> DataFrame:
+    """(sortie, name): the rows of each sortie as an array of structs, sorted by the columns of order."""
+    entry = F.struct(*order, F.struct(*[c.alias(k) for k, c in fields.items()]).alias("x"))
+    return rows.groupBy("sortie").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias(name))
 
 
-def write_hires(points: DataFrame, path: str) -> None:
-    """One JSON document a sortie with [t, v] pairs by signal (SNK-2)."""
-    series = points.groupBy("sortie", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "ord", "v"))), lambda p: F.array(p["t"], p["v"])).alias("pairs"))
-    doc = series.groupBy("sortie").agg(F.map_from_entries(F.collect_list(F.struct("signal", "pairs"))).alias("flight_plots"))
-    doc.select("sortie", F.to_json(F.struct("flight_plots")).alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+def _moves(rows: DataFrame) -> dict[str, Column]:
+    """A transition as documents have it: the time is a text, from and to are names of fields."""
+    return {"signal": F.col("signal"), "time": F.col("t").cast("string"), "from": F.col("from_v"), "to": F.col("to_v"), "row_idx": F.col("ord")}
 
 
-def write_report(rows: DataFrame, params: dict, name: str, path: str) -> None:
-    """One JSON document: the run's parameters and the ranked rows (SNK-3, SNK-4). The rows are a top list, so few."""
-    listed = rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
-    listed.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in params.items()], name)).alias("value")).write.mode("overwrite").text(path)
+def analysis_documents(recordings: DataFrame, episodes: DataFrame, found: DataFrame, gaps: DataFrame, modes: DataFrame | None = None, peaks: DataFrame | None = None, channels: DataFrame | None = None, flight: DataFrame | None = None, takeoff: DataFrame | None = None, trigger: tuple | None = None) -> DataFrame:
+    """(sortie, document): everything known of each recorded sortie as one JSON text (SNK-1).
+
+    recordings: (sortie, source, total_rows, t_min, duration_s); found: transitions of episodes, with episode; channels: as
+    channel_summary gives them; flight and takeoff: points; trigger: (signal, from, to). Parts that are not given are left
+    out; a sortie without rows of a part has an empty list. A document holds a sortie whole, as its readers want it, so a
+    row is as large as one sortie's result.
+    """
+    e = ["sortie", "episode"]
+    listed = found.groupBy(*e).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "ord", F.struct(*[c.alias(k) for k, c in _moves(found).items()]).alias("x")))), lambda m: m["x"]).alias("transitions"))
+    whole = episodes.join(listed, e, "left")
+    parts = [
+        _gathered(whole, "episodes", ["episode"], episode=F.col("episode"), start_time=F.col("start_t").cast("string"), end_time=F.col("end_t").cast("string"), duration_s=F.col("duration_s"), transitions=F.coalesce("transitions", F.array())),
+        _gathered(gaps, "data_gaps", ["t_start"], t_start=F.col("t_start"), t_end=F.col("t_end"), duration_s=F.col("duration_s")),
+    ]
+    if modes is not None:
+        parts.append(_gathered(modes, "mode_transitions", ["t", "ord"], **_moves(modes)))
+    if peaks is not None:
+        parts.append(_gathered(peaks, "torque_stats", ["signal"], signal=F.col("signal"), peak=F.col("peak"), peak_time=F.col("peak_time"), modes=F.col("modes")))
+    if channels is not None:
+        of = lambda kind: channels.where(F.col("class") == kind)
+        parts.append(_gathered(of("bool"), "bool_channels", ["signal"], name=F.col("signal"), active_count=F.col("n_active"), total_count=F.col("n"), active_pct=F.col("active_pct")))
+        parts.append(_gathered(of("enum"), "enum_channels", ["signal"], name=F.col("signal"), values=F.col("values")))
+        parts.append(_gathered(of("num"), "num_channels", ["signal"], name=F.col("signal"), min=F.col("min"), max=F.col("max"), mean=F.col("mean")))
+    for name, points in (("flight_plots", flight), ("takeoff_plots", takeoff)):
+        if points is not None:
+            parts.append(_series(points).withColumnRenamed("plots", name))
+    doc = recordings
+    for p in parts:
+        doc = doc.join(p, "sortie", "left")
+    names = [p.columns[1] for p in parts]
+    empty = [F.coalesce(n, F.from_json(F.lit("{}" if n.endswith("_plots") else "[]"), dict(doc.dtypes)[n])).alias(n) for n in names]
+    given = [] if trigger is None else [F.struct(F.lit(trigger[0]).alias("signal"), F.lit(float(trigger[1])).alias("from"), F.lit(float(trigger[2])).alias("to")).alias("trigger")]
+    own = [F.col("source").alias("filename"), "total_rows", "duration_s", F.col("t_min").alias("rec_start_s")]
+    return doc.select("sortie", F.to_json(F.struct(*own, *given, *empty), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_analysis(documents: DataFrame, path: str) -> None:
+    """One JSON document a sortie, nulls kept, in folders by sortie."""
+    documents.select("sortie", F.col("document").alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+
+
+def _series(points: DataFrame) -> DataFrame:
+    """(sortie, plots): [t, v] pairs by signal."""
+    pairs = points.groupBy("sortie", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "ord", "v"))), lambda p: F.array(p["t"], p["v"])).alias("pairs"))
+    return pairs.groupBy("sortie").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "pairs")))).alias("plots"))
+
+
+def write_hires(points: DataFrame, path: str, takeoff: DataFrame | None = None) -> None:
+    """One JSON document a sortie with [t, v] pairs by signal, for the flight and, if given, the takeoff (SNK-2)."""
+    doc, names = _series(points).withColumnRenamed("plots", "flight_plots"), ["flight_plots"]
+    if takeoff is not None:
+        doc, names = doc.join(_series(takeoff).withColumnRenamed("plots", "takeoff_plots"), "sortie", "full"), [*names, "takeoff_plots"]
+    doc.select("sortie", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+
+
+def write_report(rows: DataFrame, params: dict, name: str, path: str, order: list[Column] | None = None) -> None:
+    """One JSON document: the run's parameters and the rows in their ranking (SNK-3, SNK-4). The rows are a top list, so few.
+
+    order ranks them; without it a column place does, else the order in which a sorted table has them. An empty list is
+    written as one.
+    """
+    ranked = rows
+    if order is not None:
+        ranked = rows.withColumn("place", F.row_number().over(W.orderBy(*order)))
+    elif "place" not in rows.columns:
+        ranked = rows.withColumn("place", F.monotonically_increasing_id())
+    columns = [c for c in ranked.columns if c != "place"]
+    listed = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*columns).alias("row")))), lambda x: x["row"]).alias(name))
+    listed.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in params.items()], name), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:

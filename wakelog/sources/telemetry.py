@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.names import finite, time_column, time_seconds
+from ..functions.names import finite, time_column, time_seconds, with_sortie_tags
 from ..operators.events import first_wins
 
 LONG = "source string, member string, row_ord long, col_ord int, signal string, t double, v double"
 
 
 def read_telemetry_csv(spark: SparkSession, path: str, time_col: str | None = None, time_rule: str = "strict") -> DataFrame:
-    """Wide CSV as text, with source, ord (file, block, row) and the time t in seconds (SRC-1)."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    t = time_col or time_column(raw.columns, time_rule)
-    return raw.select("*", F.col("_metadata.file_name").alias("source"), F.monotonically_increasing_id().alias("ord"), time_seconds(F.col(f"`{t}`")).alias("t"))
+    """Wide CSV as text, with source, ord and the time t in seconds (SRC-1).
+
+    path is a file, a folder or a pattern. Files with one header are read together, and the groups are united by name, so
+    the order of columns does not matter and a column that a file lacks is null. ord ascends with the rows of a file,
+    across its blocks. One small read a file tells the headers; a file without a time column raises ValueError.
+    """
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(files):
+        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    if not groups:
+        raise ValueError(f"no file at {path}")
+    # A block's rows are no more than its bytes, so twice its start leaves room for the number of a row in its task.
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    found = []
+    for header, paths in groups.items():
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
+        t = time_col or time_column(list(header), time_rule)
+        found.append(raw.select("*", F.col("_metadata.file_name").alias("source"), (2 * F.col("_metadata.file_block_start") + in_task).alias("ord"), time_seconds(F.col(f"`{t}`")).alias("t")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def csv_to_long(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -116,7 +134,10 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.rlike(r"^analysis_.*_hires\.json$"), "hires").when(name.rlike(r"^analysis_.*\.json$"), "analysis").when(name.rlike(r"(?i)\.zip$"), "archive")
-    sortie = F.nullif(F.regexp_extract(name, r"(?:^|[^A-Za-z])([SG][0-9]{3}(?:_[0-9]+)?)", 1), F.lit(""))
+    tags = with_sortie_tags(files.withColumn("source", F.col("path")))
+    # A document bears the label of its sortie, an archive the tag that makes it.
+    named = F.upper(F.nullif(F.regexp_extract(name, r"(?i)^analysis_([SG]\d{2,5}(?:_\d+)?)", 1), F.lit("")))
+    files, sortie = tags, F.coalesce(named, F.col("sortie"))
     found = files.select(sortie.alias("sortie"), "path", kind.alias("kind"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).where("kind is not null")
     return found.orderBy(F.substring("sortie", 1, 1), F.regexp_extract("sortie", r"([0-9]+)", 1).try_cast("int"), F.regexp_extract("sortie", r"_([0-9]+)$", 1).try_cast("int"), F.desc("size"), "path")
 

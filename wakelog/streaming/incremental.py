@@ -11,10 +11,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def run_incremental(spark: SparkSession, root: str, schema: str, checkpoint: str, out: str, analyse: Callable[[DataFrame], DataFrame]) -> None:
-    """Analyse the sorties of files that are new since the last run, and replace their partitions of out (SNK-6, STR-1)."""
+    """Analyse the sorties that files new since the last run touch, and replace their partitions of out (SNK-6, STR-1).
+
+    A touched sortie is analysed whole, from all its files, so a later file adds to it and takes nothing away. analyse gets
+    (df) with the rows of whole sorties and keeps the column sortie.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        analyse(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sortie").parquet(out)
+        touched = df.select("sortie").distinct()
+        whole = spark.read.schema(schema).parquet(root).join(touched, "sortie", "left_semi")
+        analyse(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sortie").parquet(out)
 
     stream = spark.readStream.schema(schema).parquet(root)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -25,22 +31,32 @@ def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.where("status = 'ok'").select("sortie"), "sortie", "left_anti")
 
 
-def live_transitions(samples: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Changes of each signal in a stream of (sortie, signal, ts, v); rows behind the watermark are dropped (STR-2)."""
+def live_transitions(samples: DataFrame, delay: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """Changes of each signal in a stream of (sortie, signal, ts, v) (STR-2).
+
+    Rows behind the watermark or not later than the last one of their signal are passed over, so a change is told once and
+    in order. A signal's state ends when event time has gone idle_ms beyond its last row.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, v in zip(rows["ts"], rows["v"], strict=True):
-            if last is not None and v != last:
-                out.append((key[0], key[1], ts, last, v))
-            last = v
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["sortie", "signal", "ts", "from_v", "to_v"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last_ms, last = state.get if state.exists else (None, None)
+        floor = state.getCurrentWatermarkMs()
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        ms = rows["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
+        rows = rows[(ms >= floor) & (True if last_ms is None else ms > last_ms)]
+        if len(rows):
+            before = rows["v"].shift(1, fill_value=last if last is not None else rows["v"].iloc[0])
+            moved = rows[rows["v"] != before].assign(sortie=key[0], signal=key[1], from_v=before, to_v=rows["v"])
+            end_ms = int(rows["ts"].to_numpy().astype("datetime64[ms]").astype("int64")[-1])
+            state.update((end_ms, float(rows["v"].iloc[-1])))
+            state.setTimeoutTimestamp(max(end_ms, floor) + idle_ms)
+            yield moved[["sortie", "signal", "ts", "from_v", "to_v"]]
 
     timed = samples.withWatermark("ts", delay)
-    return timed.groupBy("sortie", "signal").applyInPandasWithState(step, "sortie string, signal string, ts timestamp, from_v double, to_v double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("sortie", "signal").applyInPandasWithState(step, "sortie string, signal string, ts timestamp, from_v double, to_v double", "last_ms long, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_sessions(samples: DataFrame, gap: str = "1 second", delay: str = "10 seconds") -> DataFrame:
