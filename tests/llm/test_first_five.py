@@ -65,6 +65,44 @@ def test_tree_locates_edits():
     assert fingerprints.changed_ranges(fingerprints.Tree(a), fingerprints.Tree(a)) == []
 
 
+def test_likeness_by_spans():
+    """Likeness is the share of bytes in common spans, counted over the spans' own bytes."""
+    rnd = random.Random(3)
+    some = [t for _, t, _ in some_texts(30)] + ["".join(rnd.choices("abcdef", k=2000)), "word " * 900, "x" * 3000, "ab " * 50 + "y" * 700]
+    texts_ = [*some, *(t[: len(t) * 2 // 3] + "other end" for t in some)]
+    trees = [fingerprints.Tree(t) for t in texts_]
+    spans = [Counter(t.encode()[o : o + n] for o, n in zip(x.offsets.tolist(), x.sizes.tolist(), strict=True)) for t, x in zip(texts_, trees, strict=True)]
+    for t, x in zip(texts_, trees, strict=True):
+        assert int(x.sizes.sum()) == len(t.encode()) and (not t or max(x.sizes) <= fingerprints.LONGEST)
+    for i in range(len(some)):
+        for j in (i, i + len(some), (i + 1) % len(some)):
+            both = sum(len(s) * n for s, n in (spans[i] & spans[j]).items())
+            total = len(texts_[i].encode()) + len(texts_[j].encode())
+            assert fingerprints.likeness(trees[i], trees[j]) == pytest.approx(1.0 if texts_[i] == texts_[j] else 2 * both / total)
+
+
+def test_long_runs_are_cut():
+    rnd = random.Random(4)
+    for t in ("".join(rnd.choices("abcdefgh", k=6000)), "word " * 1200, "z" * 6000, "日本" * 3000):
+        a, b = fingerprints.Tree(t), fingerprints.Tree(t[: len(t) * 2 // 3] + "".join(rnd.choices("mnop", k=len(t) // 3)))
+        assert max(a.sizes) <= fingerprints.LONGEST and 0.55 < fingerprints.likeness(a, b) < 0.75
+        assert sum(e - s for s, e in fingerprints.changed_ranges(a, b)) < 0.5 * sum(b.sizes)
+
+
+def test_cosine_hash_against_plain_sums():
+    rnd = np.random.default_rng(2)
+    side, low = media.SIDE, media.LOW
+    for _ in range(3):
+        image = rnd.integers(0, 256, (side, side)).astype(np.uint8)
+        c = np.zeros((low, low))
+        for u in range(low):
+            for v in range(low):
+                c[u, v] = sum(float(image[y, x]) * np.cos(np.pi * u * (y + 0.5) / side) * np.cos(np.pi * v * (x + 0.5) / side) for y in range(side) for x in range(side))
+        flat = c.ravel()
+        bits = "".join("1" if x > np.median(flat[1:]) else "0" for x in flat)
+        assert media.cosine_hash(image) == f"{int(bits, 2):0{len(bits) // 4}x}"
+
+
 def test_merkle_nodes(documents):
     rows = fingerprints.merkle_nodes(documents(EDGES)).collect()
     roots = [r for r in rows if r["level"] == "root"]

@@ -9,6 +9,11 @@ pipeline = pytest.importorskip("corpus_pipeline")
 from tests.llm.conftest import EDGES, SCHEMA  # noqa: E402
 from tests.llm.test_first_five import brute_lines, some_texts  # noqa: E402
 
+from wakelog.llm.mixing import mix_sources  # noqa: E402
+from wakelog.llm.pieces import Decoder  # noqa: E402
+from wakelog.llm.quality import rate_documents  # noqa: E402
+from wakelog.llm.queries import piece_vocabulary  # noqa: E402
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -36,6 +41,52 @@ def test_stages(spark, sf_dir):
     assert len(encoded) == docs.count() and all(r["n_tokens"] == len(r["token_ids"]) for r in encoded)
 
 
+def test_stages_against_brute_force(spark, sf_dir):
+    """Near dedup against all pairs, mixing against plain sums, encoding against decoding, rating against the model's rule."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    kept = pipeline.drop_copies(spark, docs, sf_dir).collect()
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in rows])
+    assert Counter(r["text"] or "" for r in kept).keys() <= {r["text"] or "" for r in rows}
+    assert len(kept) == len(groups) and all(sum((k["text"] or "") in g for k in kept) == 1 for g in groups)
+    mixed = Counter((r["doc_id"], r["text"]) for r in pipeline.mix(spark, docs, sf_dir).collect())
+    taken = {(r["doc_id"], r["text"]): r["copies"] for r in mix_sources(docs).collect()}
+    times = Counter((r["doc_id"], r["text"]) for r in rows)
+    assert mixed == Counter({k: times[k] * n for k, n in taken.items() if n})
+    decoder = Decoder(piece_vocabulary())
+    back = Counter((r["doc_id"], decoder.decode(r["token_ids"])) for r in pipeline.encode(spark, docs, sf_dir).collect())
+    assert back == Counter((r["doc_id"], r["text"] or "") for r in rows)
+    rated = {(r["doc_id"], r["text"]): r["p_above_1"] for r in rate_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    good = {(r["doc_id"], r["text"]) for r in pipeline.reject_poor(spark, docs, sf_dir).collect()}
+    assert good == {k for k, p in rated.items() if p >= 0.5}
+
+
+def brute_groups(rows):
+    """Sets of texts that belong together, from all pairs of distinct texts, by plain shingle sets and plain edit distance."""
+    words = {t: (t or "").lower().split() for t in {t or "" for _, t in rows}}
+    group = {t: {t} for t in words}
+    for a, x in words.items():
+        for b, y in words.items():
+            if a < b and group[a] is not group[b] and x and y and linked(x, y):
+                group[a] |= group[b]
+                for t in group[b]:
+                    group[t] = group[a]
+    return {id(g): g for g in group.values()}.values()
+
+
+def linked(x, y):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x, y)]
+    if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]):
+        return False
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        new = [i]
+        for j, b in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return row[-1] <= 0.2 * max(len(x), len(y))
+
+
 def test_run(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert rows and all(r["n_tokens"] > 0 for r in rows)

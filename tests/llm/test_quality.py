@@ -64,3 +64,41 @@ def test_nothing_fitted(documents, spark):
     for labels in ([], [(99, 1, 0)], [(1, None, 0)]):
         rated = quality.rate_documents(documents(EDGES), spark.createDataFrame(labels, LABELS)).collect()
         assert len(rated) == len(EDGES) and all(r["keep"] for r in rated)
+
+
+def test_bounds_of_the_sample(documents, spark):
+    """Within both bounds the sample is the same in every run, repeats count once, and one long text does not pass the second."""
+    rows, labels = planted(200, 3)
+    table, marks = documents([*rows, *rows[:50], (0, rows[1][1])]), spark.createDataFrame(labels, LABELS)
+    fit = lambda **k: quality.fit_quality(table, marks, quality.graded(), 3, **k)
+    a, b = fit(fit_rows=80), fit(fit_rows=80)
+    assert (a.weights == b.weights).all() and (a.places == b.places).all() and a.fitted
+    assert not fit(fit_bytes=10).fitted and fit(fit_bytes=100_000).fitted
+    with pytest.raises(ValueError):
+        quality.rate_documents(table.withColumn("keep", table["doc_id"]), marks)
+
+
+def test_fit_against_plain_descent():
+    """The fitted model's loss is as low as that of plain gradient descent on the same cumulative-link likelihood."""
+    rnd = np.random.default_rng(4)
+    true = rnd.normal(size=12)
+    x = rnd.integers(0, 2, (600, 12)).astype(float)
+    grades = np.digitize(x @ true + rnd.logistic(size=600), [-0.7, 0.9])
+    rows = [(np.flatnonzero(r).astype(np.int64), np.ones(int(r.sum()))) for r in x]
+    m = quality.fit_ordinal(rows, grades, 3, lasso=0.0)
+    weight = 1 / np.sqrt(np.bincount(grades, minlength=3))[grades]
+    above = grades[:, None] > np.arange(2)[None, :]
+
+    def loss(w, t):
+        p = 1 / (1 + np.exp(-(x @ w)[:, None] + t[None, :]))
+        return float(-(weight[:, None] * np.where(above, np.log(p), np.log1p(-p))).sum() / weight.sum())
+
+    w, t = np.zeros(12), np.array([-0.5, 0.5])
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-(x @ w)[:, None] + t[None, :]))
+        e = (p - above) * weight[:, None] / weight.sum()
+        w, t = w - 0.5 * x.T @ e.sum(1), t + 0.5 * e.sum(0)
+    full = np.zeros(12)
+    full[m.places] = m.weights
+    assert loss(full, m.thresholds) < loss(w, t) + 0.01
+    assert np.corrcoef(full, w)[0, 1] > 0.99

@@ -19,6 +19,8 @@ from .common import fresh, n_parts, text_or_empty
 
 #: A span of words ends after a word whose hash is 0 modulo this; a section after a paragraph likewise.
 SPAN, SECTION = 6, 4
+#: A span of more bytes than this is cut further: behind strings of 8 bytes whose hash is 0 modulo CUT, or when it is full.
+LONGEST, CUT = 256, 64
 #: Bytes of a node's hash, of the root's, and of a leaf in a fingerprint string.
 NODE, ROOT, LEAF = 8, 16, 3
 
@@ -71,15 +73,37 @@ class Tree:
         last = (words % np.uint64(SPAN) == 0) | ends_line
         if n:
             last[-1] = True
-        ends = edges[1:][last]
+        ends, stops = self._cut(raw, edges[1:][last], ends_line[last])
         self.offsets = np.concatenate([[0], ends[:-1]]) if n else ends
         self.sizes = ends - self.offsets
         self.leaves = span_hashes(raw, self.offsets, ends, sums)
-        stops = ends_line[last]
         if n:
             stops[-1] = True
         self._build(np.flatnonzero(stops) + 1, n)
 
+    @staticmethod
+    def _cut(raw: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of spans, and whether a paragraph ends there, with long spans cut further."""
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        new: list[int] = []
+        for a, b in zip(starts[ends - starts > LONGEST].tolist(), ends[ends - starts > LONGEST].tolist(), strict=True):
+            x = raw[a:b].astype(np.uint64)
+            h = x[:-7].copy()
+            for i in range(1, 8):
+                h |= x[i : len(x) - 7 + i] << np.uint64(8 * i)
+            cuts, begin = a + 8 + np.flatnonzero(_mixed(h) % np.uint64(CUT) == 0), a
+            for c in [*cuts[cuts < b].tolist(), b]:
+                # What is too long still is cut when it is full.
+                new += range(begin + LONGEST, c, LONGEST)
+                new += [c] if c < b else []
+                begin = c
+        if not new:
+            return ends, stops
+        every = np.union1d(ends, new)
+        is_stop = np.zeros(len(every), bool)
+        is_stop[np.searchsorted(every, ends)] = stops
+        return every, is_stop
+
     def _build(self, stops: np.ndarray, n: int) -> None:
         digest = lambda parts, size: hashlib.blake2b(parts, digest_size=size).digest()
         data, begin = self.leaves.tobytes(), 0

@@ -35,7 +35,7 @@ SKETCH, MISSED = 128, 5e-6
 #: Marks of the finer sketch, a bit each, that texts get whose buckets are not done after the first round.
 FINER = 1024
 #: A round takes this many times the centres of the one before.
-MORE_CENTRES = 64
+MORE_CENTRES = 32
 #: Rows of a bucket that one task joins; larger buckets are salted.
 BUCKET_ROWS = 100_000
 #: Bytes of words that a worker keeps for the texts it has met.
@@ -415,8 +415,10 @@ def _of_round(met: DataFrame, left: DataFrame, facts: DataFrame, at: int, least:
     fit = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & _close(least, at > 0)
     # Of the buckets in which a centre meets a node one gives the pair; of two centres the smaller; and no earlier round did.
     first = F.array_min(F.array_intersect("x.central", "y.keys")) == F.col("x.key")
-    mine = (F.col("x.node") < F.col("y.node")) | ~F.arrays_overlap("y.central", "x.keys")
-    new = ~F.arrays_overlap("x.early", "y.keys") & ~F.arrays_overlap("y.early", "x.keys")
+    # exists, unlike arrays_overlap, keeps the condition out of the join's one generated method, which would be too long to be compiled.
+    meets = lambda some, keys: F.exists(some, lambda k: F.array_contains(keys, k))
+    mine = (F.col("x.node") < F.col("y.node")) | ~meets("y.central", F.col("x.keys"))
+    new = ~meets("x.early", F.col("y.keys")) & ~meets("y.early", F.col("x.keys"))
     pairs = centres.alias("x").join(others.alias("y"), meet & fit & first & mine & new)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 

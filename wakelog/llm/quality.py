@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty
+from .common import fresh, stored, text_or_empty
 
-#: Labelled documents that are fitted at most: those with the smallest hash of their id.
-FIT_ROWS = 10_000
+#: Labelled documents that are fitted at most, and bytes of their features: those with the smallest hash of their id.
+FIT_ROWS, FIT_BYTES = 10_000, 96_000_000
 #: Places that features hash to. A model keeps those with a weight only, so many places cost nothing.
 WIDTH = 1 << 24
 #: Words whose places a worker remembers.
@@ -137,20 +138,35 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     return OrdinalModel(used[w != 0], w[w != 0], thresholds)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fit on the fit_rows labelled documents with the smallest hash of their id; a bound, so the driver can fit them.
+def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> OrdinalModel:
+    """Fit on the fit_rows labelled documents with the smallest hash of their id, or on the first of them whose features
+    take fit_bytes: both are bounds, so that the driver can fit them.
 
     grade is a column over labels, 0 to n_grades - 1; rows where it is null are left out. Of several labels for one id
-    the smallest grade counts. Null texts are empty. Rows that share an id are all fitted, within the bound.
+    the smallest grade counts. Null texts are empty. Rows that share an id are all fitted, within the bounds, in the order
+    of the hashes of their texts; so reruns agree. Other columns of either table are not read.
     """
     marks = labels.select(F.col(doc_id).alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null").groupBy("_id").agg(F.min("_grade").alias("_grade"))
     # The labels that are fitted are chosen before any text moves; the join reads the texts of those only.
     chosen = marks.orderBy(F.xxhash64(F.col("_id")), "_id").limit(fit_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id").select(F.xxhash64("_text").alias("_tie"), "_id", "_grade", "_text")
-    # Only features come to the driver, and no more rows than the bound.
-    found = sample.mapInPandas(_extracted, "_id string, _tie long, _grade int, places binary, values binary").limit(fit_rows)
-    rows = sorted(((r["_id"], r["_tie"], r["_grade"], bytes(r["places"]), bytes(r["values"])) for r in found.toLocalIterator()))
+    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text", F.xxhash64("_text").alias("_tie"))
+    # The rows within the first bound are known by the last of them; equal rows are one.
+    place = F.struct(F.xxhash64("_id").alias("h"), "_id", "_tie")
+    upto = lambda row: place <= F.struct(F.lit(row["h"]).alias("h"), F.lit(row["_id"]).alias("_id"), F.lit(row["_tie"]).alias("_tie"))
+    last = sample.select(place.alias("p")).distinct().orderBy("p").limit(fit_rows).agg(F.max("p").alias("m")).head()["m"]
+    if last is None:
+        return fit_ordinal([], np.zeros(0, np.int64), n_grades)
+    kind = labels.schema[doc_id].dataType.simpleString()
+    once = sample.where(upto(last)).dropDuplicates(["_id", "_tie"])
+    found = stored(once.mapInPandas(_extracted, f"_id {kind}, _tie long, _grade int, places binary, values binary"), "features")
+    # Only features come to the driver, and no more of them than the second bound.
+    so_far = W.orderBy(place).rowsBetween(W.unboundedPreceding, 0)
+    sizes = found.select(place.alias("p"), F.sum(F.octet_length("places") + F.octet_length("values")).over(so_far).alias("sum"))
+    last = sizes.where(F.col("sum") <= fit_bytes).agg(F.max("p").alias("m")).head()["m"]
+    if last is None:
+        return fit_ordinal([], np.zeros(0, np.int64), n_grades)
+    rows = sorted((str(r["_id"]), r["_tie"], r["_grade"], bytes(r["places"]), bytes(r["values"])) for r in found.where(upto(last)).toLocalIterator())
     arrays = [(np.frombuffer(p, np.int64), np.frombuffer(v, np.float32).astype(float)) for *_, p, v in rows]
     return fit_ordinal(arrays, np.array([r[2] for r in rows], np.int64), n_grades)
 
@@ -159,8 +175,7 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     extract = Features()
     for pdf in batches:
         got = [extract.of(t) for t in pdf["_text"]]
-        out = pdf[["_id", "_tie", "_grade"]].astype({"_id": str})
-        yield out.assign(places=[p.tobytes() for p, _ in got], values=[v.astype(np.float32).tobytes() for _, v in got])
+        yield pdf[["_id", "_tie", "_grade"]].assign(places=[p.tobytes() for p, _ in got], values=[v.astype(np.float32).tobytes() for _, v in got])
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
@@ -195,8 +210,11 @@ def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
 def rate_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs with expected_grade, p_above_0, p_above_1 and keep added: keep if the good grade has a chance of ``least``.
 
-    Without labelled documents nothing is known of any: the chances are those of the neutral model, and all are kept.
+    Without labelled documents nothing is known of any: the chances are those of the neutral model, and all are kept. Null
+    and empty texts are rated as texts without words, long ones whole; equal texts get equal ratings, repeated rows repeat
+    them. An empty table gives an empty one. Other columns pass through; ValueError if one bears the name of an added one.
     """
+    fresh(docs, "p_above_0", "p_above_1", "keep")
     model = fit_quality(docs, labels, graded(), 3)
     rated = score_quality(docs, model)
     good = F.get("tails", F.lit(1)) >= least if model.fitted else F.lit(True)
