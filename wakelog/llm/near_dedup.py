@@ -399,21 +399,22 @@ def _met(nodes: DataFrame) -> DataFrame:
     return stored(shared.join(first, "key").select("key", "node", "size", level.alias("level")), "met")
 
 
-def _of_round(met: DataFrame, left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
+def _of_round(left: DataFrame, facts: DataFrame, at: int, least: float) -> DataFrame:
     """(a, b): the centres of a round with the other nodes of their buckets that may be linked to them, each pair once.
 
-    met: all nodes in their buckets; left: those of this round and later ones in buckets that are not done; facts (node,
-    root, n, sketch): what is known of each.
+    left: the nodes of this round and later ones in buckets that are not done; facts (node, root, n, places, sketch): what is
+    known of each, places being its buckets with its rounds in them.
     """
     parts = F.ceil(F.col("size") / BUCKET_ROWS)
-    central = left.where(F.col("level") == at).groupBy("node").agg(F.collect_list("key").alias("central"))
-    early = met.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("level") < at, F.col("key"))).alias("early"))
-    known = left.join(early.join(central, "node", "left").join(facts, "node"), "node").withColumn("central", F.coalesce("central", F.array().cast("array<long>")))
+    keys = lambda some: F.transform(some, lambda p: p["key"])
+    early, central = F.filter("places", lambda p: p["level"] < at), F.filter("places", lambda p: p["level"] == at)
+    known = left.join(facts.withColumns({"keys": keys("places"), "early": keys(early), "central": keys(central)}).drop("places"), "node")
     centres = known.where(F.col("level") == at).withColumn("salt", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
     others = known.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") != F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     fit = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & _close(least, at > 0)
     # Of the buckets in which a centre meets a node one gives the pair; of two centres the smaller; and no earlier round did.
+    # A bucket that is done does not count: its nodes of this round and later ones have one root.
     first = F.array_min(F.array_intersect("x.central", "y.keys")) == F.col("x.key")
     # exists, unlike arrays_overlap, keeps the condition out of the join's one generated method, which would be too long to be compiled.
     meets = lambda some, keys: F.exists(some, lambda k: F.array_contains(keys, k))
@@ -425,16 +426,16 @@ def _of_round(met: DataFrame, left: DataFrame, facts: DataFrame, at: int, least:
 
 def linked(nodes: DataFrame, texts_of, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes that have links. nodes: (node, keys, n, sketch); texts_of(nodes) gives (node, text)."""
-    met = _met(nodes)
-    left, at, roots = met, 0, None
-    texts = stored(texts_of(met.select("node").distinct()), "texts")
-    facts = nodes.select("node", "n", *LONGS)
+    left, at, roots = _met(nodes), 0, None
+    places = left.groupBy("node").agg(F.collect_list(F.struct("key", "level")).alias("places"))
+    facts = stored(nodes.select("node", "n", *LONGS).join(places, "node"), "facts")
+    texts = stored(texts_of(facts.select("node")), "texts")
     while left is not None:
         if at == 1:
             finer = finer_sketches(texts.join(left.select("node").distinct(), "node", "left_semi"))
-            facts = stored(facts.select("node", "n").join(finer, "node"), "finer")
+            facts = stored(facts.select("node", "n", "places").join(finer, "node"), "finer")
         placed = facts.withColumn("root", F.col("node")) if roots is None else facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = stored(_of_round(met, left, placed, at, least), "pairs")
+        pairs = stored(_of_round(left, placed, at, least), "pairs")
         before, roots = roots, _united(roots, _verified(pairs, texts, least))
         roots = roots if roots is before else stored(roots, "roots")
         left, at = _still_open(left, roots, at), at + 1
