@@ -37,7 +37,7 @@ FINER = 1024
 #: A round takes this many times the centres of the one before.
 MORE_CENTRES = 32
 #: Rows of a bucket that stand against its centres in one cell of the join; larger buckets are salted, so cells are even.
-BUCKET_ROWS = 500
+BUCKET_ROWS = 200
 #: Bytes of words that a worker keeps for the texts it has met.
 KEPT_BYTES = 32_000_000
 
