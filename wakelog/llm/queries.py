@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .media import read_png, store_as_png
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .periodic_runs import periodic_runs, with_period
 from .pieces import Vocabulary, round_trips
 from .pii import BASE, KINDS, listed, personal_data
 from .quality import rate_documents
+from .ranked_search import search
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -85,8 +88,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *added)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), prepare=with_period)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_suffix_dedup, op4_media_columns, op5_minhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_suffix_dedup, op4_media_columns, op5_minhash_near_dedup, op6_sentence_pieces, op7_token_counts, op8_line_dedup, op9_mix_sources, op10_personal_data, op11_exact_dedup, op12_ranked_search, op13_periodic_runs)}
 
 
 #: DuckDB strings for the characters that count as blanks.
@@ -135,5 +150,29 @@ FROM k
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS flat FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(flat) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY flat)
+"""
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+wanted AS (
+  SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+lengths AS (SELECT doc_id, 50 + ((50 * n * docs) // words)::BIGINT AS m FROM sizes, whole),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_ranked_search": OP12_SQL}
