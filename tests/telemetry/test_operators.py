@@ -1,5 +1,6 @@
 """Telemetry operators on small made-up recordings, with sequential oracles for the folds."""
 
+import collections
 import json
 import random
 import zipfile
@@ -74,6 +75,33 @@ def test_episodes_against_a_fold(spark, seed):
     assert [(r["trigger_signal"], r["start_t"], r["end_t"]) for r in got] == want
 
 
+def test_episodes_of_one_long_sortie(spark):
+    # 100,000 edges, once all apart and once all within the tail of one another, so that the chain is long.
+    for gap, n in ((4.0, 50_000), (1.0, 16_667)):
+        edges = spark.range(100_000).selectExpr("'s1' AS sortie", "'a' AS source", "'cap' AS signal", f"id * {gap}D AS t", "double((id + 1) % 2) AS from_v", "double(id % 2) AS to_v", "id AS ord")
+        got = ep.extract_episodes(edges, "cap", tail=3.0).agg(F.count("*").alias("n"), F.max("episode").alias("m"), F.sum("duration_s").alias("s")).head()
+        assert (got["n"], got["m"]) == (n, n) and got["s"] == n * gap
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merging_against_a_loop(spark, seed):
+    rnd = random.Random(seed)
+    listed = sorted((s, r, round(rnd.uniform(0, 12), 1), i) for s in ("s1", "s2") for i, r in enumerate(rnd.choice((0, 1, 2)) for _ in range(25)))
+    rows = [(s, r, i, t, None) for s, r, t, i in listed] + [("s3", 0, 1, None, None)]
+    want, moves = {("s3", 0, 1): ("s3", 0, 1)}, [(s, r, i, sig, float(rnd.randint(0, 4)), 10 * i + o) for s, r, _, i in listed for o, sig in enumerate("ab")]
+    for s, r, t, i in listed:
+        if (s, r, i) not in want:
+            want.update({(s2, r2, i2): (s, r, i) for s2, r2, t2, i2 in listed if s2 == s and abs(t2 - t) < 1.0 and (s2, r2, i2) not in want})
+    groups = ep.merge_groups(spark.createDataFrame(rows, "sortie string, rank int, episode int, start_t double, end_t double").repartition(3))
+    assert {(g["sortie"], g["rank"], g["episode"]): (g["sortie"], g["m_rank"], g["m_episode"]) for g in groups.collect()} == want
+    assert {(k["sortie"], k["rank"], k["episode"]): k["n_merged"] for k in ep.merge_episodes(groups).collect()} == dict(collections.Counter(want.values()))
+    first, place = {}, {(s, r, i): n for n, (s, r, _, i) in enumerate(listed)}
+    for s, r, i, sig, t, o in sorted(moves, key=lambda m: (want[m[:3]] != m[:3], place[m[:3]], m[5])):
+        first.setdefault((*want[s, r, i], sig, t), o)
+    found = ep.merge_members(groups, spark.createDataFrame(moves, "sortie string, rank int, episode int, signal string, t double, ord int"), ["signal", "t"])
+    assert {(m["sortie"], m["rank"], m["episode"], m["signal"], m["t"]): m["ord"] for m in found.collect()} == first
+
+
 def test_episode_roles_and_fallback(spark):
     f = spark.createDataFrame([("s1", "a", "cap", 10.0, 1.0, 0.0, 5), ("s1", "a", "x", 5.0, 0.0, 1.0, 1), ("s1", "a", "x", 4.9, 0.0, 1.0, 0), ("s1", "a", "y", 11.0, 0.0, 1.0, 6), ("s1", "a", "cap", 12.0, 0.0, 1.0, 7), ("s1", "a", "z", 15.0, 0.0, 1.0, 8), ("s1", "a", "z", 15.1, 1.0, 0.0, 9), ("s2", "a", "sysNotEngage", 3.0, 0.0, 1.0, 1)], T)
     e = ep.extract_episodes(f, "cap")

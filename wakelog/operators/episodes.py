@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import signal_matches
-
-_EPISODE = "struct<signal:string,start_t:double,start_ord:bigint,end_t:double,end_ord:bigint>"
+from .chains import greedy_chain
+from .events import first_wins
+from .store import stored
 
 
 def extract_episodes(found: DataFrame, signal: str, from_v: float = 1.0, to_v: float = 0.0, tail: float = 3.0) -> DataFrame:
     """(sortie, episode, trigger_signal, start_t, start_ord, end_t, end_ord, duration_s), numbered by time (WIN-3).
 
     A trigger edge opens an episode; the first opposite edge of the same full signal ends it. Edges inside an open episode
-    or up to ``tail`` seconds after its end are swallowed. Without a return the end is null and the scan ends. The rule
-    is sequential, so a sortie's trigger edges, few beside its samples, are folded in order by one expression.
+    or up to ``tail`` seconds after its end are swallowed. Without a return the end is null and the scan ends. Of edges at
+    one time the smaller ord, then signal, comes first. No edge gives no row.
+
+    Each trigger edge finds its return in one window; which edges open an episode is a greedy chain over them, by pointers
+    (see greedy_chain), so no sortie's edges are gathered.
     """
     fits = signal_matches(F.col("signal"), signal)
     opens, closes = (F.col("from_v") == from_v) & (F.col("to_v") == to_v), (F.col("from_v") == to_v) & (F.col("to_v") == from_v)
-    edges = found.where(fits & (opens | closes)).select("sortie", F.struct("t", "ord", "signal", opens.alias("opens")).alias("e"))
-    listed = edges.groupBy("sortie").agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    idle = F.struct(F.array().cast(f"array<{_EPISODE}>").alias("done"), F.lit(None).cast(_EPISODE).alias("open"), F.lit(None).cast("double").alias("last"))
-
-    def step(s: Column, e: Column) -> Column:
-        begin = F.struct(e["signal"].alias("signal"), e["t"].alias("start_t"), e["ord"].alias("start_ord"), F.lit(None).cast("double").alias("end_t"), F.lit(None).cast("bigint").alias("end_ord"))
-        ended = F.struct(s["open"]["signal"].alias("signal"), s["open"]["start_t"].alias("start_t"), s["open"]["start_ord"].alias("start_ord"), e["t"].alias("end_t"), e["ord"].alias("end_ord"))
-        may_open = s["open"].isNull() & e["opens"] & (s["last"].isNull() | (e["t"] - s["last"] > tail))
-        may_end = s["open"].isNotNull() & ~e["opens"] & (e["signal"] == s["open"]["signal"])
-        keep = lambda done, open_, last: F.struct(done.alias("done"), open_.alias("open"), last.alias("last"))
-        return F.when(may_open, keep(s["done"], begin, s["last"])).when(may_end, keep(F.concat(s["done"], F.array(ended)), F.lit(None).cast(_EPISODE), e["t"])).otherwise(s)
-
-    finish = lambda s: F.concat(s["done"], F.filter(F.array(s["open"]), lambda x: x.isNotNull()))
-    each = listed.select("sortie", F.posexplode(F.aggregate("edges", idle, step, finish)).alias("n", "x"))
-    return each.select("sortie", (F.col("n") + 1).alias("episode"), F.col("x.signal").alias("trigger_signal"), "x.start_t", "x.start_ord", "x.end_t", "x.end_ord", F.round(F.col("x.end_t") - F.col("x.start_t"), 2).alias("duration_s"))
+    edges = found.where(fits & (opens | closes)).select("sortie", "signal", "t", "ord", opens.alias("opens"))
+    # Backwards in time, so that the frame runs along: the last return seen is the next one.
+    later = W.partitionBy("sortie", "signal").orderBy(F.desc("t"), F.desc("ord")).rowsBetween(W.unboundedPreceding, -1)
+    back = F.last(F.when(~F.col("opens"), F.struct("t", "ord")), ignorenulls=True).over(later)
+    starts = edges.withColumn("back", back).where("opens").select("sortie", "signal", "t", "ord", F.col("back.t").alias("reach"), F.col("back.ord").alias("end_ord"))
+    kept = greedy_chain(starts, ["sortie"], ["ord", "signal"], tail)
+    number = F.row_number().over(W.partitionBy("sortie").orderBy("t", "ord"))
+    return kept.select("sortie", number.alias("episode"), F.col("signal").alias("trigger_signal"), F.col("t").alias("start_t"), F.col("ord").alias("start_ord"), F.col("reach").alias("end_t"), "end_ord", F.round(F.col("reach") - F.col("t"), 2).alias("duration_s"))
 
 
 def episode_transitions(episodes: DataFrame, found: DataFrame, pre: float = 5.0, tail: float = 3.0) -> DataFrame:
@@ -60,11 +58,55 @@ def with_fallback(episodes: DataFrame, found: DataFrame, fallback_signal: str =
     return episodes.withColumn("is_fallback", F.lit(False)).unionByName(more.withColumn("is_fallback", F.lit(True)))
 
 
-def merge_episodes(episodes: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Episodes of several result sets (column rank: their order), merged if their starts differ by less than tolerance.
+def _within(rows: DataFrame, of: DataFrame, tolerance: float, how: str) -> DataFrame:
+    """rows (sortie, start_t, ...) joined with those of another table (sortie, m_start_t, ...) whose starts differ by less than tolerance."""
+    spread = of.withColumn("_bin", F.explode(F.sequence(*[(F.floor(F.col("m_start_t") / tolerance) + i) for i in (-1, 1)]))).withColumnRenamed("sortie", "m_sortie")
+    binned = rows.withColumn("_at", F.floor(F.col("start_t") / tolerance))
+    near = (F.col("sortie") == F.col("m_sortie")) & (F.col("_at") == F.col("_bin")) & (F.abs(F.col("start_t") - F.col("m_start_t")) < tolerance)
+    return binned.join(spread, near, how).drop("_at", "_bin", "m_sortie")
 
-    Greedy from the earliest listed: each joins the first kept episode that close, else is kept itself (JN-6).
+
+def merge_groups(episodes: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """episodes (sortie, rank, episode, start_t, ...) of several result sets with m_rank, m_episode: the kept one each belongs to (JN-6).
+
+    rank is the place of the result set in the list, and a set's episodes are in time. The earliest listed is kept and takes
+    all that start less than tolerance from it, then the next one that is left, and so on; so A and C may be kept apart
+    though B, between them, is near to both. Episodes without a start stay by themselves. (sortie, rank, episode) is a key.
+
+    Sets are gone through one after the other (there are few); inside a set the kept ones are a greedy chain, by pointers.
+    """
+    timed = stored(episodes.where("start_t is not null"), "listed")
+    kept = None
+    for (rank,) in timed.select("rank").distinct().orderBy("rank").collect():
+        own = timed.where(F.col("rank") == rank).select("sortie", "rank", "episode", "start_t")
+        free = own if kept is None else _within(own, kept.select("sortie", F.col("start_t").alias("m_start_t")), tolerance, "left_anti")
+        new = greedy_chain(free.withColumns({"t": F.col("start_t"), "reach": F.col("start_t")}), ["sortie"], ["episode"], tolerance, False).drop("t", "reach")
+        kept = new if kept is None else kept.unionByName(new)
+    alone = episodes.where("start_t is null").withColumns({"m_rank": F.col("rank"), "m_episode": F.col("episode")})
+    if kept is None:
+        return alone
+    heads = stored(kept, "kept").select("sortie", F.struct(F.col("rank"), F.col("start_t"), F.col("episode")).alias("m"), F.col("start_t").alias("m_start_t"))
+    first = _within(timed.select("sortie", "rank", "episode", "start_t"), heads, tolerance, "inner").groupBy("sortie", "rank", "episode").agg(F.min("m").alias("m"))
+    grouped = timed.join(first, ["sortie", "rank", "episode"]).withColumns({"m_rank": F.col("m.rank"), "m_episode": F.col("m.episode")}).drop("m")
+    return grouped.unionByName(alone)
+
+
+def merge_episodes(groups: DataFrame) -> DataFrame:
+    """The kept episodes of merge_groups as they were, with n_merged: how many episodes each stands for, itself included."""
+    size = groups.groupBy("sortie", "m_rank", "m_episode").agg(F.count("*").alias("n_merged"))
+    heads = groups.where((F.col("rank") == F.col("m_rank")) & (F.col("episode") == F.col("m_episode")))
+    return heads.join(size, ["sortie", "m_rank", "m_episode"]).drop("m_rank", "m_episode")
+
+
+def merge_members(groups: DataFrame, rows: DataFrame, once: list[str]) -> DataFrame:
+    """rows (sortie, rank, episode, ...) of all members under the kept episode's rank and episode; of equal ``once`` columns the first listed stays.
+
+    For transitions, once is signal and t; for plots it is the signal, of which a member gives all its points: then rows
+    hold one a signal, with the points nested. The member that a row came from is in from_rank and from_episode.
     """
-    listed = episodes.groupBy("sortie").agg(F.array_sort(F.collect_list(F.struct("rank", "start_t", "end_t"))).alias("x"))
-    kept = F.aggregate("x", F.array().cast("array<struct<rank:int,start_t:double,end_t:double>>"), lambda done, e: F.when(F.exists(done, lambda d: F.abs(d["start_t"] - e["start_t"]) < tolerance), done).otherwise(F.concat(done, F.array(F.struct(e["rank"].cast("int").alias("rank"), e["start_t"].alias("start_t"), e["end_t"].alias("end_t"))))))
-    return listed.select("sortie", F.explode(kept).alias("k")).select("sortie", "k.*")
+    of = groups.select("sortie", "rank", "episode", "start_t", "m_rank", "m_episode")
+    both = rows.join(of, ["sortie", "rank", "episode"]).withColumnsRenamed({"rank": "from_rank", "episode": "from_episode"}).withColumnsRenamed({"m_rank": "rank", "m_episode": "episode"})
+    # The kept one comes before its members, even those of its own set.
+    head = (F.col("from_rank") == F.col("rank")) & (F.col("from_episode") == F.col("episode"))
+    tie = [F.col("ord")] if "ord" in rows.columns else []
+    return first_wins(both, ["sortie", "rank", "episode", *once], [F.desc(head), F.col("from_rank"), F.col("start_t"), F.col("from_episode"), *tie]).drop("start_t")

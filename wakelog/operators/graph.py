@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-START_TYPES = ("Logic", "SubSystem", "SignalConversion")
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names and read back, which cuts the plan. See shared_dir."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .store import stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session may lack the setting: it gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+START_TYPES = ("Logic", "SubSystem", "SignalConversion")
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -77,8 +59,8 @@ def walk(start: DataFrame, edges: DataFrame, max_hops: int = 15, forward: bool =
     """
     here, there = ("srcKey", "dstKey") if forward else ("dstKey", "srcKey")
     step = edges.select(F.col(here).alias("key"), F.col(there).alias("to")).distinct()
-    step = _stored(step if nodes is None else step.join(nodes.select("key"), "key", "left_semi"), "steps")
-    seen = frontier = _stored(start.select("key", F.lit(0).alias("hop")).distinct(), "hop-0")
+    step = stored(step if nodes is None else step.join(nodes.select("key"), "key", "left_semi"), "steps")
+    seen = frontier = stored(start.select("key", F.lit(0).alias("hop")).distinct(), "hop-0")
     hop = 0
     while hop < max_hops:
         rings, here_, last = [], frontier.select("key"), min(max_hops, hop + HOPS_A_JOB)
@@ -86,7 +68,7 @@ def walk(start: DataFrame, edges: DataFrame, max_hops: int = 15, forward: bool =
             here_ = here_.join(step, "key").select(F.col("to").alias("key")).distinct()
             rings.append(here_.select("key", F.lit(h).alias("hop")))
         reached = reduce(DataFrame.unionByName, rings).groupBy("key").agg(F.min("hop").alias("hop"))
-        new = _stored(reached.join(seen.select("key"), "key", "left_anti"), f"hop-{last}")
+        new = stored(reached.join(seen.select("key"), "key", "left_anti"), f"hop-{last}")
         frontier, hop = new.where(F.col("hop") == last), last
         seen = seen.unionByName(new)
         if frontier.isEmpty():

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
-from ..operators import backfill, classify, events as ev, fleet, graph, modes as md, plots, profile
+from ..operators import backfill, classify, events as ev, fleet, graph, modes as md, plots, profile, store
 from ..operators import episodes as ep
 from ..sources import sinks, telemetry as src
 from ..streaming import incremental
@@ -17,7 +17,7 @@ from .telemetry import DAY, load
 
 
 def _folder(s, name: str) -> str:
-    return f"{graph.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+    return f"{store.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Signals that a line of an order stands for, with what they change from and to.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
-from ..operators import backfill, classify, events as ev, fleet, graph, modes as md, plots, profile
+from ..operators import backfill, classify, events as ev, fleet, graph, modes as md, plots, profile, store
 from ..operators import episodes as ep
 from . import telemetry as tel
 from .telemetry import DAY, load
@@ -204,10 +204,34 @@ def episodes_fallback(s, d):
     return ep.with_fallback(ep.extract_episodes(named, "err", 0.0, 1.0, DAY), named, "sysNotEngage", DAY).select("sortie", "episode", "start_t", "is_fallback")
 
 
-@query("SELECT sortie, CASE WHEN n = 0 THEN 0 ELSE 1 END AS rank, start_t + n AS start_t, end_t FROM eps, (VALUES (0.0::DOUBLE), (1.5::DOUBLE)) x(n)")
+#: Three result sets see each episode at shifts A, B and C; B is near both others, which are apart. The sets' order goes with the sortie.
+_SETS = """, shifts(j, d) AS (VALUES (0, 0.0::DOUBLE), (1, 0.6::DOUBLE), (2, 1.3::DOUBLE)),
+sets AS (SELECT e.sortie, e.episode, e.end_t, j, (j + e.sortie::BIGINT) % 3 AS rank, start_t + d AS start_t FROM eps e, shifts),
+taken(s, kept, j) AS (VALUES (0, 0, 0), (0, 0, 1), (0, 2, 2), (1, 2, 2), (1, 2, 1), (1, 0, 0), (2, 1, 0), (2, 1, 1), (2, 1, 2))
+"""
+
+
+def _sets(s, d):
+    e = tel.episodes(s, d).select("sortie", "episode", "start_t", "end_t")
+    listed = [e.select("sortie", "episode", (F.col("start_t") + x).alias("start_t"), "end_t", F.pmod(F.lit(j) + F.col("sortie").cast("long"), F.lit(3)).cast("int").alias("rank")) for j, x in enumerate((0.0, 0.6, 1.3))]
+    return listed[0].unionByName(listed[1]).unionByName(listed[2])
+
+
+@query(_SETS + "SELECT s.sortie, s.episode, s.rank, s.start_t, s.end_t, count(*) AS n_merged FROM sets s JOIN taken t ON t.s = s.sortie::BIGINT % 3 AND t.kept = s.j GROUP BY ALL")
 def merged_episodes(s, d):
-    e = tel.episodes(s, d).select("sortie", "start_t", "end_t")
-    return ep.merge_episodes(e.withColumn("rank", F.lit(0)).unionByName(e.select("sortie", (F.col("start_t") + 0.5).alias("start_t"), "end_t").withColumn("rank", F.lit(1))).unionByName(e.select("sortie", (F.col("start_t") + 1.5).alias("start_t"), "end_t").withColumn("rank", F.lit(1))))
+    return ep.merge_episodes(ep.merge_groups(_sets(s, d))).select("sortie", "episode", "rank", "start_t", "end_t", "n_merged")
+
+
+@query(_SETS + """SELECT sortie, rank, episode, from_rank, signal, t, dt, role FROM (
+  SELECT k.sortie, k.rank, k.episode, m.rank AS from_rank, x.signal, x.t, x.dt, x.role, row_number() OVER (PARTITION BY k.sortie, k.rank, k.episode, x.signal, x.t ORDER BY m.rank <> k.rank, m.rank) AS n
+  FROM sets k JOIN taken t ON t.s = k.sortie::BIGINT % 3 AND t.kept = k.j JOIN sets m ON m.sortie = k.sortie AND m.episode = k.episode AND m.j = t.j
+  JOIN ept x ON x.sortie = m.sortie AND x.episode = m.episode AND x.role IS NOT NULL AND x.ord % 3 <> m.rank) WHERE n = 1""")
+def merged_transitions(s, d):
+    """Each set saw two thirds of an episode's transitions; merged, they are whole again where sets were near enough."""
+    sets = store.stored(_sets(s, d), "sets")
+    ranks = F.explode(F.array(*[F.lit(i) for i in range(3)]))
+    rows = _ept(s, d).withColumn("rank", ranks).where(F.col("ord") % 3 != F.col("rank"))
+    return ep.merge_members(ep.merge_groups(sets), rows, ["signal", "t"]).select("sortie", "rank", "episode", "from_rank", "signal", "t", "dt", "role")
 
 
 @query("SELECT sortie, signal, axis, t, from_v, to_v, is_anchor FROM modes")
