@@ -36,8 +36,9 @@ SKETCH, MISSED = 128, 5e-6
 FINER = 1024
 #: A round takes this many times the centres of the one before.
 MORE_CENTRES = 32
-#: Rows of a bucket that stand against its centres in one cell of the join; larger buckets are salted, so cells are even.
-BUCKET_ROWS = 200
+#: A bucket of this many rows stands against its centres in one cell of the join. Larger ones are salted into as many cells
+#: as the root of their size in such units, so that neither a cell nor the copies of the centres grow as fast as the bucket squared.
+BUCKET_ROWS = 50
 #: Bytes of words that a worker keeps for the texts it has met.
 KEPT_BYTES = 32_000_000
 
@@ -405,7 +406,7 @@ def _of_round(left: DataFrame, facts: DataFrame, at: int, least: float) -> DataF
     left: the nodes of this round and later ones in buckets that are not done; facts (node, root, n, places, sketch): what is
     known of each, places being its buckets with its rounds in them.
     """
-    parts = F.ceil(F.col("size") / BUCKET_ROWS)
+    parts = F.ceil(F.sqrt(F.col("size") / BUCKET_ROWS))
     keys = lambda some: F.transform(some, lambda p: p["key"])
     early, central = F.filter("places", lambda p: p["level"] < at), F.filter("places", lambda p: p["level"] == at)
     known = left.join(facts.withColumns({"keys": keys("places"), "early": keys(early), "central": keys(central)}).drop("places"), "node")
