@@ -73,7 +73,9 @@ def test_bounds_of_the_sample(documents, spark):
     fit = lambda **k: quality.fit_quality(table, marks, quality.graded(), 3, **k)
     a, b = fit(fit_rows=80), fit(fit_rows=80)
     assert (a.weights == b.weights).all() and (a.places == b.places).all() and a.fitted
-    assert not fit(fit_bytes=10).fitted and fit(fit_bytes=100_000).fitted
+    assert fit(fit_bytes=100_000).fitted
+    with pytest.raises(ValueError, match="fit_bytes=10 "):
+        fit(fit_bytes=10)
     with pytest.raises(ValueError):
         quality.rate_documents(table.withColumn("keep", table["doc_id"]), marks)
 

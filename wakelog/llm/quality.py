@@ -144,7 +144,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int
 
     grade is a column over labels, 0 to n_grades - 1; rows where it is null are left out. Of several labels for one id
     the smallest grade counts. Null texts are empty. Rows that share an id are all fitted, within the bounds, in the order
-    of the hashes of their texts; so reruns agree. Other columns of either table are not read.
+    of the hashes of their texts; so reruns agree. Other columns of either table are not read. ValueError if fit_bytes is
+    too small for the first document's features, as a model of no row would keep every document.
     """
     marks = labels.select(F.col(doc_id).alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null").groupBy("_id").agg(F.min("_grade").alias("_grade"))
     # The labels that are fitted are chosen before any text moves; the join reads the texts of those only.
@@ -165,7 +166,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int
     sizes = found.select(place.alias("p"), F.sum(F.octet_length("places") + F.octet_length("values")).over(so_far).alias("sum"))
     last = sizes.where(F.col("sum") <= fit_bytes).agg(F.max("p").alias("m")).head()["m"]
     if last is None:
-        return fit_ordinal([], np.zeros(0, np.int64), n_grades)
+        raise ValueError(f"there are labelled documents, but fit_bytes={fit_bytes} holds the features of none of them")
     rows = sorted((str(r["_id"]), r["_tie"], r["_grade"], bytes(r["places"]), bytes(r["values"])) for r in found.where(upto(last)).toLocalIterator())
     arrays = [(np.frombuffer(p, np.int64), np.frombuffer(v, np.float32).astype(float)) for *_, p, v in rows]
     return fit_ordinal(arrays, np.array([r[2] for r in rows], np.int64), n_grades)
