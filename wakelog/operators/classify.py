@@ -19,13 +19,14 @@ AXES = {"lat": "lateral", "roll": "lateral", "vert": "vertical", "pitch": "verti
 def locate_trigger(found: DataFrame, signal: str, from_v: float, to_v: float) -> DataFrame:
     """Episode transitions with role and dt by the first listed one of the trigger's name and values (CLS-14).
 
-    The name is the whole one or what follows a dot, in any case. Episodes without such a row are left out.
+    The name is the whole one or what follows a dot, in any case. Episodes without such a row are left out. Of rows that share
+    ord and signal the earliest counts; rows that are equal in these and t are all the trigger.
     """
     name = F.lower("signal")
     hit = ((name == signal.lower()) | name.endswith("." + signal.lower())) & (F.col("from_v") == from_v) & (F.col("to_v") == to_v)
     first = found.where(hit).groupBy("sortie", "episode").agg(F.min(F.struct("ord", "signal", "t")).alias("_trigger"))
     at = found.drop("role", "dt").join(first, ["sortie", "episode"])
-    is_it = (F.col("ord") == F.col("_trigger.ord")) & (F.col("signal") == F.col("_trigger.signal"))
+    is_it = (F.col("ord") == F.col("_trigger.ord")) & (F.col("signal") == F.col("_trigger.signal")) & (F.col("t") == F.col("_trigger.t"))
     return at.withColumns({"dt": F.col("t") - F.col("_trigger.t"), "role": F.when(is_it, "trigger").otherwise("other")}).drop("_trigger")
 
 
@@ -44,7 +45,7 @@ def classify(found: DataFrame) -> DataFrame:
     any time of the episode. Of several responses the first one whose axis has a debounce output is meant.
     """
     c, dt = F.col, F.col("dt")
-    rows = found.withColumns({"s": F.lower(suffix(c("signal"))), "near": F.struct(F.abs(dt).alias("d"), c("ord").alias("o")), "other": c("role") != "trigger"})
+    rows = found.withColumns({"s": F.lower(suffix(c("signal"))), "near": F.struct(F.abs(dt).alias("d"), c("ord").alias("o"), F.lower(suffix(c("signal"))).alias("n")), "other": c("role") != "trigger"})
     change = c("other") & c("from_v").isin(0.0, 1.0) & c("to_v").isin(0.0, 1.0)
     up, down, pre = c("to_v") == 1, c("to_v") == 0, change & (dt < BEFORE)
     around = pre | (change & (F.abs(dt) <= AT))

@@ -14,8 +14,8 @@ GNSS = ("GNSS_Latitude", "GNSS_Latitude_Fine", "GNSS_Longitude", "GNSS_Longitude
 
 
 def _indexed(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with their place k in the series and its length n, from one sort."""
-    by = W.partitionBy(*keys).orderBy("t", "ord")
+    """Points with their place k in the series and its length n, from one sort. Rows that share t and ord go by value."""
+    by = W.partitionBy(*keys).orderBy("t", "ord", "v")
     return points.withColumns({"k": F.row_number().over(by) - 1, "n": F.count("*").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
 
 

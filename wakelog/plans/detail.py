@@ -26,12 +26,12 @@ LINES = [
     ("afcsEngaged", 1, 0), ("rollRespDebounceOut", 0, 2), ("other", 0, 1),
 ]
 _LINES = ", ".join(f"({i}, '{n}', {a}.0::DOUBLE, {b}.0::DOUBLE)" for i, (n, a, b) in enumerate(LINES))
-#: Few lines an order, most of them before its trigger, so that all rules are met.
+#: Most lines stand for a signal that no rule looks at, so that all rules are met.
 ORDER_LINES = f""", sig(i, signal, from_v, to_v) AS (VALUES {_LINES}),
-olines AS (SELECT l_suppkey % 50 AS sortie, l_orderkey AS episode, sig.signal, (-((l_partkey * 7 + l_linenumber) % 97) / 40.0)::DOUBLE AS dt, from_v, to_v, l_linenumber AS ord FROM lineitem JOIN sig ON sig.i = (l_partkey + l_linenumber * 5) % 12 WHERE l_linenumber <= 3),
+olines AS (SELECT l_suppkey % 50 AS sortie, l_orderkey AS episode, sig.signal, (-((l_partkey * 7 + l_linenumber) % 97) / 40.0)::DOUBLE AS dt, from_v, to_v, l_linenumber AS ord FROM lineitem JOIN sig ON sig.i = least((l_partkey + l_linenumber * 5) % 20, 11)),
 oeps AS (SELECT sortie, episode FROM olines GROUP BY 1, 2),
 flags AS (
-  SELECT sortie, episode, arg_min(signal, (-dt, ord)) FILTER (WHERE signal IN ('apDisconnect', 'toga') AND dt < -0.010::DOUBLE) AS cmd, max((signal = 'afcsEngaged')::INT) AS off, max((signal = 'rollRespDebounceOut')::INT) AS deb,
+  SELECT sortie, episode, arg_min(signal, (-dt, ord, lower(signal))) FILTER (WHERE signal IN ('apDisconnect', 'toga') AND dt < -0.010::DOUBLE) AS cmd, max((signal = 'afcsEngaged')::INT) AS off, max((signal = 'rollRespDebounceOut')::INT) AS deb,
     max((signal = 'rollRespEng' AND (dt < -0.010::DOUBLE OR -dt <= 0.05::DOUBLE))::INT) AS resp, max((signal = 'pitchCmdEng' AND (dt < -0.010::DOUBLE OR -dt <= 0.05::DOUBLE))::INT) AS cmdmon, max((signal = 'monFlag')::INT) AS mon,
     max((signal = 'latMistrim')::INT) AS trim, max((signal = 'irsValid')::INT) AS valid, max((signal = 'enforceStandby')::INT) AS sby, max((signal = 'apCapable' AND dt < -0.010::DOUBLE)::INT) AS cap FROM olines GROUP BY 1, 2),
 ruled AS (
@@ -41,10 +41,10 @@ ruled AS (
 
 
 def _order_lines(s, d):
-    at = F.pmod(F.col("l_partkey") + F.col("l_linenumber") * 5, F.lit(12)).cast("int")
+    at = F.least(F.pmod(F.col("l_partkey") + F.col("l_linenumber") * 5, F.lit(20)).cast("int"), F.lit(11))
     pick = lambda k, kind: F.get(F.array(*[F.lit(x[k]).cast(kind) for x in LINES]), at)
     dt = (-F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(97)) / 40.0).cast("double")
-    rows = load(s, d, "lineitem").where("l_linenumber <= 3").select((F.col("l_suppkey") % 50).alias("sortie"), F.col("l_orderkey").alias("episode"), pick(0, "string").alias("signal"), dt.alias("dt"), pick(1, "double").alias("from_v"), pick(2, "double").alias("to_v"), F.lit("pre").alias("role"), F.col("l_linenumber").cast("long").alias("ord"))
+    rows = load(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("sortie"), F.col("l_orderkey").alias("episode"), pick(0, "string").alias("signal"), dt.alias("dt"), pick(1, "double").alias("from_v"), pick(2, "double").alias("to_v"), F.lit("pre").alias("role"), F.col("l_linenumber").cast("long").alias("ord"))
     trigger = rows.select("sortie", "episode").distinct().select("sortie", "episode", F.lit("x.afcsCapable").alias("signal"), F.lit(0.0).alias("dt"), F.lit(1.0).alias("from_v"), F.lit(0.0).alias("to_v"), F.lit("trigger").alias("role"), F.lit(100).cast("long").alias("ord"))
     return rows.unionByName(trigger)
 
@@ -65,12 +65,12 @@ def hide_commanded(s, d):
 @query(ORDER_LINES + "SELECT r.sortie, r.episode, count(*) + 1 AS n, min(o.dt) AS first_dt FROM ruled r JOIN olines o ON o.sortie = r.sortie AND o.episode = r.episode WHERE category = 'UNKNOWN' GROUP BY 1, 2")
 def dossiers(s, d):
     rows = _order_lines(s, d).withColumn("t", F.col("dt"))
-    up, corr = _up(s, d).select("signal", "hop"), _up(s, d).select("signal", F.lit(1.0).alias("score"))
-    out = classify.dossiers(classify.classify(rows), rows, up, corr)
+    up = _up(s, d)
+    out = classify.dossiers(classify.classify(rows), rows, up.select("signal", "hop"), up.select("signal", F.lit(1.0).alias("score")))
     return out.select("sortie", "episode", F.size("transitions").cast("long").alias("n"), F.array_min("transitions.dt").alias("first_dt"))
 
 
-@query(ORDER_LINES + "SELECT sortie, episode, signal, dt - (SELECT min(dt) FROM olines m WHERE m.sortie = o.sortie AND m.episode = o.episode AND m.signal = 'apCapable') AS dt FROM olines o WHERE false UNION ALL SELECT o.sortie, o.episode, o.signal, o.dt - f.dt FROM olines o JOIN (SELECT sortie, episode, arg_min(dt, ord) AS dt FROM olines WHERE signal = 'apCapable' GROUP BY 1, 2) f ON f.sortie = o.sortie AND f.episode = o.episode")
+@query(ORDER_LINES + "SELECT o.sortie, o.episode, o.signal, o.dt - f.dt AS dt FROM olines o JOIN (SELECT sortie, episode, arg_min(dt, (ord, dt)) AS dt FROM olines WHERE signal = 'apCapable' GROUP BY 1, 2) f ON f.sortie = o.sortie AND f.episode = o.episode")
 def located_triggers(s, d):
     rows = _order_lines(s, d).where("role = 'pre'").withColumn("t", F.col("dt"))
     return classify.locate_trigger(rows, "APCAPABLE", 1.0, 0.0).select("sortie", "episode", "signal", "dt")
@@ -264,4 +264,4 @@ def incremental_counts(s, d):
     for i in range(2):
         rows.where(F.col("ord") % 2 == i).write.mode("append").parquet(f"{path}/in")
         incremental.run_incremental(s, f"{path}/in", "sortie string, t double, ord long", f"{path}/seen", f"{path}/out", lambda df: df.groupBy("sortie").agg(F.count("*").alias("n")))
-    return s.read.schema("n long, sortie string").parquet(f"{path}/out").select("sortie", "n")
+    return incremental.read_incremental(s, f"{path}/out", "n long, sortie string").select("sortie", "n")

@@ -286,12 +286,12 @@ def flat_together(s, d):
     return md.flat_together(md.flat_segments(tel.samples(s, d).where("signal <> 'value'"), DAY), 2, DAY)
 
 
-@query("SELECT sortie, signal, t, v, ord FROM (SELECT *, row_number() OVER (PARTITION BY sortie, signal ORDER BY t, ord) - 1 AS k, count(*) OVER (PARTITION BY sortie, signal) AS n FROM samples) WHERE n <= 50 OR k IN (SELECT 0) OR list_contains(list_transform(range(50), lambda i: i * n // 50), k)")
+@query("SELECT sortie, signal, t, v, ord FROM (SELECT *, row_number() OVER (PARTITION BY sortie, signal ORDER BY t, ord, v) - 1 AS k, count(*) OVER (PARTITION BY sortie, signal) AS n FROM samples) WHERE n <= 50 OR k IN (SELECT 0) OR list_contains(list_transform(range(50), lambda i: i * n // 50), k)")
 def downsample_uniform(s, d):
     return plots.downsample_uniform(tel.samples(s, d), ["sortie", "signal"], 50).select("sortie", "signal", "t", "v", "ord")
 
 
-_MINMAX = """, k AS (SELECT sortie, signal, t, v, ord, row_number() OVER (PARTITION BY sortie, signal ORDER BY t, ord) - 1 AS k, count(*) OVER (PARTITION BY sortie, signal) AS n FROM {rows}),
+_MINMAX = """, k AS (SELECT sortie, signal, t, v, ord, row_number() OVER (PARTITION BY sortie, signal ORDER BY t, ord, v) - 1 AS k, count(*) OVER (PARTITION BY sortie, signal) AS n FROM {rows}),
 b AS (SELECT *, CASE WHEN floor((floor(k / (n / {half}.0::DOUBLE)) + 1) * (n / {half}.0::DOUBLE)) <= k THEN floor(k / (n / {half}.0::DOUBLE)) + 1 WHEN floor(floor(k / (n / {half}.0::DOUBLE)) * (n / {half}.0::DOUBLE)) > k THEN floor(k / (n / {half}.0::DOUBLE)) - 1 ELSE floor(k / (n / {half}.0::DOUBLE)) END AS b FROM k WHERE n > 2 * {half}),
 r AS (SELECT *, row_number() OVER (PARTITION BY sortie, signal, b ORDER BY v, k) AS lo, row_number() OVER (PARTITION BY sortie, signal, b ORDER BY v DESC, k) AS hi FROM b WHERE b < {half})
 SELECT sortie, signal, t, v, ord FROM k WHERE n <= 2 * {half} UNION ALL SELECT sortie, signal, t, v, ord FROM r WHERE lo = 1 OR hi = 1"""
