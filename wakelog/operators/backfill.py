@@ -35,7 +35,7 @@ def best_overlap(patches: DataFrame, recordings: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
     """old with the rows of new whose keys it lacks; with force the new ones take the place of the old.
 
-    It is the last step of UPS-1, 2 and 4; what finds and makes the new rows is not composed here.
+    For whole runs over stored tables see wakelog.sources.patches.
     """
     if force:
         return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

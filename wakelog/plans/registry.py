@@ -483,7 +483,7 @@ def ops_per_sortie(s, d):
 
 
 def queries() -> dict:
-    from . import detail  # noqa: F401  (registers its queries here)
+    from . import detail, patching  # noqa: F401  (they register their queries here)
 
     return dict(R)
 

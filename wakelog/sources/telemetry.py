@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,35 +17,82 @@ from ..operators.events import first_wins
 LONG = "source string, member string, row_ord long, col_ord int, signal string, t double, v double"
 
 
-def read_telemetry_csv(spark: SparkSession, path: str, time_col: str | None = None, time_rule: str = "strict") -> DataFrame:
-    """Wide CSV as text, with source, ord and the time t in seconds (SRC-1).
+#: Files up to this size are read whole for their first line.
+SMALL_FILE = 8 << 20
 
-    path is a file, a folder or a pattern. Files with one header are read together, and the groups are united by name, so
-    the order of columns does not matter and a column that a file lacks is null. ord ascends with the rows of a file,
-    across its blocks. One small read a file tells the headers; a file without a time column raises ValueError.
+
+def csv_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, header): the first line of each file, in one job.
+
+    Small files are gone through by Spark's reader. For large ones a session of its own deals each file's splits to tasks of
+    their own, and a task stops after its first line, so what is read does not grow with them. Files without a line
+    are left out.
+    """
+    lazy = spark.newSession()
+    lazy.conf.set("spark.sql.files.openCostInBytes", lazy.conf.get("spark.sql.files.maxPartitionBytes"))
+    lazy.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    meta = lambda x: F.col(f"_metadata.{x}")
+
+    def line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b["start"][0].as_py() == 0:
+                yield b.select(["path", "header"])
+            return
+
+    large = lazy.read.text(path).where(meta("file_size") > SMALL_FILE).select(meta("file_path").alias("path"), F.col("value").alias("header"), meta("file_block_start").alias("start"))
+    small = spark.read.text(path).where((meta("file_size") <= SMALL_FILE) & (meta("file_block_start") == 0)).select(meta("file_path").alias("path"), F.col("value").alias("header"), F.monotonically_increasing_id().alias("at"))
+    found = [small.groupBy("path").agg(F.min_by("header", "at").alias("header"))]
+    # The large files' session is another one, so their few headers come over by the driver.
+    if rows := large.mapInArrow(line, "path string, header string").collect():
+        found.append(spark.createDataFrame(rows, "path string, header string"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _columns(header: str) -> list[str]:
+    return next(csv.reader([header]), [])
+
+
+def read_telemetry_csv(spark: SparkSession, path: str | list[str], time_col: str | None = None, time_rule: str = "strict") -> DataFrame:
+    """Wide CSV as text, with source, path, ord and the time t in seconds (SRC-1).
+
+    path is a file, a folder, a pattern, or a list of such. Files with one header are read together, and the groups are
+    united by name, so the order of columns does not matter and a column that a file lacks is null. ord ascends with the
+    rows of a file, across its blocks. One job reads the headers, and the driver gets each different one with its files; a
+    file without a time column raises ValueError.
     """
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(files):
-        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    groups = csv_headers(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.col("paths")[0]).collect()
     if not groups:
         raise ValueError(f"no file at {path}")
     # A block's rows are no more than its bytes, so twice its start leaves room for the number of a row in its task.
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     found = []
-    for header, paths in groups.items():
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
-        t = time_col or time_column(list(header), time_rule)
-        found.append(raw.select("*", F.col("_metadata.file_name").alias("source"), (2 * F.col("_metadata.file_block_start") + in_task).alias("ord"), time_seconds(F.col(f"`{t}`")).alias("t")))
+    for g in groups:
+        header = _columns(g["header"])
+        names = spark.createDataFrame([], ", ".join(f"`{c.replace('`', '``')}` string" for c in header)).schema if len(set(header)) == len(header) else None
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+        raw = (reader.schema(names) if names else reader).csv(g["paths"])
+        t = time_col or time_column(raw.columns, time_rule)
+        found.append(raw.select("*", F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path"), (2 * F.col("_metadata.file_block_start") + in_task).alias("ord"), time_seconds(F.col(f"`{t}`")).alias("t")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+def header_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, signal, col_ord): which file has which column, from headers alone."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, c.strip(), i) for p, h in zip(b["path"].to_pylist(), b["header"].to_pylist(), strict=True) for i, c in enumerate(_columns(h))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["path", "signal", "col_ord"])
+
+    return csv_headers(spark, path).mapInArrow(split, "path string, signal string, col_ord int")
+
+
 def csv_to_long(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(source, ord, col_ord, signal, t, v) of the finite cells; keep: only these headers are read."""
-    extra = {"source", "ord", "t"}
+    """(source, path, ord, col_ord, signal, t, v) of the finite cells; keep: only these headers are read."""
+    extra = {"source", "path", "ord", "t"}
     columns = [c for c in raw.columns if c not in extra and (keep is None or c in keep)]
     cells = F.array(*[F.struct(F.lit(i).alias("col_ord"), F.lit(c).alias("signal"), finite(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(columns)])
-    return raw.where("t is not null").select("source", "ord", "t", F.explode(cells).alias("x")).select("source", "ord", "x.col_ord", "x.signal", "t", "x.v").where("v is not null")
+    return raw.where("t is not null").select("source", "path", "ord", "t", F.explode(cells).alias("x")).select("source", "path", "ord", "x.col_ord", "x.signal", "t", "x.v").where("v is not null")
 
 
 class _Member(InputPartition):
@@ -147,7 +197,19 @@ def latest_documents(files: DataFrame) -> DataFrame:
 
 
 _TR = "array<struct<signal:string,time:string,`from`:double,`to`:double,row_idx:bigint>>"
-ANALYSIS = f"filename string, total_rows bigint, time_col string, duration_s double, rec_start_s double, tail_number string, trace_graph string, processing_time_s double, trigger_fallback boolean, data_gaps array<struct<t_start:double,t_end:double,duration_s:double>>, transitions {_TR}, mode_transitions {_TR}, sysNotEngage {_TR}, torque_stats array<struct<signal:string,peak:double,peak_time:double,modes:map<string,double>>>, episodes array<struct<episode:int,start_time:string,end_time:string,duration_s:double,transitions:{_TR},plots:map<string,array<array<double>>>>>, flight_plots map<string,array<array<double>>>, takeoff_plots map<string,array<array<double>>>, _corrupt_record string"
+BOOLS = "array<struct<name:string,active_count:bigint,total_count:bigint,active_pct:double>>"
+_PLOTS = "map<string,array<array<double>>>"
+#: All that a document may hold; fields that one lacks are null.
+DOCUMENT = (
+    "filename string, total_rows bigint, time_col string, duration_s double, rec_start_s double, tail_number string, trace_graph string, processing_time_s double, trigger_fallback boolean, "
+    f"trigger struct<signal:string,`from`:double,`to`:double>, data_gaps array<struct<t_start:double,t_end:double,duration_s:double>>, transitions {_TR}, mode_transitions {_TR}, sysNotEngage {_TR}, "
+    "torque_stats array<struct<signal:string,peak:double,peak_time:double,modes:map<string,double>>>, "
+    f"episodes array<struct<episode:int,start_time:string,end_time:string,duration_s:double,transitions:{_TR},plots:{_PLOTS}>>, flight_plots {_PLOTS}, takeoff_plots {_PLOTS}, "
+    f"bool_channels {BOOLS}, enum_channels array<struct<name:string,values:array<bigint>>>, num_channels array<struct<name:string,min:double,max:double,mean:double>>, "
+    "sample_rows array<struct<row_idx:bigint,part:string,cells:map<string,double>>>, context_rows array<struct<row_idx:bigint,cells:map<string,double>>>"
+)
+HIRES = f"flight_plots {_PLOTS}, takeoff_plots {_PLOTS}"
+ANALYSIS = f"{DOCUMENT}, _corrupt_record string"
 
 
 def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:

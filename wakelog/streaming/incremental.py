@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.names import signal_matches
+from ..sources.generations import read_generations, write_generation
 
 
 def run_incremental(spark: SparkSession, root: str, schema: str, checkpoint: str, out: str, analyse: Callable[[DataFrame], DataFrame]) -> None:
@@ -25,9 +26,7 @@ def run_incremental(spark: SparkSession, root: str, schema: str, checkpoint: str
     def batch(df: DataFrame, number: int) -> None:
         touched = df.select("sortie").distinct()
         whole = spark.read.schema(schema).parquet(root).join(touched, "sortie", "left_semi")
-        analyse(whole).write.mode("overwrite").partitionBy("sortie").parquet(f"{out}/rows/run={number}")
-        # The list comes last: without it the rows do not count.
-        touched.write.mode("overwrite").parquet(f"{out}/touched/run={number}")
+        write_generation(analyse(whole), touched, out, number, ["sortie"])
 
     stream = spark.readStream.schema(schema).parquet(root)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -35,9 +34,7 @@ def run_incremental(spark: SparkSession, root: str, schema: str, checkpoint: str
 
 def read_incremental(spark: SparkSession, out: str, schema: str) -> DataFrame:
     """The rows that run_incremental's results now consist of, as schema has them (it includes sortie)."""
-    last = spark.read.schema("sortie string, run long").parquet(f"{out}/touched").groupBy("sortie").agg(F.max("run").alias("run"))
-    rows = spark.read.schema(f"{schema}, run long").parquet(f"{out}/rows")
-    return rows.join(last, ["sortie", "run"], "left_semi").drop("run")
+    return read_generations(spark, out, schema, ["sortie"])
 
 
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
