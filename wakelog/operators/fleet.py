@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,11 +113,12 @@ def batch_status(files: DataFrame, episodes: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), n(F.col("done")).alias("n_done"), n(~F.col("done")).alias("n_pending"), n(F.col("done") & F.col("_has").isNull()).alias("n_quiet"), F.round(100.0 * n(F.col("done")) / F.count("*"), 1).alias("done_pct"))
 
 
-def fleet_summary(recordings: DataFrame, episodes: DataFrame, phases: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(measure, n): totals of the fleet (AGG-14)."""
+def fleet_summary(recordings: DataFrame, episodes: DataFrame, phases: DataFrame, gaps: DataFrame, auto_landings: DataFrame | None = None) -> DataFrame:
+    """(measure, n): totals of the fleet, also of auto-landings if they are given (AGG-14)."""
     one = lambda df, name, e: df.agg(e.alias("n")).select(F.lit(name).alias("measure"), "n")
     parts = [one(recordings, "sorties", F.count_distinct("sortie")), one(episodes, "faults", F.count("*")), one(episodes, "sorties_affected", F.count_distinct("sortie")), one(gaps, "gaps", F.count("*"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parts += [] if auto_landings is None else [one(auto_landings, "auto_landings", F.count("*"))]
+    out = reduce(DataFrame.unionByName, parts)
     return out.unionByName(phases.groupBy(F.concat(F.lit("phase_"), "phase").alias("measure")).agg(F.count("*").alias("n")))
 
 
@@ -138,10 +141,20 @@ def concurrent(found: DataFrame, most: int = 10) -> DataFrame:
     return found.where("role <> 'trigger'").withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
 
 
-def gaps_before(episodes: DataFrame, gaps: DataFrame, pre: float = 5.0) -> DataFrame:
-    """Episodes whose look-back meets a gap, with the number and seconds of those gaps (JN-12)."""
-    e = episodes.select("sortie", "episode", "start_t")
-    hit = e.join(gaps, "sortie").where((F.col("t_start") <= F.col("start_t")) & (F.col("start_t") - F.col("t_end") <= pre))
+def gaps_before(episodes: DataFrame, gaps: DataFrame, pre: float = 5.0, width: float | None = None) -> DataFrame:
+    """Episodes whose look-back meets a gap, with the number and seconds of those gaps (JN-12).
+
+    Both meet in bins of time, width wide (the look-back, if not given, but a minute at least), so no sortie is paired whole.
+    """
+    w = max(60.0, pre) if width is None else width
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / w), F.floor(hi / w)))
+    # A second on either side, as a difference may round otherwise than a sum.
+    e = episodes.select("sortie", "episode", "start_t").withColumn("_bin", bins(F.col("start_t") - pre - 1, F.col("start_t") + 1))
+    g = gaps.select("sortie", "t_start", "t_end", "duration_s", bins(F.col("t_start"), F.col("t_end")).alias("_bin"))
+    meet = (F.col("t_start") <= F.col("start_t")) & (F.col("start_t") - F.col("t_end") <= pre)
+    # Of the bins that a pair shares the first gives it.
+    first = F.greatest(F.floor((F.col("start_t") - pre - 1) / w), F.floor(F.col("t_start") / w)) == F.col("_bin")
+    hit = e.join(g, ["sortie", "_bin"]).where(meet & first)
     return hit.groupBy("sortie", "episode").agg(F.count("*").alias("n_gaps"), F.round(F.sum("duration_s"), 3).alias("gap_s"))
 
 

@@ -13,18 +13,22 @@ KEYS = ["sortie", "source", "signal"]
 def channel_stats(samples: DataFrame, enum_max: int = ENUM_MAX) -> DataFrame:
     """One row a channel: n, total, least, most, the first time of the most, whether all are 0/1 or whole, distinct values.
 
-    n_distinct is exact for channels of whole numbers and null for others, whose class does not depend on it (AGG-1). One
-    pass gives all else; only whole-numbered channels have their values counted, from a pre-aggregated table of values.
+    n_distinct is exact for channels of whole numbers and null for others, whose class does not depend on it (AGG-1).
+    Samples are read once: they are added up by channel and whole value, all others of a channel being one such group, and
+    then by channel. Rows that share value and ord are taken as the later in time for t_max_v.
     """
-    whole = (F.col("v") == F.floor("v")).cast("int")
-    main = samples.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("min_v"), F.max(F.struct("v", -F.col("ord"), "t")).alias("top"),
-        F.count(F.when(F.col("v") == 1, 1)).alias("n_active"), F.max((~F.col("v").isin(0.0, 1.0)).cast("int")).alias("has_non_bool"), F.min(whole).alias("all_integer"),
+    whole = F.when(F.col("v") == F.floor("v"), F.col("v"))
+    top = F.max(F.struct("v", -F.col("ord"), "t")).alias("top")
+    parts = samples.withColumn("_whole", whole).groupBy(*KEYS, "_whole").agg(
+        F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), top,
+        F.count(F.when(F.col("v") == 1, 1)).alias("n_active"), F.max((~F.col("v").isin(0.0, 1.0)).cast("int")).alias("has_non_bool"),
     )
-    integers = main.where("all_integer = 1").select(*KEYS)
-    values = samples.where(whole == 1).join(integers, KEYS, "left_semi").select(*KEYS, "v").distinct().groupBy(*KEYS).agg(F.count("*").alias("n_distinct"))
-    out = main.join(values, KEYS, "left")
-    return out.select(*KEYS, "n", "total", "min_v", F.col("top.v").alias("max_v"), F.col("top.t").alias("t_max_v"), "n_active", "has_non_bool", "all_integer", "n_distinct").withColumn("enum_max", F.lit(enum_max))
+    out = parts.groupBy(*KEYS).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.max("top").alias("top"),
+        F.sum("n_active").alias("n_active"), F.max("has_non_bool").alias("has_non_bool"), F.min(F.col("_whole").isNotNull().cast("int")).alias("all_integer"), F.count("_whole").alias("_values"),
+    )
+    n_distinct = F.when(F.col("all_integer") == 1, F.col("_values")).alias("n_distinct")
+    return out.select(*KEYS, "n", "total", "min_v", "max_v", F.col("top.t").alias("t_max_v"), "n_active", "has_non_bool", "all_integer", n_distinct, F.lit(enum_max).alias("enum_max"))
 
 
 def classify_channels(stats: DataFrame) -> DataFrame:

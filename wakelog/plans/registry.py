@@ -115,7 +115,11 @@ STANDS_FOR = {"click": ("apDisconnect", 0.0, 1.0), "purchase": ("rollRespEng", 1
 def _classified(s, d):
     raw, eps = tel.raw(s, d), tel.episodes(s, d)
     as_ = lambda i: F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v[i])) for k, v in STANDS_FOR.items()])
-    near = raw.where("event_type <> 'error'").select("sortie", "t", "ord", as_(0).alias("signal"), as_(1).alias("from_v"), as_(2).alias("to_v")).join(eps.select("sortie", "episode", "start_t"), "sortie").where((F.col("start_t") - F.col("t") <= DAY) & (F.col("t") <= F.col("start_t")))
+    # Events and episodes meet in bins of a day, so no sortie is paired whole.
+    bins = lambda t: F.floor(F.col(t) / DAY)
+    binned = eps.select("sortie", "episode", "start_t", F.explode(F.array(bins("start_t"), bins("start_t") - 1, bins("start_t") - 2)).alias("_bin"))
+    moves = raw.where("event_type <> 'error'").select("sortie", "t", "ord", as_(0).alias("signal"), as_(1).alias("from_v"), as_(2).alias("to_v"), bins("t").alias("_bin"))
+    near = moves.join(binned, ["sortie", "_bin"]).where((F.col("start_t") - F.col("t") <= DAY) & (F.col("t") <= F.col("start_t")))
     rows = near.select("sortie", "episode", "signal", (F.col("t") - F.col("start_t")).alias("dt"), "from_v", "to_v", F.lit("pre").alias("role"), "ord")
     trigger = eps.select("sortie", "episode", F.lit("afcsCapable").alias("signal"), F.lit(0.0).alias("dt"), F.lit(1.0).alias("from_v"), F.lit(0.0).alias("to_v"), F.lit("trigger").alias("role"), F.col("start_ord").alias("ord"))
     return classify.classify(rows.unionByName(trigger)).join(eps.select("sortie", "episode", "start_t"), ["sortie", "episode"])
@@ -483,7 +487,7 @@ def ops_per_sortie(s, d):
 
 
 def queries() -> dict:
-    from . import detail, patching  # noqa: F401  (they register their queries here)
+    from . import detail, patching, phasing  # noqa: F401  (they register their queries here)
 
     return dict(R)
 
