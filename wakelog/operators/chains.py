@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import stored
 
 
+#: Islands up to this many rows are followed jump by jump.
+SHORT = 12
+
+
 def greedy_chain(rows: DataFrame, keys: list[str], order: list[str], apart: float, strict: bool = True) -> DataFrame:
     """The rows kept when each key's are gone through by (t, order): the first, then always the next one far enough on.
 
@@ -16,33 +20,49 @@ def greedy_chain(rows: DataFrame, keys: list[str], order: list[str], apart: floa
     strict False ``>=`` (apart above 0), reach being the last kept row's.
 
     Rows that no earlier one reaches are kept for certain, so they cut a key's rows into islands, found with one running
-    maximum. Where islands have several rows, each row points to the one that would come next, and pointers are doubled:
-    a round writes down the rows that 2**n steps reach, so there are as many rounds as the largest island's length has bits.
+    maximum. Where islands have several rows, each row points to the one that would come next. Short islands are followed
+    jump by jump in one plan; else pointers are doubled: a round writes down the rows that 2**n jumps reach, so there are as
+    many rounds as the largest island's length has bits.
     Nothing is gathered by key. Keys are not null. An empty table gives an empty one.
     """
     far = lambda t, reach: (t - reach > apart) if strict else (t - reach >= apart)
-    own, of = ["_k", "_root", "_island"], [*keys, "_island"]
+    own, of = ["_k", "_root", "_island", "_size"], [*keys, "_island"]
     by = W.partitionBy(*keys).orderBy("t", *order)
     reached = F.max(F.coalesce("reach", F.lit(float("inf")))).over(by.rowsBetween(W.unboundedPreceding, -1))
     numbered = rows.withColumns({"_k": F.row_number().over(by), "_before": reached})
     numbered = numbered.withColumn("_root", F.col("_before").isNull() | far(F.col("t"), F.col("_before"))).drop("_before")
-    numbered = stored(numbered.withColumn("_island", F.sum(F.col("_root").cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0))), "chain")
-    sizes = numbered.groupBy(*of).agg(F.count("*").alias("_n")).where("_n > 1")
-    longest = sizes.agg(F.max("_n")).head()[0]
+    numbered = numbered.withColumn("_island", F.sum(F.col("_root").cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    told = Observation()
+    numbered = stored(numbered.withColumn("_size", F.count("*").over(W.partitionBy(*of))).observe(told, F.max("_size").alias("n")), "chain")
+    longest = told.get["n"] or 0
     roots = numbered.where("_root").drop(*own)
-    if longest is None:
+    if longest <= 1:
         return roots
-    many = numbered.join(sizes.select(*of), of, "left_semi")
-    jumps, marked, steps = stored(_next(many, of, apart, far), "chain-next"), many.where("_root").select(*keys, "_k"), 1
+    many = numbered.where("_size > 1")
+    jumps, marked = _next(many, of, apart, far), many.where("_root").select(*keys, "_k")
+    if longest <= SHORT:
+        path = marked.withColumn("_k0", F.col("_k")).drop("_k")
+        for i in range(1, longest):
+            path = path.join(jumps.select(*keys, F.col("_k").alias(f"_k{i - 1}"), F.col("_to").alias(f"_k{i}")), [*keys, f"_k{i - 1}"], "left")
+        marked = path.select(*keys, F.explode(F.array(*[f"_k{i}" for i in range(1, longest)])).alias("_k")).where("_k is not null")
+    else:
+        marked = _doubled(marked, stored(jumps, "chain-next"), keys, longest)
+    return roots.unionByName(many.where("not _root").join(marked, [*keys, "_k"], "left_semi").drop(*own))
+
+
+def _doubled(marked: DataFrame, jumps: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """(keys, _k): the rows that some number of jumps, below longest, leads to from the marked ones."""
+    steps = 1
     while steps < longest:
         marked = stored(marked.unionByName(marked.join(jumps, [*keys, "_k"]).select(*keys, F.col("_to").alias("_k"))), "chain-marked")
         steps *= 2
         if steps < longest:
-            onward = jumps.select(*keys, F.col("_k").alias("_to"), F.col("_to").alias("_end"))
-            jumps = stored(jumps.join(onward, [*keys, "_to"]).select(*keys, "_k", F.col("_end").alias("_to")), "chain-next")
-            if jumps.isEmpty():
+            onward, told = jumps.select(*keys, F.col("_k").alias("_to"), F.col("_to").alias("_end")), Observation()
+            further = jumps.join(onward, [*keys, "_to"]).select(*keys, "_k", F.col("_end").alias("_to"))
+            jumps = stored(further.observe(told, F.count("*").alias("n")), "chain-next")
+            if not told.get["n"]:
                 break
-    return roots.unionByName(many.where("not _root").join(marked, [*keys, "_k"], "left_semi").drop(*own))
+    return marked
 
 
 def _next(many: DataFrame, of: list[str], apart: float, far) -> DataFrame:

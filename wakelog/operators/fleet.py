@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import dt_samples, exclude_signals, suffix, with_signal_parts
 from .modes import modes_at
+from .store import stored
 
 #: Signals left out of the ranking.
 EXCLUDED = ["enforceStandby", "*Capable", "*ActiveEnum*", "atActCmdMode", "afcsEngage*", "afcsEngOrCws", "fgAndAp", "*Engaged*", "*Arm*Enum*", "ydEnabled", "atCmdEng", "apOr", "limitMinusMargin", "apNoMonitorTrip", "atNoMonitorTrip"]
@@ -24,6 +25,8 @@ def correlate(episodes: DataFrame, found: DataFrame, key: str = "signal", pre: f
     near = found.where((F.col("dt") >= -pre) & (F.col("dt") <= post))
     if exclude:
         near = exclude_signals(near, exclude, key)
+    # Written once; counts and times are different groupings of the same rows.
+    near = stored(near.select(key, "sortie", "episode", "dt"), "near")
     total = episodes.select("sortie", "episode").distinct().agg(F.count("*").alias("all_episodes"))
     # Episodes are counted from pre-aggregated pairs; the deviation from the values, so that nothing cancels.
     counts = near.groupBy(key, "sortie", "episode").agg(F.lit(1)).groupBy(key).agg(F.count("*").alias("n_episodes"), F.count_distinct("sortie").alias("n_sorties"))

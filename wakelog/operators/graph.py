@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,32 +48,52 @@ def virtual_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(used, ["dstKey", "rule"]).select("srcKey", "dstKey")
 
 
-#: Hops that one job takes before the reached nodes are written down.
-HOPS_A_JOB = 4
+#: Hops that one job takes at most where it follows whole paths, and where it removes repeats after each hop.
+PATH_HOPS, HOPS_A_JOB = 15, 4
+#: Paths that a job may follow.
+MOST_PATHS = 4_000_000
+
+
+def _along_paths(frontier: DataFrame, step: DataFrame, hops: int) -> DataFrame:
+    """(key, hop): what the frontier reaches within so many hops, every path followed to its end without a shuffle for each hop."""
+    rows = frontier.select("hop", F.col("key").alias("k0"))
+    for i in range(1, hops + 1):
+        rows = rows.join(step.select(F.col("key").alias(f"k{i - 1}"), F.col("to").alias(f"k{i}")), f"k{i - 1}", "left")
+    met = F.array(*[F.struct(F.col(f"k{i}").alias("key"), (F.col("hop") + i).alias("hop")) for i in range(1, hops + 1)])
+    return rows.select(F.inline(met)).where("key is not null")
+
+
+def _in_rings(frontier: DataFrame, step: DataFrame, hops: int, seen: DataFrame) -> DataFrame:
+    """As _along_paths, but what a hop reaches is told apart, and from what is known, before the next one."""
+    rings, here = [], frontier
+    for _ in range(hops):
+        here = here.join(step, "key").groupBy(F.col("to").alias("key")).agg(F.min(F.col("hop") + 1).alias("hop")).join(seen.select("key"), "key", "left_anti")
+        rings.append(here)
+    return reduce(DataFrame.unionByName, rings)
 
 
 def walk(start: DataFrame, edges: DataFrame, max_hops: int = 15, forward: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """(key, hop): every node within max_hops against (or along) the edges, with its least hop (GR-4, GR-5).
 
-    nodes: those that the graph describes; others are reached but not passed through. A job takes several hops, each a
-    join of what the last one reached; then what is new is written down. The walk ends when nothing is.
+    nodes: those that the graph describes; others are reached but not passed through. Edges are written once, sorted by the
+    node they leave, and all hops read them. A job takes several hops, then what is new is written down; the walk ends when
+    nothing is. While the size of the frontier and the largest number of edges at a node prove that the paths are few, a job
+    follows them all; beyond that, repeats and known nodes go out after each hop. Both give the same rows.
     """
     here, there = ("srcKey", "dstKey") if forward else ("dstKey", "srcKey")
     step = edges.select(F.col(here).alias("key"), F.col(there).alias("to")).distinct()
-    step = stored(step if nodes is None else step.join(nodes.select("key"), "key", "left_semi"), "steps")
-    seen = frontier = stored(start.select("key", F.lit(0).alias("hop")).distinct(), "hop-0")
-    hop = 0
-    while hop < max_hops:
-        rings, here_, last = [], frontier.select("key"), min(max_hops, hop + HOPS_A_JOB)
-        for h in range(hop + 1, last + 1):
-            here_ = here_.join(step, "key").select(F.col("to").alias("key")).distinct()
-            rings.append(here_.select("key", F.lit(h).alias("hop")))
-        reached = reduce(DataFrame.unionByName, rings).groupBy("key").agg(F.min("hop").alias("hop"))
-        new = stored(reached.join(seen.select("key"), "key", "left_anti"), f"hop-{last}")
-        frontier, hop = new.where(F.col("hop") == last), last
-        seen = seen.unionByName(new)
-        if frontier.isEmpty():
-            break
+    step = stored((step if nodes is None else step.join(nodes.select("key"), "key", "left_semi")).sortWithinPartitions("key"), "steps")
+    seen = frontier = start.select("key", F.lit(0).alias("hop")).distinct()
+    sizes = {bool(r[0]): r["n"] for r in step.groupBy("key").agg(F.count("*").alias("n")).agg(F.lit(False).alias("start"), F.max("n").alias("n")).unionByName(frontier.agg(F.lit(True).alias("start"), F.count("*").alias("n"))).collect()}
+    hop, count, widest = 0, sizes[True], max(2, sizes[False] or 0)
+    while hop < max_hops and count:
+        fits = int(math.log(MOST_PATHS / count, widest)) if count < MOST_PATHS else 0
+        hops = min(max_hops - hop, min(fits, PATH_HOPS) if fits > 1 else HOPS_A_JOB)
+        reached = _along_paths(frontier, step, hops) if fits > 1 else _in_rings(frontier, step, hops, seen)
+        last, told = hop + hops, Observation()
+        new = reached.groupBy("key").agg(F.min("hop").alias("hop")).join(seen.select("key"), "key", "left_anti")
+        new = stored(new.observe(told, F.count(F.when(F.col("hop") == last, 1)).alias("n")), f"hop-{last}")
+        frontier, seen, hop, count = new.where(F.col("hop") == last), seen.unionByName(new), last, told.get["n"]
     return seen
 
 

@@ -94,13 +94,14 @@ def _gaps(s, d):
     return ev.data_gaps(tel.raw(s, d), 2 * DAY)
 
 
-def _ept(s, d):
-    return ep.episode_transitions(tel.episodes(s, d), tel.found(s, d), DAY, DAY)
+def _ept(s, d, eps=None):
+    return ep.episode_transitions(tel.episodes(s, d) if eps is None else eps, tel.found(s, d), DAY, DAY)
 
 
 def _corr(s, d):
-    f = _ept(s, d).withColumns({"signal": F.concat_ws(":", "signal", F.col("to_v").cast("int").cast("string")), "dt": F.col("dt") / DAY})
-    return fleet.correlate(tel.episodes(s, d), f, pre=1.0, post=0.5)
+    eps = store.stored(tel.episodes(s, d), "episodes")
+    f = _ept(s, d, eps).withColumns({"signal": F.concat_ws(":", "signal", F.col("to_v").cast("int").cast("string")), "dt": F.col("dt") / DAY})
+    return fleet.correlate(eps, f, pre=1.0, post=0.5)
 
 
 def _up(s, d):
@@ -113,7 +114,7 @@ STANDS_FOR = {"click": ("apDisconnect", 0.0, 1.0), "purchase": ("rollRespEng", 1
 
 
 def _classified(s, d):
-    raw, eps = tel.raw(s, d), tel.episodes(s, d)
+    raw, eps = tel.raw(s, d), store.stored(tel.episodes(s, d), "episodes")
     as_ = lambda i: F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v[i])) for k, v in STANDS_FOR.items()])
     # Events and episodes meet in bins of a day, so no sortie is paired whole.
     bins = lambda t: F.floor(F.col(t) / DAY)
