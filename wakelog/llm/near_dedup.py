@@ -38,7 +38,7 @@ FINER = 1024
 MORE_CENTRES = 32
 #: A bucket of this many rows stands against its centres in one cell of the join. Larger ones are salted into as many cells
 #: as the root of their size in such units, so that neither a cell nor the copies of the centres grow as fast as the bucket squared.
-BUCKET_ROWS = 50
+BUCKET_ROWS = 200
 #: Bytes of words that a worker keeps for the texts it has met.
 KEPT_BYTES = 32_000_000
 
