@@ -187,9 +187,12 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "S001N208B_1.zip", "w") as z:
         z.writestr("a.csv", text)
         z.writestr("b.csv", text)
-    z1 = src.read_telemetry_archives(spark, [str(tmp_path / "S001N208B_1.zip")])
-    assert sorted((r["signal"], r["t"], r["v"]) for r in z1.collect()) == want
-    assert src.read_telemetry_archives(spark, [str(tmp_path / "S001N208B_1.zip")], "all").count() == 2 * len(want)
+    for mounted in (False, True):
+        z1 = src.read_telemetry_archives(spark, [str(tmp_path / "S001N208B_1.zip")], mounted=mounted)
+        assert sorted((r["signal"], r["t"], r["v"]) for r in z1.collect()) == want
+        assert src.read_telemetry_archives(spark, [str(tmp_path / "S001N208B_1.zip")], "all", mounted=mounted).count() == 2 * len(want)
+        few = src.read_telemetry_archives(spark, [str(tmp_path / "S001N208B_1.zip")], columns=["cap"], mounted=mounted)
+        assert sorted((r["signal"], r["t"], r["row_ord"], r["col_ord"]) for r in few.collect()) == [("FCC1A.a.cap", float(i), i + 1, 1) for i in range(4)]
     (tmp_path / "docs").mkdir()
     tr = [{"signal": "cap", "time": "10.0", "from": 1, "to": 0, "row_idx": 3}]
     (tmp_path / "docs/analysis_S001.json").write_text(json.dumps({"filename": "x", "episodes": [{"episode": 1, "start_time": "10.0", "transitions": tr}], "data_gaps": [{"t_start": 1, "t_end": 2, "duration_s": 1}]}))
@@ -203,6 +206,20 @@ def test_sources(spark, tmp_path):
     assert nodes.head()["model"] == "y" and edges.count() == 1
 
 
+def test_cells_in_chunks(monkeypatch):
+    import io
+
+    from wakelog.sources import cells
+
+    text = 'irig,"a,b",c\r\n"1.5","2",+3\r\n\r\n002:01:00:00,x,.5\r\nbad,1,1\r\n7,1e400,4.\r\n8'
+    want = [(0, 1, "a,b", 1.5, 2.0), (0, 2, "c", 1.5, 3.0), (1, 2, "c", 176400.0, 0.5), (3, 2, "c", 7.0, 4.0)]
+    for size in (7, 30, 1000):
+        monkeypatch.setattr(cells, "CHUNK", size)
+        rows = [r for b in cells.long_batches(io.BytesIO(text.encode()), "s", "m") for r in b.to_pylist()]
+        assert sorted((r["row_ord"], r["col_ord"], r["signal"], r["t"], r["v"]) for r in rows) == want
+    assert list(cells.long_batches(io.BytesIO(b""), "s", "m")) == []
+
+
 def test_sinks_and_incremental(spark, tmp_path):
     pts = samples(spark, {"a": [(0, 1), (1, 2)]})
     sinks.write_hires(pts, str(tmp_path / "hi"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,11 @@ flown AS (SELECT x.* FROM samples x JOIN win w ON w.sortie = x.sortie WHERE w.f_
 taken_off AS (SELECT x.* FROM samples x JOIN win w ON w.sortie = x.sortie WHERE x.t BETWEEN w.t_lo - 10 AND w.t_hi + 30)
 """
 
-SORTIE = F.regexp_extract("path", "sortie=([^/]*)/", 1)
+
+def _sortie():
+    """The sortie that a folder in a path is of."""
+    return F.regexp_extract("path", "sortie=([^/]*)/", 1)
+
 
 
 def _recordings(s, d) -> str:
@@ -53,7 +61,7 @@ def backfilled_plots(s, d):
     generations.write_generation(before, before, out, 0, ["sortie", "signal"])
     seen = []
     for force in (False, True):
-        patches.backfill_plots(s, out, sources, SORTIE, ["err", "value", "absent"], modes, eps, tel.raw(s, d), force, **form)
+        patches.backfill_plots(s, out, sources, _sortie(), ["err", "value", "absent"], modes, eps, tel.raw(s, d), force, **form)
         seen.append(store.stored(patches.stored_points(s, out), "points").withColumn("forced", F.lit(force)))
     return seen[0].unionByName(seen[1]).drop("ord")
 
@@ -101,9 +109,33 @@ def stored_torque(s, d):
 def rebuilt_hires(s, d):
     """Hi-res documents made anew from CSV sources, with the windows of the stored mode history, and read again (UPS-5, SNK-2)."""
     path, docs = _folder(s, "hires"), store.stored(_documents(s, d), "documents")
-    long = src.csv_to_long(src.read_telemetry_csv(s, _recordings(s, d)), ["err", "FCC1A.kind", "FCC1A.value"]).withColumn("sortie", SORTIE)
+    long = src.csv_to_long(src.read_telemetry_csv(s, _recordings(s, d)), ["err", "FCC1A.kind", "FCC1A.value"]).withColumn("sortie", _sortie())
     flight, takeoff = patches.hires_points(long.withColumn("signal", F.element_at(F.split("signal", r"\."), -1)), docs, None)
     sinks.write_hires(flight, path, takeoff)
     hires = s.read.schema("value string, sortie string").text(path).select("sortie", F.from_json("value", src.HIRES).alias("h"))
     each = [hires.select("sortie", F.lit(x).alias("scope"), F.explode(f"h.{x}_plots").alias("signal", "points")) for x in ("flight", "takeoff")]
     return each[0].unionByName(each[1]).select("scope", "sortie", "signal", F.explode("points").alias("p")).select("scope", "sortie", "signal", F.col("p")[0].alias("t"), F.col("p")[1].alias("v"))
+
+
+@query("SELECT sortie, signal, t, v FROM samples")
+def archive_samples(s, d):
+    """Archives of two CSV members a sortie, made by the query, read member by member (SRC-2)."""
+    rows = tel.raw(s, d).withColumn("x", F.format_string("%.6f", "t"))
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = lambda cells: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(",", *cells).alias("line")))), lambda e: e["line"]), "\n")
+    texts = rows.groupBy("sortie").agg(lines([F.col("x"), cell("err"), cell("kind")]).alias("a"), lines([cell("value"), F.col("event_type"), F.col("x")]).alias("b"))
+    zipped = store.stored(texts.mapInArrow(_zipped, "path string, content binary"), "archives")
+    long = src.archives_to_long(zipped, "all", ["err", "kind", "value"])
+    return long.select(F.regexp_extract("source", r"^(.*)\.zip$", 1).alias("sortie"), F.element_at(F.split("signal", r"\."), -1).alias("signal"), "t", "v")
+
+
+def _zipped(batches):
+    for batch in batches:
+        files = []
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("a.csv", f"rec_time,FCC1A.err,FCC1A.kind\n{a}\n")
+                z.writestr("b.csv", f"FCC1A.value,event_type,rec_time\n{b}\n")
+            files.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([f"archives/{x}.zip" for x in batch["sortie"].to_pylist()]), pa.array(files, pa.binary())], ["path", "content"])

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
+import json
+import os
+import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,8 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import finite, time_column, time_seconds, with_sortie_tags
 from ..operators.events import first_wins
-
-LONG = "source string, member string, row_ord long, col_ord int, signal string, t double, v double"
+from .cells import LONG, csv_members, long_batches
 
 
 #: Files up to this size are read whole for their first line.
@@ -101,67 +104,23 @@ class _Member(InputPartition):
 
 
 class _ZipReader(DataSourceReader):
-    """One partition for each CSV member; rows stream out in long form, in Arrow batches of fixed size."""
+    """One partition for each CSV member; rows stream out in long form, in Arrow batches."""
 
     def __init__(self, options):
         self.paths = options["path"].split(",")
         self.every = options.get("members", "first") == "all"
-        self.rows = int(options.get("batchRows", "50000"))
+        self.columns = json.loads(options["columns"]) if options.get("columns") else None
 
     def partitions(self):
-        import zipfile
-
-        out = []
-        for p in self.paths:
-            names = [n for n in zipfile.ZipFile(p).namelist() if n.lower().endswith(".csv")]
-            out += [_Member(p, n) for n in (names if self.every else names[:1])]
-        return out
+        return [_Member(p, n) for p in self.paths for n in csv_members(p, self.every)]
 
     def read(self, part):
-        import csv
-        import io
-        import math
-        import os
-        import zipfile
-
-        import pyarrow as pa
-
-        def number(x):
-            try:
-                v = float(x) if "_" not in x else math.nan
-            except ValueError:
-                return None
-            return v if math.isfinite(v) else None
-
-        def seconds(x):
-            if (v := number(x)) is not None:
-                return v
-            parts = [number(p) for p in x.strip().split(":")]
-            if len(parts) not in (3, 4) or None in parts:
-                return None
-            return sum(p * f for p, f in zip(reversed(parts), (1, 60, 3600, 86400), strict=False))
-
-        kinds = pa.schema([("source", pa.string()), ("member", pa.string()), ("row_ord", pa.int64()), ("col_ord", pa.int32()), ("signal", pa.string()), ("t", pa.float64()), ("v", pa.float64())])
-        source, rows = os.path.basename(part.path), []
         with zipfile.ZipFile(part.path) as z, z.open(part.member) as f:
-            lines = csv.reader(io.TextIOWrapper(f, "utf-8", "replace"))
-            header = next(lines, None)
-            if header:
-                at = header.index(time_column(header))
-                for i, line in enumerate(x for x in lines if x):
-                    t = seconds(line[at]) if at < len(line) else None
-                    for c, (name, cell) in enumerate(zip(header, line, strict=False)):
-                        if t is not None and c != at and (v := number(cell)) is not None:
-                            rows.append((source, part.member, i, c, name, t, v))
-                    if len(rows) >= self.rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+            yield from long_batches(f, os.path.basename(part.path), part.member, self.columns)
 
 
 class TelemetryZip(DataSource):
-    """spark.read.format("telemetry_zip").option("members", "first" or "all").load(paths joined by commas) (SRC-2)."""
+    """spark.read.format("telemetry_zip") with the options members (first or all) and columns (a JSON list), paths joined by commas (SRC-2)."""
 
     @classmethod
     def name(cls):
@@ -174,9 +133,34 @@ class TelemetryZip(DataSource):
         return _ZipReader(self.options)
 
 
-def read_telemetry_archives(spark: SparkSession, paths: list[str], members: str = "first") -> DataFrame:
-    spark.dataSource.register(TelemetryZip)
-    return spark.read.format("telemetry_zip").option("members", members).load(",".join(paths))
+def read_telemetry_archives(spark: SparkSession, paths: str | list[str], members: str = "first", columns: list[str] | None = None, mounted: bool = False) -> DataFrame:
+    """The finite cells of zipped CSV members in long form (SRC-2): the first member of each archive, or all.
+
+    columns: only headers whose whole name or suffix is in it are parsed. Archives come through Spark's file system, one a
+    task, whole, so up to the 2 GB that Spark's reader of binary files takes; with mounted they are opened by their
+    path on every machine, streamed, one member a task, whatever their size.
+    """
+    if mounted:
+        spark.dataSource.register(TelemetryZip)
+        reader = spark.read.format("telemetry_zip").option("members", members)
+        return (reader if columns is None else reader.option("columns", json.dumps(columns))).load(",".join([paths] if isinstance(paths, str) else paths))
+    # A batch of one row: a task holds one archive at a time.
+    lone = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return archives_to_long(lone, members, columns)
+
+
+def archives_to_long(archives: DataFrame, members: str = "first", columns: list[str] | None = None) -> DataFrame:
+    """read_telemetry_archives on a table (path, content). Null or broken archives and members without a time column raise."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                held = io.BytesIO(content.as_buffer())
+                for name in csv_members(held, members == "all"):
+                    with zipfile.ZipFile(held) as z, z.open(name) as f:
+                        yield from long_batches(f, path.as_py().rsplit("/", 1)[-1], name, columns)
+
+    return archives.select("path", "content").mapInArrow(read, LONG)
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
