@@ -136,6 +136,17 @@ def with_trace_graph(df: DataFrame, by_tail: dict[str, str], default: str | None
     return df.withColumn("trace_graph", found)
 
 
+def with_named_graph(df: DataFrame, by_part: dict[str, str], default: str | None = None, name: str = "sortie") -> DataFrame:
+    """The model graph of the first entry whose key is part of the name, else the default (PRJ-12). A null name has the default."""
+    found = [F.when(F.contains(F.col(name), F.lit(k)), F.lit(v)) for k, v in by_part.items()]
+    return df.withColumn("trace_graph", F.coalesce(*found, F.lit(default)))
+
+
+def ranked_sources(files: DataFrame) -> DataFrame:
+    """files (sortie, path, size) with rank from 0: a sortie's larger files first, equal ones by path (TOP-4)."""
+    return files.withColumn("rank", F.row_number().over(W.partitionBy("sortie").orderBy(F.desc("size"), "path")) - 1)
+
+
 def timing_cluster(mean_dt: Column) -> Column:
     """context below -1 s, precursor below -0.05 s, else near-simultaneous (PRJ-15)."""
     return F.when(mean_dt < -1.0, "context").when(mean_dt < -0.05, "precursor").otherwise("near-simultaneous")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import suffix
+from .modes import modes_at
 
 #: How long before the trigger is before, and how near is at, in seconds.
 BEFORE, AT = -0.010, 0.05
@@ -16,15 +17,19 @@ VALID_SOURCES = ("ads", "irs", "pfd", "fcp", "fcc")
 AXES = {"lat": "lateral", "roll": "lateral", "vert": "vertical", "pitch": "vertical", "at": "auto-throttle", "thr": "auto-throttle"}
 
 
-def locate_trigger(found: DataFrame, signal: str, from_v: float, to_v: float) -> DataFrame:
+def locate_trigger(found: DataFrame, signal: str, from_v: float, to_v: float, anchor: str = "first_match") -> DataFrame:
     """Episode transitions with role and dt by the first listed one of the trigger's name and values (CLS-14).
 
+    anchor first_match: it may lie in the look-back; opening: only from the episode's start on (dt not below 0).
+
     The name is the whole one or what follows a dot, in any case. Episodes without such a row are left out. Of rows that share
     ord and signal the earliest counts; rows that are equal in these and t are all the trigger.
     """
     name = F.lower("signal")
     hit = ((name == signal.lower()) | name.endswith("." + signal.lower())) & (F.col("from_v") == from_v) & (F.col("to_v") == to_v)
-    first = found.where(hit).groupBy("sortie", "episode").agg(F.min(F.struct("ord", "signal", "t")).alias("_trigger"))
+    if anchor not in ("first_match", "opening"):
+        raise ValueError(f"no anchor {anchor}")
+    first = (found.where(hit) if anchor == "first_match" else found.where(hit & (F.col("dt") >= 0))).groupBy("sortie", "episode").agg(F.min(F.struct("ord", "signal", "t")).alias("_trigger"))
     at = found.drop("role", "dt").join(first, ["sortie", "episode"])
     is_it = (F.col("ord") == F.col("_trigger.ord")) & (F.col("signal") == F.col("_trigger.signal")) & (F.col("t") == F.col("_trigger.t"))
     return at.withColumns({"dt": F.col("t") - F.col("_trigger.t"), "role": F.when(is_it, "trigger").otherwise("other")}).drop("_trigger")
@@ -89,9 +94,20 @@ def hide_commanded(classified: DataFrame, found: DataFrame, signals: list[str])
     return classified.join(hit.withColumn("category", F.lit("PILOT_CMD")), ["sortie", "episode", "category"], "left_anti")
 
 
-def dossiers(classified: DataFrame, found: DataFrame, upstream: DataFrame, correlations: DataFrame) -> DataFrame:
-    """A nested row of evidence for each UNKNOWN episode (CLS-13): transitions with hop and score where known."""
+def dossiers(classified: DataFrame, found: DataFrame, upstream: DataFrame, correlations: DataFrame, episodes: DataFrame | None = None, modes: DataFrame | None = None, torque: DataFrame | None = None) -> DataFrame:
+    """A nested row of evidence for each UNKNOWN episode (CLS-13): transitions with hop and score where known.
+
+    With episodes (sortie, episode, start_t) and modes the modes in force at its start, by axis; with torque (sortie, signal,
+    peak, peak_time) the sortie's peaks. Both are null where nothing is known.
+    """
     unknown = classified.where("category = 'UNKNOWN'").select("sortie", "episode")
     rows = found.join(unknown, ["sortie", "episode"]).withColumn("key", suffix(F.col("signal")))
     rows = rows.join(upstream.select(F.col("signal").alias("key"), "hop"), "key", "left").join(correlations.select(F.col("signal").alias("key"), "score"), "key", "left")
-    return rows.groupBy("sortie", "episode").agg(F.array_sort(F.collect_list(F.struct("t", "ord", "signal", "dt", "from_v", "to_v", "hop", "score"))).alias("transitions"))
+    out = rows.groupBy("sortie", "episode").agg(F.array_sort(F.collect_list(F.struct("t", "ord", "signal", "dt", "from_v", "to_v", "hop", "score"))).alias("transitions"))
+    if episodes is not None and modes is not None:
+        starts = episodes.join(unknown, ["sortie", "episode"]).select("sortie", F.col("start_t").alias("t"), F.lit(2**62).alias("ord"), F.col("episode").alias("probe"))
+        at = modes_at(starts, modes).groupBy("sortie", F.col("probe").alias("episode")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", "mode")))).alias("modes"))
+        out = out.join(at, ["sortie", "episode"], "left")
+    if torque is not None:
+        out = out.join(torque.groupBy("sortie").agg(F.array_sort(F.collect_list(F.struct("signal", "peak", "peak_time"))).alias("torque")), "sortie", "left")
+    return out

@@ -488,7 +488,7 @@ def ops_per_sortie(s, d):
 
 
 def queries() -> dict:
-    from . import detail, patching, phasing  # noqa: F401  (they register their queries here)
+    from . import detail, files, patching, phasing  # noqa: F401  (they register their queries here)
 
     return dict(R)
 

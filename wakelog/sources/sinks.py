@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _gathered(rows: DataFrame, name: str, order: list[str], **fields: Column) -> DataFrame:
+def _gathered(rows: DataFrame, name: str, order: list[str], /, **fields: Column) -> DataFrame:
     """(sortie, name): the rows of each sortie as an array of structs, sorted by the columns of order."""
-    entry = F.struct(*order, F.struct(*[c.alias(k) for k, c in fields.items()]).alias("x"))
-    return rows.groupBy("sortie").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias(name))
+    entry = F.struct(F.struct(*order).alias("o"), F.struct(*[c.alias(k) for k, c in fields.items()]).alias("x"))
+    # Only what orders is compared, as a field may be a map.
+    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    return rows.groupBy("sortie").agg(F.transform(F.array_sort(F.collect_list(entry), by_order), lambda e: e["x"]).alias(name))
 
 
 def _moves(rows: DataFrame) -> dict[str, Column]:
@@ -18,11 +20,13 @@ def _moves(rows: DataFrame) -> dict[str, Column]:
     return {"signal": F.col("signal"), "time": F.col("t").cast("string"), "from": F.col("from_v"), "to": F.col("to_v"), "row_idx": F.col("ord")}
 
 
-def analysis_documents(recordings: DataFrame, episodes: DataFrame, found: DataFrame, gaps: DataFrame, modes: DataFrame | None = None, peaks: DataFrame | None = None, channels: DataFrame | None = None, flight: DataFrame | None = None, takeoff: DataFrame | None = None, trigger: tuple | None = None) -> DataFrame:
+def analysis_documents(recordings: DataFrame, episodes: DataFrame, found: DataFrame, gaps: DataFrame, modes: DataFrame | None = None, peaks: DataFrame | None = None, channels: DataFrame | None = None, flight: DataFrame | None = None, takeoff: DataFrame | None = None, trigger: tuple | None = None, sampled: DataFrame | None = None, context: DataFrame | None = None, elapsed: DataFrame | None = None) -> DataFrame:
     """(sortie, document): everything known of each recorded sortie as one JSON text (SNK-1).
 
     recordings: (sortie, source, total_rows, t_min, duration_s); found: transitions of episodes, with episode; channels: as
-    channel_summary gives them; flight and takeoff: points; trigger: (signal, from, to). Parts that are not given are left
+    channel_summary gives them; flight and takeoff: points; trigger: (signal, from, to); sampled: rows of sample_rows and
+    context of context_rows, each with ord, part (sampled only) and a map cells; elapsed: (sortie, elapsed_s), how long the
+    analysis took. Columns tail, trace_graph and time_col of recordings go along if they are there. Parts that are not given are left
     out; a sortie without rows of a part has an empty list. A document holds a sortie whole, as its readers want it, so a
     row is as large as one sortie's result.
     """
@@ -42,16 +46,21 @@ def analysis_documents(recordings: DataFrame, episodes: DataFrame, found: DataFr
         parts.append(_gathered(of("bool"), "bool_channels", ["signal"], name=F.col("signal"), active_count=F.col("n_active"), total_count=F.col("n"), active_pct=F.col("active_pct")))
         parts.append(_gathered(of("enum"), "enum_channels", ["signal"], name=F.col("signal"), values=F.col("values")))
         parts.append(_gathered(of("num"), "num_channels", ["signal"], name=F.col("signal"), min=F.col("min"), max=F.col("max"), mean=F.col("mean")))
+    if sampled is not None:
+        parts.append(_gathered(sampled, "sample_rows", ["ord"], row_idx=F.col("ord"), part=F.col("part"), cells=F.col("cells")))
+    if context is not None:
+        parts.append(_gathered(context, "context_rows", ["ord"], row_idx=F.col("ord"), cells=F.col("cells")))
     for name, points in (("flight_plots", flight), ("takeoff_plots", takeoff)):
         if points is not None:
             parts.append(_series(points).withColumnRenamed("plots", name))
-    doc = recordings
+    doc = recordings if elapsed is None else recordings.join(elapsed.select("sortie", F.col("elapsed_s").alias("processing_time_s")), "sortie", "left")
     for p in parts:
         doc = doc.join(p, "sortie", "left")
     names = [p.columns[1] for p in parts]
     empty = [F.coalesce(n, F.from_json(F.lit("{}" if n.endswith("_plots") else "[]"), dict(doc.dtypes)[n])).alias(n) for n in names]
     given = [] if trigger is None else [F.struct(F.lit(trigger[0]).alias("signal"), F.lit(float(trigger[1])).alias("from"), F.lit(float(trigger[2])).alias("to")).alias("trigger")]
-    own = [F.col("source").alias("filename"), "total_rows", "duration_s", F.col("t_min").alias("rec_start_s")]
+    more = [F.col(a).alias(b) for a, b in (("tail", "tail_number"), ("trace_graph", "trace_graph"), ("time_col", "time_col"), ("processing_time_s", "processing_time_s")) if a in doc.columns]
+    own = [F.col("source").alias("filename"), "total_rows", "duration_s", F.col("t_min").alias("rec_start_s"), *more]
     return doc.select("sortie", F.to_json(F.struct(*own, *given, *empty), {"ignoreNullFields": "false"}).alias("document"))
 
 
@@ -90,6 +99,12 @@ def write_report(rows: DataFrame, params: dict, name: str, path: str, order: lis
     listed.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in params.items()], name), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    """Append (sortie, status, elapsed_s) rows (SNK-5)."""
-    rows.write.mode("append").parquet(path)
+def write_manifest(rows: DataFrame, path: str, run: int = 0) -> None:
+    """Append (sortie, status, elapsed_s) rows of a run (SNK-5)."""
+    rows.select("sortie", "status", F.col("elapsed_s").cast("double").alias("elapsed_s")).withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(path)
+
+
+def requeue_corrupt(corrupt: DataFrame, sortie_of: Column, path: str, run: int) -> None:
+    """Sorties whose documents cannot be read go into the manifest as corrupt, so that they are pending again (UPS-7)."""
+    rows = corrupt.select(sortie_of.alias("sortie")).distinct()
+    write_manifest(rows.select("sortie", F.lit("corrupt").alias("status"), F.lit(None).cast("double").alias("elapsed_s")), path, run)

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import finite, time_column, time_seconds, with_sortie_tags
 from ..operators.events import first_wins
+from ..operators.store import stored
 from .cells import LONG, csv_members, long_batches
 
 
@@ -197,21 +198,36 @@ ANALYSIS = f"{DOCUMENT}, _corrupt_record string"
 
 
 def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables in analysis documents: documents, corrupt, gaps, episodes, episode_transitions (SRC-5, UPS-7)."""
+    """The tables in analysis documents (SRC-5, UPS-7).
+
+    documents, corrupt, gaps, episodes, episode_transitions, mode_transitions, torque, bool_channels, enum_channels,
+    num_channels, sample_rows, context_rows and points; each has the document's path. Parts that it lacks have no rows.
+    """
     # Parsed as a column, so that asking for the corrupt ones alone is allowed.
     whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", ANALYSIS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
-    docs = whole.select("path", "d.*")
+    # Parsed once and kept as columns; each table then reads its own part.
+    docs = stored(whole.select("path", "d.*"), "documents")
     good = docs.where("_corrupt_record is null")
     eps = good.select("path", F.explode("episodes").alias("e"))
     moves = eps.select("path", F.col("e.episode").alias("episode"), time_seconds(F.col("e.start_time")).alias("start_t"), F.posexplode("e.transitions").alias("ord", "x"))
     return {
         "documents": good.drop("_corrupt_record"), "corrupt": docs.where("_corrupt_record is not null").select("path"),
-        "gaps": good.select("path", F.inline("data_gaps")),
+        "gaps": good.select("path", F.inline("data_gaps")), "mode_transitions": good.select("path", F.inline("mode_transitions")), "torque": good.select("path", F.inline("torque_stats")),
+        "bool_channels": good.select("path", F.inline("bool_channels")), "enum_channels": good.select("path", F.inline("enum_channels")), "num_channels": good.select("path", F.inline("num_channels")),
+        "sample_rows": good.select("path", F.inline("sample_rows")), "context_rows": good.select("path", F.inline("context_rows")),
+        "points": good.select("path", F.explode(F.map_from_arrays(F.array(F.lit("flight"), F.lit("takeoff")), F.array("flight_plots", "takeoff_plots"))).alias("scope", "plots")).select("path", "scope", F.explode("plots").alias("signal", "p")).select("path", "scope", "signal", F.explode("p").alias("p")).select("path", "scope", "signal", F.col("p")[0].alias("t"), F.col("p")[1].alias("v")),
         "episodes": eps.select("path", "e.episode", time_seconds(F.col("e.start_time")).alias("start_t"), time_seconds(F.col("e.end_time")).alias("end_t"), "e.duration_s"),
         "episode_transitions": moves.select("path", "episode", "ord", "x.signal", time_seconds(F.col("x.time")).alias("t"), (time_seconds(F.col("x.time")) - F.col("start_t")).alias("dt"), F.col("x.from").alias("from_v"), F.col("x.to").alias("to_v")),
     }
 
 
+def latest_trace_graph(spark: SparkSession, root: str) -> str | None:
+    """The trace graph below a folder whose name comes last; None if there is none (SRC-6)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "traceData*.json").load(root).select("path")
+    last = files.orderBy(F.element_at(F.split("path", "/"), -1).desc(), F.desc("path")).limit(1).collect()
+    return last[0]["path"] if last else None
+
+
 def read_trace_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a trace graph; of nodes with one key the last counts (SRC-6)."""
     form = "nodes array<struct<key:string,blockName:string,blockType:string,model:string,isTestPoint:boolean,testPointName:string>>, edges array<struct<srcKey:string,dstKey:string>>"

@@ -38,8 +38,10 @@ def read_incremental(spark: SparkSession, out: str, schema: str) -> DataFrame:
 
 
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files of sorties that no run has finished."""
-    return files.join(manifest.where("status = 'ok'").select("sortie"), "sortie", "left_anti")
+    """Files of sorties whose last entry in the manifest is not ok, or that have none. Of entries of one run any ok counts."""
+    run = F.col("run") if "run" in manifest.columns else F.lit(0)
+    last = manifest.groupBy("sortie").agg(F.max(F.struct(run.alias("run"), (F.col("status") == "ok").alias("ok"))).alias("x"))
+    return files.join(last.where("x.ok").select("sortie"), "sortie", "left_anti")
 
 
 class _Changes(StatefulProcessor):
