@@ -229,7 +229,7 @@ def test_sinks_and_incremental(spark, tmp_path):
     pts.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         incremental.run_incremental(spark, str(tmp_path / "in"), S, str(tmp_path / "ck"), str(tmp_path / "out"), lambda df: df.select("sortie", "signal", "t"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert incremental.read_incremental(spark, str(tmp_path / "out"), "sortie string, signal string, t double").count() == 2
 
 
 def test_backfill_and_sets(spark):
