@@ -153,7 +153,10 @@ def test_classes(spark):
     assert got[2]["confidence"] == "confirmed" and got[2]["evidence"] == "rollrespdebounceout" and got[2]["axis"] == "lateral" and got[1]["confidence"] == "n/a"
 
 
-def test_walks_against_a_queue(spark):
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_walks_against_a_queue(spark, monkeypatch, most):
+    # With many paths allowed whole ones are followed, without any the walk goes ring by ring.
+    monkeypatch.setattr(graph, "MOST_PATHS", most)
     rnd = random.Random(3)
     edges = [(str(rnd.randrange(40)), str(rnd.randrange(40))) for _ in range(70)]
     e = spark.createDataFrame(edges, "srcKey string, dstKey string")
