@@ -1,6 +1,7 @@
 """Fingerprints, media, token counts, line dedup and mixing against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import EDGES, SCHEMA
 
 from wakelog.llm import fingerprints, line_dedup, media, mixing, token_counts
@@ -203,12 +205,12 @@ def test_mix_sources(documents, spark):
     again = mixing.mix_sources(documents(rows).repartition(2)).collect()
     pick = lambda rs: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rs)
     assert len(got) == len(rows) and pick(got) == pick(again)
-    sizes, taken, target, most = Counter(), Counter(), {}, Counter()
+    sizes, taken, target = Counter(), Counter(), {}
     for r in got:
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) and r["taken"] <= 2 * r["size"]
         sizes[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
-        most[r["source"]] = max(most[r["source"]], r["size"])
+        assert r["taken"] == r["copies"] * r["size"] + r["part"] and 0 <= r["part"] < max(1, r["size"])
         target[r["source"]] = r["target"]
     # The targets by the rule itself: reshare what is above until none is.
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
@@ -225,6 +227,16 @@ def test_mix_sources(documents, spark):
         open_ -= over
     want |= {s: level * weight[s] for s in open_}
     for s in names:
-        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= most[s]
+        assert target[s] == pytest.approx(want[s]) and taken[s] == math.floor(target[s])
     assert not mixing.mix_sources(spark.createDataFrame([], SCHEMA)).collect()
     assert all(r["taken"] == 0 for r in mixing.mix_sources(documents([(1, None), (2, "")])).collect())
+
+
+def test_first_words(spark):
+    texts = ["one  two\tthree\n", "  béta\n\nγάμμα x", "single", "w " * 5000]
+    cuts = [(t, n) for t in texts for n in (1, 2, 3, 4000)]
+    got = spark.createDataFrame(cuts, "t string, n long").select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()
+    assert len(got) == len(cuts)
+    for t, n, x in got:
+        ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        assert x == (t[: ends[n - 1]] if n <= len(ends) else t)

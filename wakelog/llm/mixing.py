@@ -22,6 +22,13 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text (n from 1) with the blanks before and between them; the whole text if it has fewer."""
+    # The text is cut behind each word, without going on behind the last one that is wanted.
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (n + 1).cast("int"))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def text_quality(text: str = "text") -> Column:
     """A document's weight when none is given: the share of its code points that no symbol takes, 0.05 at least."""
     full = text_or_empty(text)
@@ -52,22 +59,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, buckets: int = 4096) -> DataFrame:
-    """docs with size, source_size (long), target (double), copies and taken (long) added: how often the mix takes each.
+    """docs with size, source_size (long), target (double), copies, part and taken (long) added.
 
-    A source with target t and size s first takes floor(t / s) complete epochs. For the rest, documents are ordered by
-    the exponential key -ln(u) / quality, u a hash of the id, and each is taken once more while at least half of it fits
-    the budget that the keys before it leave. Whole documents are taken, so a source ends within half of the document at
-    its edge of its target (or short of it by what that one document is too large), and reruns agree.
+    ``copies`` is how often the mix takes the whole document, ``part`` how many first words it takes once more (0 if none),
+    ``taken`` the words of both together. A source with target t and size s first takes floor(t / s) complete epochs. For
+    the rest, documents are ordered by the exponential key -ln(u) / quality, u a hash of the id, and each is taken once
+    more as far as the budget that the keys before it leave. The document at a source's edge is taken in part, so what a
+    source takes is its target without the fraction of a word, however small it is and however long its documents are;
+    reruns agree. ``first_words`` gives the text of a part.
 
     The prefix sums take two levels, so that no source lies in one task: the keys of a source go to ``buckets`` ranges
     about even in number of documents, the ranges are summed, and only a range's documents are sorted together.
 
-    Null and empty texts have size 0, and so 0 copies. Null sources are one source. Rows that share an id have the same
-    key; ties go by the hash of the text, and repeats of one row are interchangeable. A null or non-positive quality
-    counts as the smallest positive one used. An empty table gives an empty one. Other columns pass through; ValueError
-    if one bears the name of an added column.
+    Null and empty texts have size 0, and so 0 copies and no part. Null sources are one source. Rows that share an id have
+    the same key; ties go by the hash of the text, and repeats of one row are interchangeable. A null or non-positive
+    quality counts as the smallest positive one used. An empty table gives an empty one. Other columns pass through;
+    ValueError if one bears the name of an added column.
     """
-    fresh(docs, "size", "source_size", "target", "copies", "taken", "_key", "_bucket", "_tie", "_base", "_name", "_none")
+    fresh(docs, "size", "source_size", "target", "copies", "part", "taken", "_key", "_bucket", "_tie", "_base", "_name", "_none")
     weight = F.greatest(F.lit(0.05), F.coalesce(quality if quality is not None else text_quality(text), F.lit(0.05)))
     keyed = docs.withColumns({"size": word_count(text), "_key": -F.log(uniform(F.col(doc_id))) / weight, "_tie": F.xxhash64(text_or_empty(text))})
     # Keys that are never null keep the join and the window on one exchange.
@@ -76,10 +85,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     own = W.partitionBy("_name", "_none", "_bucket").orderBy("_key", "_tie").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("size").over(own), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    once_more = before + F.col("size") / 2 <= F.col("target") - epochs * F.col("source_size")
-    copies = F.when(F.col("size") > 0, epochs + F.when(once_more, 1).otherwise(0)).otherwise(0).cast("long")
-    out = placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    left = F.floor(F.col("target") - epochs * F.col("source_size")) - before
+    once_more = F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+    whole = (F.col("size") > 0) & (F.col("_more") == F.col("size"))
+    out = placed.withColumns({"_epochs": F.when(F.col("size") > 0, epochs).otherwise(0).cast("long"), "_more": once_more}).withColumns({
+        "copies": F.col("_epochs") + F.when(whole, 1).otherwise(0),
+        "part": F.when(whole, 0).otherwise(F.col("_more")).cast("long"),
+        "taken": F.col("_epochs") * F.col("size") + F.col("_more"),
+    })
+    return out.select(*docs.columns, "size", "source_size", "target", "copies", "part", "taken")
 
 
 def _ranges(keyed: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:

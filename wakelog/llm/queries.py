@@ -145,7 +145,7 @@ k AS (
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
   FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-  (CASE WHEN size > 0 THEN size * (epochs + CASE WHEN before + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
+  (size * epochs + greatest(0, least(size, floor(target - epochs * source_size) - before)))::BIGINT AS taken
 FROM k
 """
 
