@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from wakelog.llm.common import stored, table
 from wakelog.llm.line_dedup import dedup_lines
-from wakelog.llm.mixing import mix_sources
+from wakelog.llm.mixing import first_words, mix_sources
 from wakelog.llm.near_dedup import drop_near_duplicates
 from wakelog.llm.pieces import encode_pieces
-from wakelog.llm.quality import rate_documents
+from wakelog.llm.quality import fit_quality, graded, rate_documents, score_quality
 from wakelog.llm.queries import piece_vocabulary
 
 
@@ -48,10 +48,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: a row for each copy. Texts without words are never taken.
 
-    Ties of one key go by the hash of the text; null sources are one source.
+    The weight of a document in the draw is its grade, by the model that the labels and their documents give, as in the
+    first stage. A document at its source's edge has a copy of its first words, n_chars long; without labels all grades
+    are alike. Ties of one key go by the hash of the text; null sources are one source.
     """
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    model = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), graded(), 3)
+    mixed = mix_sources(score_quality(docs, model), quality=F.col("expected_grade") / 2).where("taken > 0")
+    more = F.when(F.col("part") > 0, 1).otherwise(0)
+    each = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("copies") + more).cast("int"))))
+    in_part = F.col("_copy") > F.col("copies")
+    each = each.withColumn("text", F.when(in_part, first_words(F.col("text"), F.col("part"))).otherwise(F.col("text")))
+    return each.withColumn("n_chars", F.when(in_part, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
