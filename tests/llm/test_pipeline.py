@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -9,9 +11,8 @@ pipeline = pytest.importorskip("corpus_pipeline")
 from tests.llm.conftest import EDGES, SCHEMA  # noqa: E402
 from tests.llm.test_first_five import brute_lines, some_texts  # noqa: E402
 
-from wakelog.llm.mixing import mix_sources  # noqa: E402
 from wakelog.llm.pieces import Decoder  # noqa: E402
-from wakelog.llm.quality import rate_documents  # noqa: E402
+from wakelog.llm.quality import Features, fit_quality, graded  # noqa: E402
 from wakelog.llm.queries import piece_vocabulary  # noqa: E402
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -49,18 +50,57 @@ def test_stages_against_brute_force(spark, sf_dir):
     groups = brute_groups([(r["doc_id"], r["text"]) for r in rows])
     assert Counter(r["text"] or "" for r in kept).keys() <= {r["text"] or "" for r in rows}
     assert len(kept) == len(groups) and all(sum((k["text"] or "") in g for k in kept) == 1 for g in groups)
-    mixed = Counter((r["doc_id"], r["text"]) for r in pipeline.mix(spark, docs, sf_dir).collect())
-    taken = {(r["doc_id"], r["text"]): r["copies"] for r in mix_sources(docs).collect()}
-    times = Counter((r["doc_id"], r["text"]) for r in rows)
-    assert mixed == Counter({k: times[k] * n for k, n in taken.items() if n})
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in pipeline.mix(spark, docs, sf_dir).collect()) == brute_mix(rows, grades(spark, docs, sf_dir))
     decoder = Decoder(piece_vocabulary())
     back = Counter((r["doc_id"], decoder.decode(r["token_ids"])) for r in pipeline.encode(spark, docs, sf_dir).collect())
     assert back == Counter((r["doc_id"], r["text"] or "") for r in rows)
-    rated = {(r["doc_id"], r["text"]): r["p_above_1"] for r in rate_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), graded(), 3)
+    chance = lambda t: 1 / (1 + math.exp(float(model.thresholds[1]) - model.score(*Features().of(t or ""))))
+    rated = {(r["doc_id"], r["text"]): chance(r["text"]) for r in rows}
     good = {(r["doc_id"], r["text"]) for r in pipeline.reject_poor(spark, docs, sf_dir).collect()}
     assert good == {k for k, p in rated.items() if p >= 0.5}
 
 
+def grades(spark, docs, sf_dir):
+    """Grades by id and text, summed in plain Python from the model's score of each text."""
+    model = fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), graded(), 3)
+    extract = Features()
+    score = {t: model.score(*extract.of(t or "")) for t in {r["text"] for r in docs.collect()}}
+    return {t: sum(1 / (1 + math.exp(float(k) - x)) for k in model.thresholds) for t, x in score.items()}
+
+
+def brute_mix(rows, grade):
+    """Copies of documents by the rule itself: targets reshared until none is above, keys in order, words counted off."""
+    words = lambda t: [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r["source"], []).append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(words(r["text"])) for r in by_source[s]) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(size.values()), set(names), {}
+    while over := {s for s in open_ if left / sum(weight[x] for x in open_) * weight[s] > 2 * size[s]}:
+        target |= {s: 2 * size[s] for s in over}
+        left -= sum(2 * size[s] for s in over)
+        open_ -= over
+    target |= {s: left / sum(weight[x] for x in open_) * weight[s] for s in open_}
+    out = Counter()
+    for s in names:
+        unit = lambda r: (int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        budget = math.floor(target[s] - epochs * size[s])
+        for r in sorted(by_source[s], key=lambda r: -math.log(unit(r)) / max(0.05, grade[r["text"]] / 2)):
+            ends = words(r["text"])
+            more = min(len(ends), budget)
+            budget -= more
+            whole = epochs + (more == len(ends))
+            if ends and whole:
+                out[r["doc_id"], r["text"], r["n_chars"]] += whole
+            if 0 < more < len(ends):
+                out[r["doc_id"], r["text"][: ends[more - 1]], ends[more - 1]] += 1
+    return out
+
+
 def brute_groups(rows):
     """Sets of texts that belong together, from all pairs of distinct texts, by plain shingle sets and plain edit distance."""
     words = {t: (t or "").lower().split() for t in {t or "" for _, t in rows}}
