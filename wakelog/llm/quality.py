@@ -102,16 +102,32 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     Features of fewer than ``least`` documents are left out. The thresholds are the first one and positive gaps, so they
     stay ordered. Rare grades count more, by the square root. Without rows the model is neutral.
     """
-    none = np.zeros(0, np.int64)
     if not len(rows):
-        return OrdinalModel(none, np.zeros(0), np.arange(n_grades - 1) - (n_grades - 2) / 2, False)
-    at, value = np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows])
-    of = np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows])
-    used, place, seen = np.unique(at, return_inverse=True, return_counts=True)
-    common = seen >= least
-    keep = common[place]
-    place, value, of = (np.cumsum(common) - 1)[place[keep]], value[keep], of[keep]
-    used = used[common]
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.arange(n_grades - 1) - (n_grades - 2) / 2, False)
+    flat = np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows]), np.array([len(p) for p, _ in rows])
+    return _fit_flat(*flat, grades, n_grades, rounds, step, lasso, least)
+
+
+#: Features that a step of the fit looks at together.
+TOGETHER = 1 << 19
+
+
+def _fit_flat(at: np.ndarray, value: np.ndarray, lengths: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 400, step: float = 0.3, lasso: float = 5e-4, least: int = 3) -> OrdinalModel:
+    """fit_ordinal of rows that lie one after the other. Beyond at and value it holds as much again, and TOGETHER features."""
+    none, n = np.zeros(0, np.int64), len(lengths)
+    used, seen = np.unique(at, return_counts=True)
+    used = used[seen >= least]
+    # Whole rows of about TOGETHER features each: first row, places among used, values, and how many each row has.
+    blocks, ends = [], np.cumsum(lengths)
+    lo = 0
+    while lo < n:
+        start = ends[lo] - lengths[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, start + TOGETHER, "right")))
+        part, row = at[start : ends[hi - 1]], np.repeat(np.arange(hi - lo, dtype=np.int32), lengths[lo:hi])
+        place = np.minimum(np.searchsorted(used, part), max(0, len(used) - 1)).astype(np.int32)
+        keep = used[place] == part if len(used) else np.zeros(len(part), bool)
+        blocks.append((lo, hi, place[keep], value[start : ends[hi - 1]][keep], np.bincount(row[keep], minlength=hi - lo)))
+        lo = hi
     above = grades[:, None] > np.arange(n_grades - 1)[None, :]
     share = np.clip(above.mean(0), 0.01, 0.99)
     odds = -np.log(share / (1 - share))
@@ -123,9 +139,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     thresholds = odds
     for _ in range(rounds):
         thresholds = np.concatenate([[first], first + np.cumsum(np.log1p(np.exp(gaps)))])
-        scores = np.bincount(of, weights=value * w[place], minlength=len(rows))
+        scores = np.concatenate([np.bincount(np.repeat(np.arange(hi - lo), size), weights=v * w[place], minlength=hi - lo) for lo, hi, place, v, size in blocks])
         error = (OrdinalModel(none, w, thresholds).tails(scores) - above) * weight[:, None]
-        slope = np.bincount(place, weights=value * error.sum(1)[of], minlength=len(used)) / len(rows)
+        slope, of_row = np.zeros(len(used)), error.sum(1)
+        for lo, hi, place, v, size in blocks:
+            slope += np.bincount(place, weights=v * np.repeat(of_row[lo:hi], size), minlength=len(used))
+        slope /= n
         memory += slope**2
         rate = step / np.sqrt(memory)
         w -= rate * slope
@@ -135,7 +154,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
         memory_t += down**2
         move = step * down / np.sqrt(memory_t)
         first, gaps = first - move[0], gaps - move[1:]
-    return OrdinalModel(used[w != 0], w[w != 0], thresholds)
+    return OrdinalModel(used[w != 0].astype(np.int64), w[w != 0], thresholds)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> OrdinalModel:
@@ -167,9 +186,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int
     last = sizes.where(F.col("sum") <= fit_bytes).agg(F.max("p").alias("m")).head()["m"]
     if last is None:
         raise ValueError(f"there are labelled documents, but fit_bytes={fit_bytes} holds the features of none of them")
-    rows = sorted((str(r["_id"]), r["_tie"], r["_grade"], bytes(r["places"]), bytes(r["values"])) for r in found.where(upto(last)).toLocalIterator())
-    arrays = [(np.frombuffer(p, np.int64), np.frombuffer(v, np.float32).astype(float)) for *_, p, v in rows]
-    return fit_ordinal(arrays, np.array([r[2] for r in rows], np.int64), n_grades)
+    # Places are below WIDTH and values come in single precision, so both are held in four bytes as they arrive.
+    rows = [(str(r["_id"]), r["_tie"], r["_grade"], np.frombuffer(r["places"], np.int64).astype(np.int32), np.frombuffer(r["values"], np.float32).copy()) for r in found.where(upto(last)).toLocalIterator()]
+    rows.sort(key=lambda r: r[:3])
+    grades, lengths = np.array([r[2] for r in rows], np.int64), np.array([len(r[3]) for r in rows], np.int64)
+    at, value = np.concatenate([r[3] for r in rows]), np.concatenate([r[4] for r in rows])
+    rows.clear()
+    return _fit_flat(at, value, lengths, grades, n_grades)
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
