@@ -64,9 +64,21 @@ def analysis_documents(recordings: DataFrame, episodes: DataFrame, found: DataFr
     return doc.select("sortie", F.to_json(F.struct(*own, *given, *empty), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def write_analysis(documents: DataFrame, path: str) -> None:
-    """One JSON document a sortie, nulls kept, in folders by sortie."""
-    documents.select("sortie", F.col("document").alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+def write_analysis(documents: DataFrame, path: str, packed: bool = False) -> None:
+    """One JSON document a sortie, nulls kept, in folders by sortie; packed: many to a file, for fleets of many sorties."""
+    _write_texts(documents, path, packed)
+
+
+def _write_texts(documents: DataFrame, path: str, packed: bool) -> None:
+    """(sortie, document) as files. packed: a line each, the sortie as a JSON list, a tab and the document.
+
+    A JSON text has neither tabs nor line breaks outside of its escapes. A folder for each sortie costs the driver a
+    few calls each to commit and to list.
+    """
+    if packed:
+        documents.select(F.concat_ws("\t", F.to_json(F.array("sortie")), "document").alias("value")).write.mode("overwrite").text(path)
+    else:
+        documents.select("sortie", F.col("document").alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
 
 
 def _series(points: DataFrame) -> DataFrame:
@@ -75,12 +87,12 @@ def _series(points: DataFrame) -> DataFrame:
     return pairs.groupBy("sortie").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "pairs")))).alias("plots"))
 
 
-def write_hires(points: DataFrame, path: str, takeoff: DataFrame | None = None) -> None:
-    """One JSON document a sortie with [t, v] pairs by signal, for the flight and, if given, the takeoff (SNK-2)."""
+def write_hires(points: DataFrame, path: str, takeoff: DataFrame | None = None, packed: bool = False) -> None:
+    """One JSON document a sortie with [t, v] pairs by signal, for the flight and, if given, the takeoff (SNK-2); packed as in write_analysis."""
     doc, names = _series(points).withColumnRenamed("plots", "flight_plots"), ["flight_plots"]
     if takeoff is not None:
         doc, names = doc.join(_series(takeoff).withColumnRenamed("plots", "takeoff_plots"), "sortie", "full"), [*names, "takeoff_plots"]
-    doc.select("sortie", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("sortie").text(path)
+    _write_texts(doc.select("sortie", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("document")), path, packed)
 
 
 def write_report(rows: DataFrame, params: dict, name: str, path: str, order: list[Column] | None = None) -> None:

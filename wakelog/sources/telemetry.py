@@ -197,14 +197,28 @@ HIRES = f"flight_plots {_PLOTS}, takeoff_plots {_PLOTS}"
 ANALYSIS = f"{DOCUMENT}, _corrupt_record string"
 
 
-def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(sortie, document) of documents that were written packed, many to a file."""
+    head = F.substring_index("value", "\t", 1)
+    return spark.read.text(path).select(F.from_json(head, "array<string>")[0].alias("sortie"), F.substr("value", F.length(head) + 2).alias("document"))
+
+
+def read_analysis(spark: SparkSession, path: str, packed: bool = False) -> dict[str, DataFrame]:
     """The tables in analysis documents (SRC-5, UPS-7).
 
     documents, corrupt, gaps, episodes, episode_transitions, mode_transitions, torque, bool_channels, enum_channels,
-    num_channels, sample_rows, context_rows and points; each has the document's path. Parts that it lacks have no rows.
+    num_channels, sample_rows, context_rows and points; each has the document's path, or with packed, where many
+    documents are in a file, its sortie instead. Parts that it lacks have no rows.
     """
+    if packed:
+        tables = _analysis_tables(read_packed(spark, path).select(F.col("sortie").alias("path"), F.col("document").alias("value")))
+        return {name: t.withColumnRenamed("path", "sortie") for name, t in tables.items()}
+    return _analysis_tables(spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def _analysis_tables(texts: DataFrame) -> dict[str, DataFrame]:
     # Parsed as a column, so that asking for the corrupt ones alone is allowed.
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", ANALYSIS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    whole = texts.select("path", F.from_json("value", ANALYSIS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
     # Parsed once and kept as columns; each table then reads its own part.
     docs = stored(whole.select("path", "d.*"), "documents")
     good = docs.where("_corrupt_record is null")
