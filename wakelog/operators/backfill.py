@@ -22,32 +22,32 @@ def missing_pairs(wanted: DataFrame, sorties: DataFrame, have: DataFrame) -> Dat
 COMPARED = 50_000
 
 
-def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's recordings without those that lie within one of a smaller or equal sortie."""
-    for pdf in [pd.concat(list(batches) or [pd.DataFrame({"sortie": [], "t_min": [], "t_max": []})])]:
-        rows = pdf.sort_values(["t_min", "t_max", "sortie"], ascending=[True, False, True])
-        # Of the rows so far those that none covers: by end, downwards, their sorties fall.
-        ends, names, keep = [], [], []
-        for sortie, end in zip(rows["sortie"], rows["t_max"], strict=True):
-            # The last one that ends as late has the smallest sortie of all that do.
-            at = bisect.bisect_right(ends, -end)
-            keep.append(at == 0 or names[at - 1] > sortie)
-            if keep[-1]:
-                to = at
-                while to < len(ends) and names[to] >= sortie:
-                    to += 1
-                if at and ends[at - 1] == -end:
-                    at -= 1
-                ends[at:to], names[at:to] = [-end], [sortie]
-        yield rows[keep]
-
-
 def uncovered(recordings: DataFrame) -> DataFrame:
     """(sortie, t_min, t_max): recordings without those within another one's time whose sortie is not larger.
 
     Such a one never shares more time with anything than the other does, and loses the tie. Tasks leave out what they see
     among at most COMPARED random rows, in rounds, as long as a round leaves out half: so some may stay, none goes wrongly.
     """
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's recordings without those that lie within one of a smaller or equal sortie."""
+        for pdf in [pd.concat(list(batches) or [pd.DataFrame({"sortie": [], "t_min": [], "t_max": []})])]:
+            rows = pdf.sort_values(["t_min", "t_max", "sortie"], ascending=[True, False, True])
+            # Of the rows so far those that none covers: by end, downwards, their sorties fall.
+            ends, names, keep = [], [], []
+            for sortie, end in zip(rows["sortie"], rows["t_max"], strict=True):
+                # The last one that ends as late has the smallest sortie of all that do.
+                at = bisect.bisect_right(ends, -end)
+                keep.append(at == 0 or names[at - 1] > sortie)
+                if keep[-1]:
+                    to = at
+                    while to < len(ends) and names[to] >= sortie:
+                        to += 1
+                    if at and ends[at - 1] == -end:
+                        at -= 1
+                    ends[at:to], names[at:to] = [-end], [sortie]
+            yield rows[keep]
+
     rows = recordings.select("sortie", "t_min", "t_max")
     plain = F.col("sortie").isNotNull() & (F.col("t_min") <= F.col("t_max")) & ~F.isnan("t_max")
     odd = rows.where(~F.coalesce(plain, F.lit(False)))
@@ -55,7 +55,7 @@ def uncovered(recordings: DataFrame) -> DataFrame:
     n = left.count()
     while n > 1:
         parts = -(-n // COMPARED)
-        left = stored(left.repartition(parts).mapInPandas(_covered, left.schema), "uncovered")
+        left = stored(left.repartition(parts).mapInPandas(alone, left.schema), "uncovered")
         before, n = n, left.count()
         if parts == 1 or 2 * n > before:
             break
