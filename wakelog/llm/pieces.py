@@ -23,7 +23,7 @@ _MARK = MARKER.encode()
 #: What an unknown character costs beyond the worst piece; fixed by the encoding.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of chunks and their pieces that a worker remembers, with what Python adds to each.
-REMEMBERED, PER_CHUNK = 48_000_000, 160
+REMEMBERED, PER_CHUNK = 24_000_000, 160
 #: Bytes of chunks that are searched together, and of texts that are encoded together.
 TOGETHER, BATCH = 150_000, 1_000_000
 _CHUNK = re.compile(r" +[^ ]*")
@@ -242,6 +242,8 @@ def _with(docs: DataFrame, keep: list[str], text: str, vocabulary: Vocabulary, f
         for batch in batches:
             for part, texts in _in_parts(batch, len(keep)):
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *values(encoder, decoder, texts)], [*keep, *(f.name for f in fields)])
+            # What Arrow holds beyond the batch goes back, as workers share the executor's memory and live on.
+            pa.default_memory_pool().release_unused()
 
     schema = StructType([*(docs.schema[c] for c in keep), *fields])
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")).mapInArrow(each, schema)

@@ -23,8 +23,8 @@ from .common import fresh, stored, text_or_empty
 FIT_ROWS, FIT_BYTES = 10_000, 96_000_000
 #: Places that features hash to. A model keeps those with a weight only, so many places cost nothing.
 WIDTH = 1 << 24
-#: Words whose places a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose places a worker remembers, of some 300 bytes each.
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = [(re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "0")]
