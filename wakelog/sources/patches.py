@@ -33,37 +33,46 @@ def plot_points(samples: DataFrame, modes: DataFrame, episodes: DataFrame, max_p
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def locate_signals(index: DataFrame, missing: DataFrame, sortie_of: Column) -> DataFrame:
+def locate_signals(index: DataFrame, missing: DataFrame, sortie_of: Column | DataFrame) -> DataFrame:
     """(sortie, signal, path, header): where each missing signal is: the sortie's first file by name that has it, its first column.
 
     index is a header_index; a column fits by its whole name or its suffix. Signals that no file has are left out.
+    sortie_of: a column over a file's path, or (path, sortie) rows of files that hold many sorties.
     """
-    named = index.withColumn("sortie", sortie_of).withColumn("name", F.explode(F.array_distinct(F.array("signal", suffix(F.col("signal"))))))
+    owned = index.join(sortie_of, "path") if isinstance(sortie_of, DataFrame) else index.withColumn("sortie", sortie_of)
+    named = owned.withColumn("name", F.explode(F.array_distinct(F.array("signal", suffix(F.col("signal"))))))
     hit = named.select("sortie", "path", "name", F.col("signal").alias("header"), "col_ord").join(missing.select("sortie", F.col("signal").alias("name")), ["sortie", "name"])
     return hit.groupBy("sortie", F.col("name").alias("signal")).agg(F.min(F.struct("path", "col_ord", "header")).alias("x")).select("sortie", "signal", "x.path", "x.header")
 
 
-def backfill_plots(spark: SparkSession, out: str, sources: str, sortie_of: Column, wanted: list[str], modes: DataFrame, episodes: DataFrame, sorties: DataFrame, force: bool = False, **points) -> DataFrame:
+def backfill_plots(spark: SparkSession, out: str, sources: str, sortie_of: Column | str, wanted: list[str], modes: DataFrame, episodes: DataFrame, sorties: DataFrame, force: bool = False, **points) -> DataFrame:
     """Add the wanted signals to the plot points stored in out, from CSV sources; gives what was located (UPS-1).
 
     A signal that a sortie's flight already has is left alone, with force it is made anew. Headers tell which files are
     opened, and only the columns that are wanted are read. Found signals replace their (sortie, signal) part, also
     where nothing is left of it; signals that no file of the sortie has stay missing. sortie_of is a column over a
-    file's path; modes are decoded; points go to plot_points.
+    file's path, where a file is of one sortie, or the name of the CSV column that tells a row's sortie, where files
+    are shared: the driver lists and opens files one by one. modes are decoded; points go to plot_points.
     """
     have = stored_points(spark, out).where("scope = 'flight'")
     names = spark.createDataFrame([(w,) for w in dict.fromkeys(wanted)], "signal string")
     missing = backfill.missing_pairs(names, sorties, have.limit(0) if force else have)
-    located = stored(locate_signals(src.header_index(spark, sources), missing, sortie_of), "located")
+    shared = isinstance(sortie_of, str)
+    holds = src.read_telemetry_csv(spark, sources).select("path", F.col(f"`{sortie_of}`").alias("sortie")).distinct() if shared else sortie_of
+    located = stored(locate_signals(src.header_index(spark, sources), missing, holds), "located")
     # A row a file that is opened, and the names of the columns that are read.
     paths = [r["path"] for r in located.select("path").distinct().orderBy("path").collect()]
     if not paths:
         return located
     headers = [r["header"] for r in located.select("header").distinct().collect()]
-    long = src.csv_to_long(src.read_telemetry_csv(spark, paths), headers)
-    samples = long.select("path", F.col("signal").alias("header"), "t", "v", "ord").join(located, ["path", "header"])
+    ids = (sortie_of,) if shared else ()
+    own = [F.col(f"`{c}`").alias("sortie") for c in ids]
+    long = src.csv_to_long(src.read_telemetry_csv(spark, paths), headers, ids)
+    samples = long.select("path", F.col("signal").alias("header"), *own, "t", "v", "ord").join(located, ["path", "header", *(["sortie"] if shared else [])])
     number = next_run(spark, out, "sortie string, signal string")
-    rows = plot_points(samples.select("sortie", "signal", "t", "v", "ord"), modes, episodes, **points)
+    # Written once: each kind of plot reads them, and would read the files again.
+    samples = stored(samples.select("sortie", "signal", "t", "v", "ord"), "found")
+    rows = plot_points(samples, modes, episodes, **points)
     write_generation(rows, located, out, number, ["sortie", "signal"])
     return located
 

@@ -91,12 +91,15 @@ def header_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return csv_headers(spark, path).mapInArrow(split, "path string, signal string, col_ord int")
 
 
-def csv_to_long(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(source, path, ord, col_ord, signal, t, v) of the finite cells; keep: only these headers are read."""
-    extra = {"source", "path", "ord", "t"}
+def csv_to_long(raw: DataFrame, keep: list[str] | None = None, ids: tuple[str, ...] = ()) -> DataFrame:
+    """(source, path, ord, col_ord, signal, t, v) of the finite cells; keep: only these headers are read.
+
+    ids: columns of raw that go along with each cell of their row, in front, as they are, and are no signals.
+    """
+    extra = {"source", "path", "ord", "t", *ids}
     columns = [c for c in raw.columns if c not in extra and (keep is None or c in keep)]
     cells = F.array(*[F.struct(F.lit(i).alias("col_ord"), F.lit(c).alias("signal"), finite(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(columns)])
-    return raw.where("t is not null").select("source", "path", "ord", "t", F.explode(cells).alias("x")).select("source", "path", "ord", "x.col_ord", "x.signal", "t", "x.v").where("v is not null")
+    return raw.where("t is not null").select(*ids, "source", "path", "ord", "t", F.explode(cells).alias("x")).select(*ids, "source", "path", "ord", "x.col_ord", "x.signal", "t", "x.v").where("v is not null")
 
 
 class _Member(InputPartition):
