@@ -28,7 +28,8 @@ def trim_leading(raw: DataFrame, t: str = "t") -> DataFrame:
 def transitions(samples: DataFrame, channels: DataFrame | None = None, enum_max: int = ENUM_MAX, mode: str = "global") -> DataFrame:
     """Value changes of bool and enum channels against the last finite value (WIN-1).
 
-    mode global: by the class of the whole channel. mode prefix: by what the channel has shown up to each row.
+    mode global: by the class of the whole channel. mode prefix: by what the channel has shown up to each row. mode all:
+    every channel counts, as their classes are known to be such; nothing is joined.
     """
     by = W.partitionBy(*KEYS).orderBy("ord")
     if mode == "prefix":
@@ -36,6 +37,8 @@ def transitions(samples: DataFrame, channels: DataFrame | None = None, enum_max:
         new = samples.withColumn("_new", (F.row_number().over(W.partitionBy(*KEYS, "v").orderBy("ord")) == 1).cast("int"))
         few = (F.min((F.col("v") == F.floor("v")).cast("int")).over(so_far) == 1) & (F.sum("_new").over(so_far) <= enum_max)
         rows = new.withColumn("_ok", few | (F.max((~F.col("v").isin(0.0, 1.0)).cast("int")).over(so_far) == 0))
+    elif mode == "all":
+        rows = samples.withColumn("_ok", F.lit(True))
     else:
         known = channels if channels is not None else classify_channels(channel_stats(samples, enum_max))
         rows = samples.join(known.where(F.col("class").isin("bool", "enum")).select(*KEYS), KEYS, "left_semi").withColumn("_ok", F.lit(True))
@@ -78,8 +81,12 @@ def first_wins(rows: DataFrame, keys: list[str], rank: list[Column]) -> DataFram
 
 
 def merge_transitions(rows: DataFrame, source_rank: Column) -> DataFrame:
-    """Transitions of all sources, one for each signal and time: that of the first source (SET-1)."""
-    return first_wins(rows, ["sortie", "signal", "t"], [source_rank, F.col("ord")])
+    """Transitions of all sources, one for each signal and time: that of the first source (SET-1).
+
+    Few share a key, so they are moved before they are sorted: sorted on both sides, a task would hold them twice. The
+    time is left out of the move, as the window takes it in another form and would move the rows again.
+    """
+    return first_wins(rows.repartition("sortie", "signal"), ["sortie", "signal", "t"], [source_rank, F.col("ord")])
 
 
 def merge_gaps(gaps: DataFrame, dedupe: bool = False) -> DataFrame:

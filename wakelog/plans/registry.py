@@ -438,9 +438,9 @@ def resolve_plot_signals(s, d):
 
 @query("SELECT sortie, signal, t, from_v, to_v, ord % 3 AS rank FROM trans")
 def merge_transitions(s, d):
-    f = tel.found(s, d).withColumn("rank", F.col("ord") % 3)
-    again = f.withColumn("rank", F.col("rank") + 1)
-    return ev.merge_transitions(f.unionByName(again), F.col("rank")).select("sortie", "signal", "t", "from_v", "to_v", "rank")
+    # Each transition is in two sources, the second one of a higher rank.
+    rank = F.col("ord") % 3
+    return ev.merge_transitions(tel.found(s, d).withColumn("rank", F.explode(F.array(rank, rank + 1))), F.col("rank")).select("sortie", "signal", "t", "from_v", "to_v", "rank")
 
 
 @query("SELECT sortie, min(t_start) AS t_start, max(t_end) AS t_end, round(max(t_end) - min(t_start), 3) AS duration_s FROM (SELECT *, sum(new) OVER (PARTITION BY sortie ORDER BY t_start) AS n FROM (SELECT *, CASE WHEN t_start <= lag(t_end) OVER (PARTITION BY sortie ORDER BY t_start) THEN 0 ELSE 1 END AS new FROM gaps)) GROUP BY sortie, n")

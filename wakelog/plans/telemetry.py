@@ -41,7 +41,7 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions of the two small channels; their class is known, so the samples are read once."""
     s = samples(spark, sf_dir).where(F.col("signal") != "value")
-    return ev.transitions(s, s.select("sortie", "source", "signal").distinct().withColumn("class", F.lit("enum")))
+    return ev.transitions(s, mode="all")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
