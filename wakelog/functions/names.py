@@ -51,7 +51,7 @@ def time_column(columns: list[str], rule: str = "strict") -> str:
 
 
 def suffix(signal: Column) -> Column:
-    return F.element_at(F.split(signal, r"\."), -1)
+    return F.substring_index(signal, ".", -1)
 
 
 def with_signal_parts(df: DataFrame, signal: str = "signal", key_mode: str = "suffix") -> DataFrame:

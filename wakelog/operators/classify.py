@@ -12,6 +12,9 @@ from .modes import modes_at
 BEFORE, AT = -0.010, 0.05
 #: Patterns over lower-cased suffixes.
 DISCONNECT, QUICK, MONITOR = r"ap.?disc|disconnect|^toga$|apquickdisconnect", r"^toga$|apquickdisconnect", r"mon.?flag|monitorflag"
+RESPONSE, COMMAND, TRIM, VALID, STANDBY, CAPABLE, DEBOUNCE, ENGAGED = "resp.?eng", "cmd.?eng", "mistrim|xcd", "valid|health", "enforcestandby", "capable", "debounce.*out$", "afcsengage"
+#: What any rule looks at.
+LOOKED_AT = "|".join((DISCONNECT, RESPONSE, COMMAND, MONITOR, TRIM, VALID, STANDBY, CAPABLE, DEBOUNCE, ENGAGED))
 VALID_SOURCES = ("ads", "irs", "pfd", "fcp", "fcc")
 #: Ours: the axis of a fault by the front of its evidence.
 AXES = {"lat": "lateral", "roll": "lateral", "vert": "vertical", "pitch": "vertical", "at": "auto-throttle", "thr": "auto-throttle"}
@@ -50,39 +53,49 @@ def classify(found: DataFrame) -> DataFrame:
     any time of the episode. Of several responses the first one whose axis has a debounce output is meant.
     """
     c, dt = F.col, F.col("dt")
-    rows = found.withColumns({"s": F.lower(suffix(c("signal"))), "near": F.struct(F.abs(dt).alias("d"), c("ord").alias("o"), F.lower(suffix(c("signal"))).alias("n")), "other": c("role") != "trigger"})
-    change = c("other") & c("from_v").isin(0.0, 1.0) & c("to_v").isin(0.0, 1.0)
+    # Each pattern is looked at once a row, below the sums; rows without a name of a rule are not summed up.
+    triggers = found.where("role = 'trigger'").select("sortie", "episode").distinct()
+    rows = found.where("role <> 'trigger'").select("sortie", "episode", "dt", "from_v", "to_v", "ord", F.lower(suffix(c("signal"))).alias("s")).where(c("s").rlike(LOOKED_AT))
+    change = c("from_v").isin(0.0, 1.0) & c("to_v").isin(0.0, 1.0)
     up, down, pre = c("to_v") == 1, c("to_v") == 0, change & (dt < BEFORE)
     around = pre | (change & (F.abs(dt) <= AT))
     like = lambda p: c("s").rlike(p)
-    nearest = lambda name, cond: F.min_by(F.when(cond, c("s")), F.when(cond, c("near"))).alias(name)
-    each = lambda name, cond: F.transform(F.array_sort(F.collect_set(F.when(cond, F.struct("near", "s")))), lambda x: x["s"]).alias(name)
-    lost = around & like("valid|healthy|health") & down
+    near = F.struct(F.abs(dt).alias("d"), c("ord").alias("o"), c("s").alias("n"))
+    seen = {
+        "cmd": pre & like(DISCONNECT) & (~like("^toga$") | up), "resp": around & down & like(RESPONSE), "cmdmon": around & down & like(COMMAND), "mon": around & up & like(MONITOR), "trim": around & up & like(TRIM),
+        "valid": around & down & like(VALID), "sby": around & up & like(STANDBY), "cap": pre & down & like(CAPABLE), "debounce": like(DEBOUNCE), "disengaged": change & (c("from_v") == 1) & like(ENGAGED),
+    }
+    rows = rows.select("sortie", "episode", "dt", near.alias("near"), *[cond.alias(name) for name, cond in seen.items()])
+    nearest = lambda of: F.min(F.when(c(of), c("near"))).alias(of)
+    each = lambda of, name: F.transform(F.array_sort(F.collect_set(F.when(c(of), c("near")))), lambda x: x["n"]).alias(name)
+    # Every column rests on its own sums only, so those that nobody reads are not made.
     g = rows.groupBy("sortie", "episode").agg(
-        F.max((c("role") == "trigger").cast("int")).alias("has_trigger"),
-        nearest("cmd", pre & like(DISCONNECT) & (~like("^toga$") | up)), each("responses", around & like("resp.?eng") & down), nearest("cmdmon", around & like("cmd.?eng") & down),
-        nearest("mon", around & like(MONITOR) & up), nearest("trim", around & like("mistrim|xcd") & up), F.min_by(F.when(lost, c("s")), F.when(lost, F.struct(dt, c("near")))).alias("valid"),
-        nearest("sby", around & like("enforcestandby") & up), nearest("cap", pre & like("capable") & down),
-        each("debounces", c("other") & like("debounce.*out$")), F.max((change & like("afcsengage") & (c("from_v") == 1)).cast("int")).alias("disengaged"),
-    ).where("has_trigger = 1")
+        F.max("disengaged").alias("disengaged"), *map(nearest, ("cmd", "resp", "cmdmon", "mon", "trim", "sby", "cap")),
+        F.min(F.when(c("valid"), F.struct("dt", "near"))).alias("valid"), each("resp", "responses"), each("debounce", "debounces"),
+    )
+    g = triggers.join(g, ["sortie", "episode"], "left")
+    quick = c("cmd.n").rlike(QUICK)
+    fires = {
+        "PILOT_CMD": c("cmd").isNotNull() & c("mon").isNull() & (~quick | F.coalesce("disengaged", F.lit(False))), "RESP_MONITOR": c("resp").isNotNull(), "CMD_MONITOR": c("cmdmon").isNotNull(), "MONITOR_FAULT": c("mon").isNotNull(),
+        "MISTRIM": c("trim").isNotNull(), "VALIDITY_LOSS": c("valid").isNotNull(), "ENFORCE_SBY": c("sby").isNotNull(), "CAP_LOST": c("cap").isNotNull(),
+    }
+    g = g.withColumn("category", F.coalesce(*[F.when(cond, name) for name, cond in fires.items()], F.lit("UNKNOWN")))
     confirmed = F.filter("responses", lambda r: F.exists("debounces", lambda d: (F.regexp_extract(r, "^([a-z]+?)resp", 1) != "") & F.rlike(d, F.concat(F.lit("^"), F.regexp_extract(r, "^([a-z]+?)resp", 1), F.lit(".*debounce.*out$")))))
-    g = g.withColumn("resp", F.coalesce(F.get(confirmed, F.lit(0)), F.get("responses", F.lit(0))))
-    g = g.withColumns({"of_resp": F.get(_own_debounces("resp", "resp"), F.lit(0)), "of_cmd": F.get(_own_debounces("cmdmon", "cmd"), F.lit(0)), "any": F.get("debounces", F.lit(0))})
-    quick = c("cmd").rlike(QUICK)
-    pilot = c("cmd").isNotNull() & c("mon").isNull() & (~quick | (c("disengaged") == 1))
-    no = F.lit(None).cast("string")
-    rules = [
-        ("PILOT_CMD", pilot, F.when(quick, "Pilot Deactivation (TOGA/QD)").otherwise("Pilot-Commanded Disconnect"), c("cmd"), no),
-        ("RESP_MONITOR", c("resp").isNotNull(), F.lit("Response Monitor Trip"), F.coalesce("of_resp", "resp"), c("of_resp")),
-        ("CMD_MONITOR", c("cmdmon").isNotNull(), F.lit("Command Monitor Trip"), F.coalesce("of_cmd", "cmdmon"), c("of_cmd")),
-        ("MONITOR_FAULT", c("mon").isNotNull(), F.lit("Monitor Fault"), c("mon"), c("any")),
-        ("MISTRIM", c("trim").isNotNull(), F.lit("Mistrim / Torque Limit"), c("trim"), c("any")),
-        ("VALIDITY_LOSS", c("valid").isNotNull(), F.coalesce(*[F.when(c("valid").startswith(p), f"{p.upper()} Validity Loss") for p in VALID_SOURCES], F.lit("Sensor Validity Loss")), c("valid"), c("valid")),
-        ("ENFORCE_SBY", c("sby").isNotNull(), F.lit("Forced Standby"), c("sby"), c("any")),
-        ("CAP_LOST", c("cap").isNotNull(), F.lit("Upstream Capability Lost"), c("cap"), c("any")),
-    ]
-    fact = F.coalesce(*[F.when(fires, F.struct(F.lit(name).alias("category"), label.alias("label"), seen.alias("evidence"), sure.alias("sure"))) for name, fires, label, seen, sure in rules])
-    out = g.select("sortie", "episode", fact.alias("f")).select("sortie", "episode", F.coalesce("f.category", F.lit("UNKNOWN")).alias("category"), F.coalesce("f.label", F.lit("Unknown Exit")).alias("label"), "f.evidence", F.col("f.sure").alias("_sure"))
+    g = g.withColumn("_resp", F.coalesce(F.get(confirmed, F.lit(0)), c("resp.n")))
+    g = g.withColumns({"of_resp": F.get(_own_debounces("_resp", "resp"), F.lit(0)), "of_cmd": F.get(_own_debounces("cmdmon.n", "cmd"), F.lit(0)), "any": F.get("debounces", F.lit(0))})
+    valid = c("valid.near.n")
+    facts = {
+        "PILOT_CMD": (F.when(quick, "Pilot Deactivation (TOGA/QD)").otherwise("Pilot-Commanded Disconnect"), c("cmd.n"), F.lit(None).cast("string")),
+        "RESP_MONITOR": (F.lit("Response Monitor Trip"), F.coalesce("of_resp", "_resp"), c("of_resp")),
+        "CMD_MONITOR": (F.lit("Command Monitor Trip"), F.coalesce("of_cmd", "cmdmon.n"), c("of_cmd")),
+        "MONITOR_FAULT": (F.lit("Monitor Fault"), c("mon.n"), c("any")),
+        "MISTRIM": (F.lit("Mistrim / Torque Limit"), c("trim.n"), c("any")),
+        "VALIDITY_LOSS": (F.coalesce(*[F.when(valid.startswith(p), f"{p.upper()} Validity Loss") for p in VALID_SOURCES], F.lit("Sensor Validity Loss")), valid, valid),
+        "ENFORCE_SBY": (F.lit("Forced Standby"), c("sby.n"), c("any")),
+        "CAP_LOST": (F.lit("Upstream Capability Lost"), c("cap.n"), c("any")),
+    }
+    of = lambda i: F.coalesce(*[F.when(c("category") == name, x[i]) for name, x in facts.items()])
+    out = g.select("sortie", "episode", "category", F.coalesce(of(0), F.lit("Unknown Exit")).alias("label"), of(1).alias("evidence"), of(2).alias("_sure"))
     sure = F.when(c("category").isin("PILOT_CMD", "UNKNOWN"), "n/a").when(c("_sure").isNotNull(), "confirmed").otherwise("unconfirmed")
     axis = F.coalesce(*[F.when(c("evidence").startswith(p), a) for p, a in AXES.items()])
     return out.withColumns({"confidence": sure, "axis": axis}).drop("_sure")
