@@ -60,6 +60,34 @@ def _bridges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     return ruled.where("b.rule < 2").select("b.x.srcKey", "dstKey").distinct(), ruled.where("b.rule = 2").select("dstKey", "blockName"), fed.where("src_block is not null").select(F.col("src_block").alias("blockName"), "srcKey")
 
 
+#: Pairs of a name come in tiles of about so many keys a side, and in these by runs of about so many fed nodes.
+TILE, RUN = 2048, 64
+#: Pairs that one task gives, about, where they are too many for spark.sql.shuffle.partitions tasks.
+TASK_PAIRS = 1 << 22
+
+
+def _paired(many: DataFrame, fed: DataFrame) -> DataFrame:
+    """(srcKey, dstKey): every fed node with every dead end of its name.
+
+    Tiles of a name are dealt to tasks, so neither a frequent name nor the number of names decides how many work. Each side
+    is moved once for every tile that it meets: its size times the other side's over TILE. In a tile one run of fed nodes
+    after the other meets all dead ends, so a task's keys are few and come again soon: as Parquet the pairs are indexes
+    into small dictionaries that compress well, where whole names would write every key out.
+    """
+    fed = stored(fed, "fed")
+    counts = lambda side, n: side.groupBy("blockName").agg(F.count("*").alias(n))
+    sizes = stored(counts(many, "n_ends").join(counts(fed, "n_fed"), "blockName"), "names")
+    pairs = sizes.agg(F.sum(F.col("n_ends") * F.col("n_fed"))).head()[0] or 0
+    parts = max(int(fed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+    dealt = lambda key, n, size: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / size))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / TILE) - 1))
+    ends = many.join(sizes, "blockName").select("blockName", dealt("dstKey", "n_ends", TILE).alias("a"), each("n_fed").alias("b"), "dstKey")
+    runs = fed.join(sizes, "blockName").groupBy("blockName", "n_ends", dealt("srcKey", "n_fed", RUN).alias("run")).agg(F.collect_list("srcKey").alias("srcKeys"))
+    runs = runs.select("blockName", each("n_ends").alias("a"), F.floor(F.col("run") / (TILE // RUN)).alias("b"), "srcKeys")
+    tile = ["blockName", "a", "b"]
+    return runs.repartition(parts, *tile).join(ends.repartition(parts, *tile), tile).select(F.explode("srcKeys").alias("srcKey"), "dstKey")
+
+
 def virtual_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(srcKey, dstKey): bridges to Inport nodes without an in-edge, by the first rule that gives one (GR-3).
 
@@ -67,7 +95,7 @@ def virtual_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     than nodes; walks do without them (see bridged_upstream).
     """
     one, many, fed = _bridges(nodes, edges)
-    return one.unionByName(many.join(fed, "blockName").select("srcKey", "dstKey"))
+    return one.unionByName(_paired(many, fed))
 
 
 #: Hops that one job takes at most where it follows whole paths, and where it removes repeats after each hop.
